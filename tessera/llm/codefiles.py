@@ -18,14 +18,14 @@ from tessera.session import materialise
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
 #: Probability of a file's label given its directory's prevailing label (rows), and of a directory's given its parent's.
 FILE_GIVEN_DIR = (
-    (0.93, 0.02, 0.015, 0.015, 0.02),
-    (0.20, 0.74, 0.01, 0.01, 0.04),
+    (0.87, 0.045, 0.02, 0.04, 0.025),
+    (0.15, 0.80, 0.01, 0.01, 0.03),
     (0.25, 0.02, 0.65, 0.02, 0.06),
     (0.015, 0.01, 0.01, 0.96, 0.005),
     (0.25, 0.02, 0.05, 0.02, 0.66),
 )
 DIR_GIVEN_PARENT = (
-    (0.94, 0.015, 0.01, 0.025, 0.01),
+    (0.972, 0.006, 0.008, 0.006, 0.008),
     (0.16, 0.80, 0.01, 0.02, 0.01),
     (0.20, 0.02, 0.72, 0.03, 0.03),
     (0.01, 0.005, 0.005, 0.975, 0.005),
@@ -102,17 +102,17 @@ def text_evidence(chunks: DataFrame) -> DataFrame:
     bare = F.regexp_replace(t, "[A-Za-z]+", "")
     plain = F.regexp_replace("bare", "[0-9]+", "")
     head = F.when(F.coalesce(F.col("line_start"), F.lit(1)) <= 3, F.regexp_extract(t, _HEAD, 1)).otherwise(F.lit(""))
-    per = chunks.filter("root is not null and path is not null and text is not null").select("root", "path", t.alias("text"), "line_start", bare.alias("bare"), head.alias("head"))
+    per = chunks.filter("root is not null and path is not null and text is not null").select("root", "path", t.alias("text"), "line_start", "line_end", bare.alias("bare"), head.alias("head"))
     claims = ~F.col("head").rlike(_ACTS)
     per = per.select(
-        "root", "path", F.length("text").alias("chars"), F.length("bare").alias("n_bare"), F.length(plain).alias("n_plain"), F.length(F.regexp_replace(plain, r"\s+", "")).alias("n_dense"),
+        "root", "path", "line_end", F.length("text").alias("chars"), F.length("bare").alias("n_bare"), F.length(plain).alias("n_plain"), F.length(F.regexp_replace(plain, r"\s+", "")).alias("n_dense"),
         (F.length("bare") - F.length(F.replace(F.replace("bare", F.lit("\n"), F.lit("")), F.lit("\r"), F.lit(""))) + 1).alias("lines"),
         (F.coalesce(F.col("line_start"), F.lit(1)) <= 3).alias("top"), (claims & F.col("head").rlike(_MADE)).alias("made"), (claims & F.col("head").rlike(_TAKEN)).alias("taken"),
     )
-    agg = per.groupBy("root", "path").agg(*[F.sum(c).alias(c) for c in ("chars", "n_bare", "n_plain", "n_dense", "lines")], F.max("top").alias("top"), F.max("made").alias("made"), F.max("taken").alias("taken"))
+    agg = per.groupBy("root", "path").agg(*[F.sum(c).alias(c) for c in ("chars", "n_bare", "n_plain", "n_dense", "lines")], F.max("line_end").alias("end"), F.max("top").alias("top"), F.max("made").alias("made"), F.max("taken").alias("taken"))
     n = F.greatest(F.col("chars"), F.lit(1))
     return agg.select(
-        "root", "path", "chars", "top", "made", "taken", ((F.col("chars") - F.col("n_bare")) / n).alias("letters"), ((F.col("n_bare") - F.col("n_plain")) / n).alias("digits"),
+        "root", "path", "chars", "end", "top", "made", "taken", ((F.col("chars") - F.col("n_bare")) / n).alias("letters"), ((F.col("n_bare") - F.col("n_plain")) / n).alias("digits"),
         ((F.col("n_plain") - F.col("n_dense")) / n).alias("blanks"), (F.col("chars") / F.col("lines")).alias("line_length"),
     )
 
@@ -125,8 +125,8 @@ def file_evidence(files: DataFrame, texts: DataFrame) -> DataFrame:
     prose = F.coalesce(F.col("lang") == "markdown", F.lit(False))
     seen = F.coalesce(F.col("chars") >= 40, F.lit(False))
     #: a hand-written file has some 30 characters on each line up to its last symbol; far more bytes are no such text
-    excess = size / (F.coalesce(F.col("last_line"), F.lit(1)) * 30.0 + 1500.0)
-    swollen = (size > 8000) & (excess > 3) & ~prose
+    last = F.greatest(F.coalesce("last_line", F.lit(0)), F.coalesce("end", F.lit(0)))
+    swollen = (size > 8000) & (size > 3 * (last * 30.0 + 1500.0)) & ~prose & ((last > 0) | (size > 40000))
     dense = seen & (F.col("blanks") < 0.05) & (F.col("digits") < 0.4) & (F.col("letters") > 0.25) & ~prose
     numbers = seen & ((F.col("digits") > 0.3) | ((F.col("digits") > 0.2) & (F.col("letters") < 0.35))) & ~prose
     plain_text = seen & ~dense & ~numbers
