@@ -1,24 +1,9 @@
-"""Core queries over the test tables and the SQL that gives the same results."""
+"""All core queries and their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from tessera.plans import accounting, evaluation, maps, retrieval, sessions, streams
 
-from tessera.operators import changes
-from tessera.session import read_table
-
-
-def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return changes.files_to_index(read_table(spark, sf, "codebase_map"), read_table(spark, sf, "chunks"), read_table(spark, sf, "index_runs")).select("root", "path")
-
-
-QUERIES = {f.__name__: f for f in (p4_found,)}
-
-ORACLES = {
-    "p4_found": r"""
-WITH m AS (SELECT root, path, regexp_extract(lower(sha), '^\s*(?:sha-?256:)?\s*([0-9a-f]{12,})\s*$', 1)[1:12] AS sha, mtime FROM (SELECT *, row_number() OVER (PARTITION BY root, path ORDER BY scanned_at DESC, loaded_at DESC) AS rn FROM codebase_map) WHERE rn = 1),
-w AS (SELECT DISTINCT c.root, c.path, c.sha, r.started_at, r.run_id FROM chunks c JOIN index_runs r ON c.run_id = r.run_id WHERE r.status = 'ok'),
-i AS (SELECT root, path, max_by(lower(sha)[1:12], started_at) AS sha, max(started_at) AS started_at FROM w GROUP BY 1, 2)
-SELECT m.root, m.path FROM m LEFT JOIN i ON i.root = m.root AND i.path = m.path
-WHERE i.root IS NULL OR (coalesce(m.sha, '') <> '' AND m.sha <> i.sha) OR (coalesce(m.sha, '') = '' AND m.mtime > epoch_us(i.started_at) / 1e6)""",
-}
+_MODULES = (retrieval, maps, accounting, sessions, evaluation, streams)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
