@@ -33,10 +33,14 @@ def goals(turns: DataFrame, most: int = GOALS) -> DataFrame:
     return t.withColumn("n", n).filter(F.col("n") <= most).select("session_id", "n", "goal")
 
 
-def decision_lines(turns: DataFrame, most: int = DECISIONS, longest: int = DECISION_CHARS) -> DataFrame:
+def decision_lines(turns: DataFrame, most: int = DECISIONS, longest: int = DECISION_CHARS, patterns: tuple[str, ...] = DECISION_LINES) -> DataFrame:
     """Distinct decision-like lines of the assistant in the order of turn, pattern and place: ``session_id, n, decision``."""
     t = turns.filter((F.col("kind") == "assistant") & F.col("text").isNotNull())
-    found = [F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)), lambda s, i, k=k: F.struct(F.lit(k).alias("p"), i.alias("i"), F.trim(s).alias("decision"))) for k, p in enumerate(DECISION_LINES)]
+
+    def placed(k: int, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda s, i: F.struct(F.lit(k).alias("p"), i.alias("i"), F.trim(s).alias("decision")))
+
+    found = [placed(k, p) for k, p in enumerate(patterns)]
     e = t.select("session_id", "seq", F.explode(F.concat(*found)).alias("x")).select("session_id", "seq", "x.*").filter((F.col("decision") != "") & (F.length("decision") < longest))
     first = e.groupBy("session_id", "decision").agg(F.min(F.struct("seq", "p", "i")).alias("at"))
     n = F.row_number().over(Window.partitionBy("session_id").orderBy("at"))
@@ -63,9 +67,9 @@ def field(name: str) -> Column:
     return F.get_json_object("input", f"$.{name}")
 
 
-def files_touched(turns: DataFrame) -> DataFrame:
-    """Edited files with the last operation, in the order in which they were first seen: ``session_id, path, op, n``."""
-    e = calls(turns).filter(F.col("name").isin(*EDITS)).withColumn("path", field("file_path")).filter("path is not null and path <> ''").withColumn("at", F.struct("seq", "k"))
+def files_touched(turns: DataFrame, fields: tuple[str, ...] = ("file_path",)) -> DataFrame:
+    """Edited files (named by the first of ``fields`` in the call's input) with the last operation, in the order in which they were first seen: ``session_id, path, op, n``."""
+    e = calls(turns).filter(F.col("name").isin(*EDITS)).withColumn("path", F.coalesce(*[field(x) for x in fields])).filter("path is not null and path <> ''").withColumn("at", F.struct("seq", "k"))
     g = e.groupBy("session_id", "path").agg(F.max_by("name", "at").alias("op"), F.min("at").alias("first"))
     return g.withColumn("n", F.row_number().over(Window.partitionBy("session_id").orderBy("first"))).select("session_id", "path", "op", "n")
 

@@ -120,7 +120,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def apply_priors(ranked: DataFrame, meta: DataFrame, id_col: str = "id") -> DataFrame:
     """Scores times the prior of the record's kind of file; ids without metadata drop out. ``meta``: id, path, lang."""
     prior = rank_prior(F.col("path"), F.col("lang"))
-    return ranked.join(meta.select(F.col(id_col).alias("id"), "path", "lang"), "id").withColumn("score", F.round(F.col("score") * prior, 6)).drop("path", "lang")
+    return ranked.join(meta.select(F.col(id_col).alias("id"), "path", "lang"), "id").withColumn("score", F.round(F.col("score") * prior, 7)).drop("path", "lang")
 
 
 def rrf(*lists: tuple[DataFrame, Column | float]) -> DataFrame:

@@ -27,7 +27,7 @@ def best_evidence(evidence: DataFrame) -> DataFrame:
     """The most capable family in evidence (the first of equals by ``seq``) with its confidence; no row without evidence."""
     e = evidence.withColumn("family", family(F.col("model"))).filter("family is not null")
     first = F.row_number().over(Window.orderBy(F.desc("rank"), "seq"))
-    conf = F.coalesce(*[F.when(F.col("strength") == s, F.lit(c)) for s, c in CONFIDENCE])
+    conf = F.coalesce(*[F.when(F.col("x.strength") == s, F.lit(c)) for s, c in CONFIDENCE])
     per = e.groupBy("family").agg(F.min_by(F.struct("model", "strength"), "seq").alias("x"), F.min("seq").alias("seq")).withColumn("rank", family_rank(F.col("family")))  # at most four rows
     return per.withColumn("r", first).filter("r = 1").select("family", "x.model", "rank", conf.alias("confidence"))
 
