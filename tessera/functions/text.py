@@ -62,6 +62,11 @@ def lines(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(cut)
 
 
+def strip(text: Column) -> Column:
+    """The text without white space at its ends, whatever kind."""
+    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+
+
 def extension(path: Column) -> Column:
     """The lower-case extension of the last path part without its dot; '' if it has none (``.name`` has none)."""
     return F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import lines, short_sha
+from tessera.functions.text import lines, short_sha, strip
 
 #: Chunk size, line window and overlap, least gap, most chunks, longest decision body (fixed values).
 MAX_CHARS, WINDOW_LINES, OVERLAP_LINES, GAP_LINES, MAX_CHUNKS, DECISION_CHARS = 2048, 60, 10, 5, 50_000, 4096
@@ -142,11 +142,11 @@ def _body(line_array: Column, a: Column, b: Column) -> Column:
 
 def _doc_line(line_array: Column, a: Column) -> Column:
     """The first docstring line within five lines after a signature, at most 120 characters; null if there is none."""
-    near = F.transform(F.slice(line_array, a + 1, F.lit(7)), F.trim)
+    near = F.transform(F.slice(line_array, a + 1, F.lit(7)), lambda s: strip(s))
     opens = r"^[rbu]*(\"\"\"|''')(.*)$"
-    at = F.array_position(F.transform(F.slice(near, 1, 5), lambda s: s.rlike(opens)), True).cast("int")
+    at = F.nullif(F.array_position(F.transform(F.slice(near, 1, 5), lambda s: s.rlike(opens)), True), F.lit(0).cast("long")).cast("int")
     first = F.try_element_at(near, at)
-    rest = F.trim(F.regexp_replace(F.regexp_extract(first, opens, 2), "\"\"\"|'''", ""))
+    rest = strip(F.regexp_replace(F.regexp_extract(first, opens, 2), "\"\"\"|'''", ""))
     after = F.filter(F.slice(near, at + 1, F.lit(2)), lambda s: (s != "") & ~s.startswith('"""') & ~s.startswith("'''"))
     return F.when(at > 0, F.substring(F.when(rest != "", rest).otherwise(F.try_element_at(after, F.lit(1))), 1, 120))
 
@@ -167,7 +167,7 @@ def chunk_files(files: DataFrame, symbols: DataFrame, source: str = "code") -> D
     x = x.withColumn("long", F.length("t") > MAX_CHARS).withColumn("w", F.when(F.col("long"), windows(F.col("a"), F.col("b"))).otherwise(whole))
     cut = F.filter(F.transform("w", lambda w: F.struct(w["wa"].alias("wa"), w["wb"].alias("wb"), _body(F.col("ls"), w["wa"], w["wb"]).alias("t"))), lambda w: w["t"].rlike(r"\S"))
     x = x.select("path", "name", "kind", "a", "sha", "lang", "ls", "long", F.posexplode(cut).alias("part", "w"))
-    sign = F.substring(F.trim(F.element_at("ls", F.col("w.wa"))), 1, 120)
+    sign = F.substring(strip(F.element_at("ls", F.col("w.wa"))), 1, 120)
     doc = _doc_line(F.col("ls"), F.col("w.wa"))
     head = F.concat(F.col("path"), F.lit(" :: "), F.col("name"), F.lit(" ("), F.col("kind"), F.lit(") L"), F.col("w.wa"), F.lit("-"), F.col("w.wb"), F.lit(" — "), sign)
     head = F.concat(head, F.when(doc.isNotNull() & (doc != "") & (doc != sign), F.concat(F.lit(" — "), doc)).otherwise(""))
@@ -183,7 +183,7 @@ def decision_chunks(files: DataFrame) -> DataFrame:
     h = h.withColumn("nxt", nxt).join(f.select("path", "sha", "ls"), "path")
     end = F.coalesce(F.col("nxt") - 1, F.size("ls"))
     did = F.regexp_extract("line", DECISION, 1)
-    title = F.trim(F.regexp_replace("line", "^#+", ""))
+    title = strip(F.regexp_replace("line", "^#+", ""))
     return h.select(
         F.concat_ws("::", "path", did, F.col("line_no").cast("string")).alias("id"), "path", did.alias("symbol"), F.lit("decision").alias("kind"), F.col("line_no").alias("line_start"), end.cast("int").alias("line_end"),
         F.concat(F.col("path"), F.lit(" :: "), title).alias("header"), F.substring(_body(F.col("ls"), F.col("line_no"), end), 1, DECISION_CHARS).alias("text"), "sha", F.lit("markdown").alias("lang"), F.lit("decisions").alias("source"),

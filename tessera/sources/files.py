@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tessera.functions.text import MAX_FILE_BYTES, ignored, language, short_sha
 
@@ -12,7 +13,7 @@ from tessera.functions.text import MAX_FILE_BYTES, ignored, language, short_sha
 SNIFF = 8192
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_lenient(data: pd.Series) -> pd.Series:
     """UTF-8 text without the bytes that aren't UTF-8."""
     return data.map(lambda b: None if b is None else bytes(b).decode("utf-8", errors="ignore"))
