@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 10
 #: Repetitions and sampled positions; measured recall at one edit is in the README.
-REPETITIONS, SAMPLES, SEED = 4, 8, 20_260
+REPETITIONS, SAMPLES, SEED = 8, 6, 20_260
 #: Steps of the walk, in window lengths.
 STRETCH = 2
 #: Most item windows that are held (and broadcast) at once; more items are searched in several blocks.
@@ -95,6 +95,15 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row[:, -1]
 
 
+def word_masks(flat: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """A 64-bit set of each window's words: one edit takes at most one bit away, so masks rule out most pairs before any distance."""
+    bit = np.left_shift(np.uint64(1), (flat * _M) >> np.uint64(58))
+    mask = np.zeros(len(starts), np.uint64)
+    for j in range(window):
+        mask |= bit[starts + j]
+    return mask
+
+
 class Items:
     """The windows of a block of items and their keys in every repetition."""
 
@@ -105,6 +114,7 @@ class Items:
         starts, row = _starts(counts, window)
         self.item = np.array([i for i, _ in items], np.int64)[row] if len(row) else np.zeros(0, np.int64)
         self.words = flat[starts[:, None] + np.arange(window)] if len(starts) else np.zeros((0, window), np.uint64)
+        self.masks = word_masks(flat, starts, window)
         keys = [embed_keys(flat, starts, window, r, samples) for r in range(repetitions)]
         self.order = [np.argsort(k, kind="stable") for k in keys]
         self.keys = [k[o] for k, o in zip(keys, self.order, strict=True)]
@@ -150,6 +160,7 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_edits: in
                 if not len(starts) or not len(it.item):
                     continue
                 found: list[np.ndarray] = []
+                masks = word_masks(flat, starts, window)
                 for r in range(repetitions):
                     key = embed_keys(flat, starts, window, r, samples)
                     lo = np.searchsorted(it.keys[r], key, "left")
@@ -158,7 +169,10 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_edits: in
                     n = hi - lo[lo_ok]
                     at = np.repeat(lo_ok, n)
                     rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[lo_ok], n)
-                    found.append(np.stack([at, it.order[r][rank]], 1))
+                    item = it.order[r][rank]
+                    a, b2 = masks[at], it.masks[item]
+                    near = (np.bitwise_count(a & ~b2) <= max_edits) & (np.bitwise_count(b2 & ~a) <= max_edits)
+                    found.append(np.stack([at[near], item[near]], 1))
                 pairs = np.unique(np.concatenate(found), axis=0)
                 best: dict[tuple[int, int], list] = {}
                 for part in np.array_split(pairs, max(1, len(pairs) // 50_000)):
