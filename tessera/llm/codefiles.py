@@ -25,13 +25,15 @@ FILE_GIVEN_DIR = (
     (0.25, 0.02, 0.05, 0.02, 0.66),
 )
 DIR_GIVEN_PARENT = (
-    (0.972, 0.006, 0.008, 0.006, 0.008),
+    (0.962, 0.014, 0.008, 0.008, 0.008),
     (0.16, 0.80, 0.01, 0.02, 0.01),
     (0.20, 0.02, 0.72, 0.03, 0.03),
     (0.01, 0.005, 0.005, 0.975, 0.005),
     (0.20, 0.02, 0.03, 0.03, 0.72),
 )
 ROOT_PRIOR = (0.96, 0.01, 0.01, 0.01, 0.01)
+#: A directory whose name alone gives a label at least this log-odds says nothing about its parent, nor the parent about it: their compatibility is flat.
+NAMED = 5.0
 
 #: Directory names and the log-odds they give to a label (fixed values).
 DIR_NAMES = (
@@ -158,7 +160,12 @@ def _dirs(files: DataFrame) -> DataFrame:
     depth = F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))
     up = F.when(F.col("dir") == "", F.lit(None)).otherwise(F.regexp_extract("dir", r"^(.*?)/?[^/]*$", 1))
     cols = [c.alias(f"p{i}") for i, c in enumerate(_scores([(label, _when(name.rlike(rule), value)) for label, value, rule in DIR_NAMES]))]
-    return d.select("root", "dir", up.alias("up"), depth.alias("depth"), *cols)
+    named = name.rlike("|".join(rule for _, value, rule in DIR_NAMES if value >= NAMED))
+    return d.select("root", "dir", up.alias("up"), depth.alias("depth"), named.alias("named"), *cols)
+
+
+def _flat(messages: list[Column]) -> list[Column]:
+    return [F.when(F.col("named"), F.lit(0.0)).otherwise(m) for m in messages]
 
 
 def label_files(code_map: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -185,8 +192,8 @@ def label_files(code_map: DataFrame, chunks: DataFrame) -> DataFrame:
         into = into if heard is None else into.unionByName(heard)
         into = into.groupBy("root", "dir").agg(*[F.sum(x).alias(x) for x in s])
         belief = [(F.col(x) + F.coalesce(F.col(y), F.lit(0.0))).alias(z) for x, y, z in zip(p, s, b, strict=True)]
-        node = own.join(into, ["root", "dir"], "left").select("root", "dir", "up", *belief)
-        node = materialise(node.select("*", *[c.alias(n) for c, n in zip(_through(cols(b), DIR_GIVEN_PARENT, True), u, strict=True)]), "up")
+        node = own.join(into, ["root", "dir"], "left").select("root", "dir", "up", "named", *belief)
+        node = materialise(node.select("*", *[c.alias(n) for c, n in zip(_flat(_through(cols(b), DIR_GIVEN_PARENT, True)), u, strict=True)]), "up")
         levels.append(node)
         heard = node.select("root", F.col("up").alias("dir"), *[F.col(x).alias(y) for x, y in zip(u, s, strict=True)])
     full = levels[-1].select("root", "dir", *[(F.col(x) + F.lit(math.log(q))).alias(x) for x, q in zip(b, ROOT_PRIOR, strict=True)])
@@ -194,7 +201,7 @@ def label_files(code_map: DataFrame, chunks: DataFrame) -> DataFrame:
     for node in reversed(levels[:-1]):
         above = full.select("root", F.col("dir").alias("up"), *[F.col(x).alias(y) for x, y in zip(b, r, strict=True)])
         rest = [F.col(y) - F.col(x) for x, y in zip(u, r, strict=True)]
-        down = _through(rest, DIR_GIVEN_PARENT, False)
+        down = _flat(_through(rest, DIR_GIVEN_PARENT, False))
         full = materialise(node.join(above, ["root", "up"]).select("root", "dir", *[(F.col(x) + c).alias(x) for x, c in zip(b, down, strict=True)]), "down")
         done.append(full)
     beliefs = done[0]
