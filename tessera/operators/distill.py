@@ -90,9 +90,13 @@ def summary() -> Column:
 
 
 def with_age(turns: DataFrame, keep: int = KEEP) -> DataFrame:
-    """Adds ``recent``: whether a turn is among the last ``keep`` of its session."""
+    """Adds ``recent``: whether a turn is among the last ``keep`` of its session.
+
+    The last turns are found first (a limit per session that works before the shuffle), then joined, so a long session isn't one task's work.
+    """
     back = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("seq")))
-    return turns.withColumn("recent", back <= keep)
+    last = turns.select("session_id", "seq").withColumn("_b", back).filter(F.col("_b") <= keep).groupBy("session_id").agg(F.min("seq").alias("_from"))
+    return turns.join(last, "session_id").withColumn("recent", F.col("seq") >= F.col("_from")).drop("_from")
 
 
 def older_log(turns: DataFrame, keep: int = KEEP) -> DataFrame:
@@ -104,8 +108,9 @@ def older_log(turns: DataFrame, keep: int = KEEP) -> DataFrame:
 
 def within_budget(log: DataFrame, budget: int) -> DataFrame:
     """The longest suffix of a session's log lines whose bytes, with a line end each, stay within the budget."""
-    w = Window.partitionBy("session_id").orderBy(F.desc("seq"), F.desc("k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return log.withColumn("bytes", F.sum(F.octet_length("line") + 1).over(w)).filter(F.col("bytes") <= budget)
+    w = Window.partitionBy("session_id").orderBy(F.desc("seq"), F.desc("k"))
+    near = log.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max(budget, 1)).drop("_r")  # a line has a byte at least, so no more can fit
+    return near.withColumn("bytes", F.sum(F.octet_length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).filter(F.col("bytes") <= budget)
 
 
 def checkpoints(turns: DataFrame, sessions: DataFrame, keep: int = KEEP, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -135,7 +140,6 @@ def checkpoints(turns: DataFrame, sessions: DataFrame, keep: int = KEEP, max_byt
     base = base.select("session_id", F.concat(top, *[F.coalesce(c, F.lit("")) for c in ("goals", "files", "decisions")]).alias("top"), F.coalesce("recent", F.lit("")).alias("recent"))
     title = "## Earlier activity (compacted)"
     room = base.select("session_id", (F.lit(max_bytes) - F.octet_length("top") - F.octet_length("recent") - F.lit(len(title) + 3)).alias("room"))
-    w = Window.partitionBy("session_id").orderBy(F.desc("seq"), F.desc("k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fit = older_log(turns, keep).withColumn("bytes", F.sum(F.octet_length("line") + 1).over(w)).join(room, "session_id").filter(F.col("bytes") <= F.col("room"))
+    fit = within_budget(older_log(turns, keep), max_bytes).join(room, "session_id").filter(F.col("bytes") <= F.col("room"))
     log = listed(fit, F.struct("seq", "k"), F.col("line"), title, "log")
     return base.join(log, "session_id", "left").select("session_id", F.concat("top", F.coalesce("log", F.lit("")), "recent").alias("checkpoint"))

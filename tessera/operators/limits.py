@@ -7,15 +7,26 @@ from pyspark.sql import functions as F
 
 #: Hits in a sliding minute; bytes and lines of a large read; age in days and bytes of a checkpoint to restore (fixed values).
 HITS, WINDOW_S = 5, 60
+#: Windows in a span of a key.
+BLOCKS = 16
 LARGE_BYTES, LARGE_LINES = 100_000, 1_200
 RESTORE_DAYS, RESTORE_BYTES = 7, 24_000
 
 
 def rate_limited(hits: DataFrame, key: str, ts: str, most: int = HITS, seconds: int = WINDOW_S) -> DataFrame:
-    """Adds ``n``, the hits of the key in the last ``seconds`` (strictly younger), itself included, and ``rejected``. Rejected hits count on."""
+    """Adds ``n``, the hits of the key in the last ``seconds`` (strictly younger), itself included, and ``rejected``. Rejected hits count on.
+
+    A key is cut into spans of BLOCKS windows; each span also gets the hits of the window before it, so a hot key is many tasks' work. Null times form a span of
+    their own.
+    """
+    span = seconds * 1_000_000
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(key).orderBy(us).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return hits.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("rejected", F.col("n") > most)
+    cols = hits.columns
+    own = hits.withColumn("_us", us).withColumn("_b", F.floor(F.col("_us") / (span * BLOCKS))).withColumn("_own", F.lit(True))
+    before = own.filter(F.col("_us") >= (F.col("_b") + 1) * (span * BLOCKS) - span).withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(False))
+    w = Window.partitionBy(key, "_b").orderBy("_us").rangeBetween(-(span - 1), 0)
+    counted = own.unionByName(before).withColumn("n", F.count(F.lit(1)).over(w)).filter("_own")
+    return counted.select(*cols, "n", (F.col("n") > most).alias("rejected"))
 
 
 def large_read(size: Column, n_lines: Column, offset: Column, limit: Column) -> Column:

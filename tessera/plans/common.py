@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import read_table
+from tessera.session import positioned, read_table
 
 
 def chunks(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
@@ -24,12 +24,12 @@ def header():
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
     """Delivered turns with a session, each (session, uuid) once as received last, ``seq`` by arrival."""
-    from pyspark.sql import Window
-
     t = read_table(spark, sf, "turns").filter("session_id is not null")
     row = F.struct("received_at", F.coalesce("ts", F.lit("")).alias("ts"), F.coalesce("text", F.lit("")).alias("t"), F.col("kind"), F.col("text"), F.col("tool_calls"), F.col("tool_results"))
     last = t.groupBy("session_id", "uuid").agg(F.max(row).alias("x")).select("session_id", "uuid", "x.received_at", F.lower(F.trim("x.kind")).alias("kind"), "x.text", "x.tool_calls", "x.tool_results")
-    return last.withColumn("seq", F.row_number().over(Window.partitionBy("session_id").orderBy("received_at", "uuid")))
+    placed = positioned(last, ["session_id", "received_at", "uuid"])  # no window over a session, which may hold a third of all rows
+    first = placed.groupBy("session_id").agg(F.min("g").alias("g0"))
+    return placed.join(first, "session_id").withColumn("seq", (F.col("g") - F.col("g0") + 1).cast("int")).drop("g", "g0")
 
 
 def tok(x: str) -> str:
