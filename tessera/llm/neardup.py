@@ -217,7 +217,7 @@ def similar_classes(texts: DataFrame, width: int = SHINGLE, threshold: float = T
 
 
 def _texts(chunks: DataFrame) -> DataFrame:
-    return chunks.filter("text is not null").select("chunk_no", "root", "path", "text", text_class(F.col("text")).alias("cls"))
+    return chunks.filter("text is not null and chunk_no is not null").select("chunk_no", "root", "path", "text", text_class(F.col("text")).alias("cls"))
 
 
 def _enough(text: Column, width: int) -> Column:
@@ -236,7 +236,7 @@ def found_pairs(chunks: DataFrame, width: int = SHINGLE, threshold: float = THRE
     """``chunk_a, chunk_b`` (smaller first): chunks of different files whose texts are similar enough.
 
     A file is known by root and path, null being a value of its own. Null texts and texts of fewer than ``width`` words take no part; a chunk delivered twice
-    counts once; an empty table gives no rows.
+    counts once, one without ``chunk_no`` not at all; an empty table gives no rows.
     """
     similar = similar_classes(_texts(chunks), width, threshold)
     m = _members(chunks, similar, width)

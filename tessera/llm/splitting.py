@@ -122,9 +122,9 @@ def pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> Dat
     """``chunk_no, part, text, line_start, line_end, repeated`` for every chunk whose text exceeds ``limit`` characters.
 
     ``repeated`` counts the leading characters that the piece before also has. Null and short texts give no rows; a chunk
-    delivered twice is cut once; a null ``line_start`` counts as 1. Only the oversized texts leave the JVM.
+    delivered twice is cut once; a null ``line_start`` counts as 1; a row without ``chunk_no`` is no chunk. Only the oversized texts leave the JVM.
     """
-    long = chunks.filter(F.length("text") > limit).select("chunk_no", "line_start", "text")
+    long = chunks.filter((F.length("text") > limit) & F.col("chunk_no").isNotNull()).select("chunk_no", "line_start", "text")
     once = long.groupBy("chunk_no").agg(F.min(F.struct(F.col("line_start"), F.col("text"))).alias("x")).select("chunk_no", "x.line_start", "x.text")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

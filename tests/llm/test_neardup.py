@@ -34,8 +34,9 @@ def frame(spark, rows):
 
 def test_pairs_match_brute_force(spark):
     rows = [(i, f"r{i % 3}", f"p{i % 50}", t) for i, t in enumerate(corpus())] + [(900, None, None, None), (901, None, "p", "a b c d"), (902, "r", None, "a b c d")]
+    nameless = [(None, "n", "n", rows[0][3])] * 2
     want = brute(rows)
-    got = {tuple(r) for r in N.found_pairs(frame(spark, rows + rows[:5])).collect()}
+    got = {tuple(r) for r in N.found_pairs(frame(spark, rows + rows[:5] + nameless)).collect()}
     assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 30
 
 

@@ -129,7 +129,7 @@ def test_reading_level_held_out(spark):
         docs.append((i, " ".join(rng.choice(hard if rng.random() < p else easy) for _ in range(60)) + "."))
         if i < 200:
             labels += [(i, "r1", i % 5 + 1), (i, "r1", i % 5 + 1), (i, "r2", None)]
-    docs += [(900, None), (901, ""), (902, "123 456"), (903, "zzz")]
+    docs += [(900, None), (901, ""), (902, "123 456"), (903, "zzz"), (None, "text")]
     d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "5 AS level")
     lab = spark.createDataFrame(labels, "doc_id long, rater string, reading_level int")
     out = {r["doc_id"]: r for r in reading.levels(d, reading.fit(d, lab)).collect()}

@@ -41,7 +41,7 @@ def test_long_line_and_overlap():
 
 
 def test_table(spark):
-    rows = [(1, 5, "short"), (2, None, "x y\n" * 1000), (2, None, "x y\n" * 1000), (3, 1, None), (4, 1, ""), (5, 7, "é" * 2048), (6, 7, "é" * 2049)]
+    rows = [(1, 5, "short"), (2, None, "x y\n" * 1000), (2, None, "x y\n" * 1000), (3, 1, None), (4, 1, ""), (5, 7, "é" * 2048), (6, 7, "é" * 2049), (None, 7, "x" * 3000)]
     df = spark.createDataFrame(rows, "chunk_no long, line_start int, text string").selectExpr("*", "'k' AS part")
     out = S.pieces(df).collect()
     assert {r["chunk_no"] for r in out} == {2, 6}
