@@ -99,6 +99,23 @@ def is_identifier_query(q: Column) -> Column:
     return found
 
 
+def valid_email(address: Column) -> Column:
+    """One ``@`` between parts without blanks, a dot in the second, at most 254 characters; null gives false."""
+    a = strip(address)
+    return F.coalesce(a.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$") & (F.length(a) <= 254), F.lit(False))
+
+
+def hmac_sha256(message: Column, key: str) -> Column:
+    """HMAC-SHA256 of a text as hex, composed of the built-in hash; keys of up to 64 bytes."""
+    raw = key.encode()
+    if len(raw) > 64:
+        raise ValueError("keys of over 64 bytes are hashed first")
+    raw = raw.ljust(64, b"\0")
+    inner, outer = bytes(b ^ 0x36 for b in raw), bytes(b ^ 0x5C for b in raw)
+    first = F.unhex(F.sha2(F.concat(F.lit(inner), F.encode(message, "UTF-8")), 256))
+    return F.sha2(F.concat(F.lit(outer), first), 256)
+
+
 def top_dir(path: Column) -> Column:
     """The first directory of a path, '.' for a file at the top."""
     return F.when(F.instr(path, "/") > 0, F.substring_index(path, "/", 1)).otherwise(F.lit("."))

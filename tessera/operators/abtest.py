@@ -41,6 +41,17 @@ def pair_arms(rows: DataFrame, item: str, arm: str, values: list[str], first: st
     return last.groupBy(item).agg(*cols, *ok).withColumn("complete", (F.col("ok_a") == 1) & (F.col("ok_b") == 1)).drop("ok_a", "ok_b")
 
 
+def with_fallback(results: DataFrame, logged: DataFrame, key: str) -> DataFrame:
+    """Token counts of a run's own result if it has any, else the sums over the models in its logs, else 0.
+
+    Both have ``key`` and input, output, cache_read, cache_write.
+    """
+    names = ("input", "output", "cache_read", "cache_write")
+    sums = logged.groupBy(key).agg(*[F.sum(F.coalesce(c, F.lit(0))).alias(f"log_{c}") for c in names])
+    any_own = F.coalesce(sum((F.coalesce(F.col(c), F.lit(0)) for c in names), F.lit(0)), F.lit(0)) > 0
+    return results.join(sums, key, "left").select(key, *[F.when(any_own, F.coalesce(c, F.lit(0))).otherwise(F.coalesce(f"log_{c}", F.lit(0))).cast("long").alias(c) for c in names])
+
+
 def bootstrap_ci(values: Iterable[float], rounds: int = ROUNDS, seed: int = SEED) -> tuple[float, float]:
     """Percentile bootstrap interval (2.5 and 97.5 %) of the mean; (0, 0) without values."""
     v = list(values)

@@ -31,6 +31,17 @@ def score_queries(judged: DataFrame, golden: DataFrame) -> DataFrame:
     return j.select("query_id", "type", "first_rank", F.coalesce(F.col("first_rank") == 1, F.lit(False)).alias("hit1"), F.coalesce(F.col("first_rank") <= 5, F.lit(False)).alias("hit5"), F.coalesce(1.0 / F.col("first_rank"), F.lit(0.0)).alias("mrr"), "tokens_to_task", F.coalesce("ctx_tokens_5", F.lit(0)).cast("long").alias("ctx_tokens_5"))
 
 
+def judge_rows(results: DataFrame, golden: DataFrame, top: int = 5) -> DataFrame:
+    """Test cases for a judge: ``query_id, mode, query, context, reference`` with the first ``top`` results of every query and mode as one text.
+
+    ``results``: query_id, mode, rank, path, symbol, text; ``golden``: query_id, query, relevant.
+    """
+    part = F.concat(F.lit("--- "), F.col("path"), F.lit(" ("), F.col("symbol"), F.lit(") ---\n"), F.coalesce("text", F.lit("")))
+    ctx = results.filter(F.col("rank") <= top).groupBy("query_id", "mode").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", part.alias("p")))), lambda s: s["p"]), "\n\n").alias("context"))
+    ref = F.array_join(F.transform("relevant", lambda s: F.concat(s["path"], F.when(F.coalesce(F.size(s["symbols"]), F.lit(0)) > 0, F.concat(F.lit(" ("), F.array_join(s["symbols"], ", "), F.lit(")"))).otherwise(""))), "; ")
+    return ctx.join(golden.select("query_id", "query", ref.alias("reference")), "query_id").select("query_id", "mode", "query", "context", "reference")
+
+
 def positional(value: Column, share: float | None) -> Column:
     """The element of the sorted values at n // 2 (``share`` None) or at min(n - 1, floor(share * n)), counted from 0."""
     v = F.array_sort(F.collect_list(value))

@@ -59,9 +59,14 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, header: Column, text:
     wanted = F.broadcast(wanted) if small(wanted, BROADCAST_ROWS) else wanted
     post = postings(docs, id_col, header, text).join(wanted, "term", "left_semi")
     stats = lengths(docs, id_col, header, text).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
+    s = stats.first()
+    return score_postings(post, qt, F.lit(s["n"]), F.lit(s["avgdl"] or 0.0))
+
+
+def score_postings(post: DataFrame, qt: DataFrame, n: Column, avgdl: Column) -> DataFrame:
+    """``query_id, id, score`` from postings (term, id, tf, dl) of the terms in ``qt`` (query_id, term), the number of records and their mean length."""
     df = post.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    weighted = qt.join(df, "term").crossJoin(F.broadcast(stats))  # stats is one row
-    weighted = weighted.select("query_id", "term", idf(F.col("df"), F.col("n")).alias("idf"), "avgdl")
+    weighted = qt.join(df, "term").select("query_id", "term", idf(F.col("df"), n).alias("idf"), avgdl.alias("avgdl"))
     hit = post.join(F.broadcast(weighted) if small(weighted, BROADCAST_ROWS) else weighted, "term")
     tf = F.col("tf").cast("double")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1e-9))))

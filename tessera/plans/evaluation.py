@@ -95,8 +95,32 @@ def not_yet_done(spark, sf):
     return read_table(spark, sf, "customer").select("c_custkey").join(done, "c_custkey", "left_anti")
 
 
+def probe_benchmark(spark, sf):
+    """Totals of a batch of questions: spans against whole files, their ratio and the dollars saved at the default input price."""
+    from tessera.functions.usage import DEFAULT_PRICE
+    from tessera.plans.retrieval import span_savings
+
+    s = span_savings(spark, sf).agg(F.count(F.lit(1)).alias("questions"), F.sum("chunk_tokens").alias("spans"), F.sum("whole_file_tokens").alias("whole_files"))
+    saved = (F.col("whole_files") - F.col("spans")) / 1e6 * DEFAULT_PRICE[0]
+    return s.select("*", F.round(F.try_divide(F.col("whole_files").cast("double"), F.col("spans").cast("double")), 4).alias("ratio"), F.round(saved, 6).alias("saved"))
+
+
+def judge_context_rows(spark, sf):
+    g = read_table(spark, sf, "golden_items").select(F.col("item_id").alias("query_id"), "query", "relevant")
+    c = chunks(spark, sf, "header", "text", "path", "symbol")
+    top = R.top_k(R.bm25(c, g, "chunk_no", F.col("header"), F.col("text"), "query_id", "query"), 5)
+    r = top.join(c.select(F.col("chunk_no").alias("id"), "path", "symbol", "text"), "id").withColumn("mode", F.lit("lexical"))
+    return evaluation.judge_rows(r, g).select("query_id", "mode", F.md5("context").alias("context"), "reference")
+
+
+def golden_by_repo(spark, sf):
+    """Golden items whose repository is in the map, and those that are skipped."""
+    roots = read_table(spark, sf, "codebase_map").select(F.col("root").alias("repo")).distinct().withColumn("there", F.lit(True))
+    return read_table(spark, sf, "golden_items").join(roots, "repo", "left").groupBy(F.coalesce("there", F.lit(False)).alias("available")).agg(F.count(F.lit(1)).alias("items"))
+
+
 QUERIES = {f.__name__: f for f in (
-    query_scores, hit_at_k_mrr, tokens_to_task, hit5_by_type, quality_gate, latency_p50_p95, paired_join, dropped_pairs, token_reduction, cost_per_resolved, stratified_quota, stratified_sample, bootstrap_interval, not_yet_done,
+    query_scores, hit_at_k_mrr, tokens_to_task, hit5_by_type, quality_gate, latency_p50_p95, paired_join, dropped_pairs, token_reduction, cost_per_resolved, stratified_quota, stratified_sample, bootstrap_interval, not_yet_done, probe_benchmark, judge_context_rows, golden_by_repo,
 )}
 
 _S = f"""WITH {ONCE}, {postings_sql("k", "chunk_no", "coalesce(header, '')", "text")}, {bm25_sql("golden_items", "item_id", "query")},
@@ -113,7 +137,16 @@ l AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY item, arm ORDER BY
 FROM (SELECT * FROM l WHERE arm = 'a') a FULL JOIN (SELECT * FROM l WHERE arm = 'b') b ON a.item = b.item)"""
 _Q = "qs AS (SELECT o_orderpriority, count(*) AS size, greatest(1, round_even(75.0 * count(*) / (SELECT count(*) FROM orders), 0)::BIGINT) AS quota FROM orders GROUP BY 1)"
 
+_SPANS = f"""WITH {ONCE}, {postings_sql("k", "chunk_no", "coalesce(header, '')", "text")}, {bm25_sql("golden_items", "item_id", "query")}"""
+
 ORACLES = {
+    "probe_benchmark": f"""{_SPANS}, c AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc QUALIFY rank <= 8), j AS (SELECT query_id, path, greatest(1, length(coalesce(text, '')) // 4) AS tokens FROM c JOIN k ON k.chunk_no = c.id),
+s AS (SELECT query_id, cast(sum(tokens) AS BIGINT) AS a FROM j GROUP BY 1), m AS (SELECT path, greatest(1, max(size) // 4) AS file_tokens FROM codebase_map GROUP BY 1), w AS (SELECT query_id, cast(sum(file_tokens) AS BIGINT) AS b FROM (SELECT DISTINCT query_id, path FROM j) JOIN m USING (path) GROUP BY 1)
+SELECT count(*) AS questions, cast(sum(a) AS BIGINT) AS spans, cast(sum(b) AS BIGINT) AS whole_files, round(sum(b)::DOUBLE / sum(a)::DOUBLE, 4) AS ratio, round((sum(b) - sum(a))::DOUBLE / 1e6 * 5, 6) AS saved FROM s LEFT JOIN w USING (query_id)""",
+    "judge_context_rows": f"""{_SPANS}, c AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc QUALIFY rank <= 5)
+SELECT query_id, 'lexical' AS mode, md5(string_agg('--- ' || path || ' (' || symbol || ') ---' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY rank)) AS context,
+any_value(array_to_string(list_transform(relevant, lambda s: s.path || CASE WHEN coalesce(len(s.symbols), 0) > 0 THEN ' (' || array_to_string(s.symbols, ', ') || ')' ELSE '' END), '; ')) AS reference FROM c JOIN k ON k.chunk_no = c.id JOIN golden_items ON item_id = query_id GROUP BY query_id""",
+    "golden_by_repo": "SELECT repo IS NOT NULL AND repo IN (SELECT root FROM codebase_map WHERE root IS NOT NULL) AS available, count(*) AS items FROM golden_items GROUP BY 1",
     "query_scores": f"{_S} SELECT query_id, type, first_rank, hit1, hit5, round(mrr, 6) AS mrr, tokens_to_task, ctx_tokens_5 FROM q",
     "hit_at_k_mrr": f"{_S} SELECT count(*) AS n, round(avg(hit1::INTEGER), 6) AS hit1, round(avg(hit5::INTEGER), 6) AS hit5, round(avg(mrr), 6) AS mrr FROM q",
     "tokens_to_task": f"{_S} SELECT round_even(avg(tokens_to_task), 0)::BIGINT AS tokens_to_task, round_even(avg(ctx_tokens_5), 0)::BIGINT AS ctx_tokens_5 FROM q",

@@ -148,9 +148,23 @@ def span_savings(spark, sf):
     return R.result_tokens(cut, c, sizes).select("query_id", "chunk_tokens", F.col("whole_file_tokens").cast("long").alias("whole_file_tokens"))
 
 
+def stored_index_search(spark, sf):
+    """Builds a stored index of the documents and answers the batch from it: the same results as from the documents themselves."""
+    import uuid
+
+    from tessera.operators.store import IndexStore
+    from tessera.session import shared_dir
+
+    d = documents(spark, sf).select(F.col("doc_id").alias("id"), F.concat(F.lit("doc/"), F.col("doc_id")).alias("path"), "lang", header().alias("header"), "text", T.short_sha(F.col("text")).alias("sha"))
+    store = IndexStore(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    store.build(d, d.select("path", "sha", F.lit(0).alias("mtime")))
+    q = read_table(spark, sf, GOLD).select(F.col("item_id").alias("query_id"), "query")
+    return store.search(q, 8, priors=False).select("query_id", F.col("id").alias("doc_id"), "score", "rank")
+
+
 QUERIES = {f.__name__: f for f in (
     tokenize_terms, term_frequency, doc_frequency_idf, doc_length_stats, bm25_topk, bm25_multi_query_topk, bm25_with_priors, cosine_topk, l2_normalize_check, rrf_fusion, rrf_identifier_boost,
-    identifier_queries, duplicate_prompts, prompt_hash_dedup, hash_embedding, filtered_vector_topk, prefiltered_vector_topk, subset_bm25, symbol_find, rank_priors, span_savings,
+    identifier_queries, duplicate_prompts, prompt_hash_dedup, hash_embedding, filtered_vector_topk, prefiltered_vector_topk, subset_bm25, stored_index_search, symbol_find, rank_priors, span_savings,
 )}
 
 _IDENT = lambda c: rf"""(regexp_matches({c}, '\b[a-z0-9]+_[a-z0-9_]+\b') OR regexp_matches({c}, '\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+\b') OR regexp_matches({c}, '["''][^"'']+["'']') OR regexp_matches({c}, '\b\w+\.\w+\(\)'))"""
@@ -177,6 +191,7 @@ ORACLES = {
     "bm25_topk": "WITH " + _POST + ", one AS (SELECT 1 AS item_id, 'where does the retry handler load the config' AS query), " + bm25_sql("one", "item_id", "query") + """,
 r AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sc QUALIFY rank <= 10) SELECT rank, id AS doc_id, score, lang, source FROM r JOIN documents ON doc_id = id""",
     "bm25_multi_query_topk": f"WITH {DOCS_BM25} SELECT query_id, id AS doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc QUALIFY rank <= 8",
+    "stored_index_search": f"WITH {DOCS_BM25} SELECT query_id, id AS doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc QUALIFY rank <= 8",
     "bm25_with_priors": f"""WITH {_CH},
 c AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc QUALIFY rank <= 20),
 p AS (SELECT query_id, chunk_no, round(score * {PRIOR}, 7) AS score FROM c JOIN k ON k.chunk_no = c.id)

@@ -68,6 +68,23 @@ def golden(spark: SparkSession, path: str, repos: list[str] | None = None) -> Da
     return g.filter(F.col("repo").isin(repos)) if repos else g
 
 
+def questions(spark: SparkSession, path: str) -> DataFrame:
+    """One question per line, blank lines dropped."""
+    return spark.read.text(path).select(F.trim("value").alias("query")).filter("query <> ''")
+
+
+def settings_model(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Explicit evidence ``model, strength, seq`` from settings files (JSON with ``model``), in the given order; unreadable ones give none."""
+    from functools import reduce
+
+    from tessera.session import _hadoop_path
+
+    there = [(i, p) for i, p in enumerate(paths) if (lambda x: x[0].exists(x[1]))(_hadoop_path(spark, p))]
+    none = spark.createDataFrame([], "model string, strength string, seq int")
+    rows = [spark.read.option("wholetext", True).text(p).select(F.try_variant_get(F.try_parse_json("value"), "$.model", "string").alias("model"), F.lit("explicit").alias("strength"), F.lit(i).alias("seq")) for i, p in there]
+    return reduce(DataFrame.unionByName, rows, none).filter("model is not null")
+
+
 def instances(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of instances with their language (the first non-empty of three fields, or 'unknown')."""
     d = spark.read.schema("instance_id string, repo string, base_commit string, problem_statement string, repo_language string, language string, lang string").option("multiLine", True).json(path)

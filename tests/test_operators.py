@@ -248,3 +248,50 @@ def test_indexing(spark):
     assert [x["id"] for x in reused.collect()] == ["a"] and [x["id"] for x in todo.collect()] == ["b"]
     k = spark.createDataFrame([(f"{i:04d}",) for i in range(107)], "key string")
     assert sorted(x["key"] for x in indexing.systematic_sample(k, "key").collect()) == [f"{i:04d}" for i in range(0, 100, 5)]
+
+
+def test_index_store(spark, tmp_path):
+    import pytest
+
+    from tessera.operators import store as S
+
+    st_ = S.IndexStore(spark, f"file://{tmp_path}/ix")
+    assert st_.problems() == ["no readable settings"] and st_.meta() is None
+    rows = [("a", "src/a.py", "python", "", "retry handler", "1"), ("b", "tests/b.py", "python", "", "retry handler", "1"), ("c", "c.md", "markdown", None, None, "1")]
+    cols = "id string, path string, lang string, header string, text string, sha string"
+    c = spark.createDataFrame(rows, cols)
+    f = lambda d: d.select("path", "sha", F.lit(0).alias("mtime"))
+    made = []
+
+    def embed(d):
+        made.append(sorted(r["id"] for r in d.select("id").collect()))
+        return d.select("id", F.array(F.lit(1.0)).alias("vec"))
+
+    st_.build(c, f(c), embed, "hash")
+    assert st_.problems() == [] and made == [["a", "b", "c"]]
+    q = spark.createDataFrame([(1, "retry_handler"), (2, None)], "query_id long, query string")
+    assert [r["id"] for r in st_.search(q).orderBy("rank").collect()] == ["a", "b"]
+    c2 = spark.createDataFrame([(*rows[0][:5], "2"), *rows[1:2]], cols)
+    assert {(r["path"], r["status"]) for r in st_.stale(f(c2)).collect()} == {("src/a.py", "changed"), ("c.md", "deleted")}
+    assert st_.stale(f(c), 20).count() == 0
+    meta = st_.build(c2, f(c2), embed, "hash")
+    assert made[1] == ["a"] and meta["reused"] == 1 and st_.problems() == []
+    with S.writer_lock(spark, f"file://{tmp_path}/ix"), pytest.raises(S.LockHeld):
+        st_.build(c2, f(c2))
+    with S.writer_lock(spark, f"file://{tmp_path}/ix", -1):
+        pass
+
+
+def test_small_helpers(spark):
+    import hashlib
+    import hmac
+
+    from tessera.functions import text as T
+
+    df = spark.createDataFrame([("a@b.co",), (" x@y.z ",), ("a@b",), ("a b@c.d",), (None,)], "e string")
+    assert [r[0] for r in df.select(T.valid_email(F.col("e"))).collect()] == [True, True, False, False, False]
+    got = [r[0] for r in df.filter("e is not null").select(T.hmac_sha256(F.col("e"), "key")).collect()]
+    assert got[0] == hmac.new(b"key", b"a@b.co", hashlib.sha256).hexdigest()
+    own = spark.createDataFrame([(1, 5, None, 0, 0), (2, 0, 0, 0, None), (3, None, None, None, None)], "k long, input long, output long, cache_read long, cache_write long")
+    logs = spark.createDataFrame([(2, 1, 2, 3, 4), (2, 1, 1, 1, 1), (1, 9, 9, 9, 9)], "k long, input long, output long, cache_read long, cache_write long")
+    assert sorted(tuple(r) for r in abtest.with_fallback(own, logs, "k").collect()) == [(1, 5, 0, 0, 0), (2, 2, 3, 4, 5), (3, 0, 0, 0, 0)]
