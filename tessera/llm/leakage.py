@@ -121,15 +121,20 @@ class Items:
 
 
 def _blocks(items: DataFrame, window: int) -> Iterator[list[tuple[int, str]]]:
-    """Items, a bounded number of windows at a time; they are streamed, never all collected."""
+    """Items, at most BLOCK_WINDOWS windows at a time; they are streamed, never all collected. A longer passage comes in parts that overlap by a window."""
+    import re
+
     block, n = [], 0
     for r in items.select("item_id", "passage").filter("item_id is not null and passage is not null").dropDuplicates().orderBy("item_id", "passage").toLocalIterator():
-        size = len(r["passage"]) // 2
-        if block and n + size > BLOCK_WINDOWS * 4:
-            yield block
-            block, n = [], 0
-        block.append((r["item_id"], r["passage"]))
-        n += size
+        words = re.findall(r"[^\W_]+", r["passage"].lower())
+        step = max(BLOCK_WINDOWS, 1)
+        for at in range(0, max(len(words) - window + 1, 0), step):
+            part = words[at : at + step + window - 1]
+            if block and n + len(part) - window + 1 > BLOCK_WINDOWS:
+                yield block
+                block, n = [], 0
+            block.append((r["item_id"], " ".join(part)))
+            n += len(part) - window + 1
     if block:
         yield block
 

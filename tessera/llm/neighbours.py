@@ -153,7 +153,7 @@ def knn(vectors: DataFrame, k: int = K, dim: int = DIM, curves: int = CURVES, wi
 
     rows = usable(vectors, dim, id_col, vec_col).select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec"))
     keyed = rows.mapInArrow(keys, "curve int, key long, id long, vec array<float>").repartitionByRange("curve", "key", "id").sortWithinPartitions("curve", "key", "id")
-    found = keyed.mapInArrow(compare, "id long, other long, similarity double").distinct()
+    found = keyed.mapInArrow(compare, "id long, other long, similarity double").groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
     best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
     return found.withColumn("rank", best).filter(F.col("rank") <= k)
 

@@ -107,7 +107,7 @@ def test_leaks(spark):
 
 
 def test_item_blocks(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "BLOCK_WINDOWS", 10)
+    monkeypatch.setattr(leakage, "BLOCK_WINDOWS", 15)  # passages of 21 windows come in parts
     words = [f"q{i}" for i in range(100)]
     items = spark.createDataFrame([(i, " ".join(words[i : i + 30])) for i in range(8)], "item_id long, passage string")
     docs = spark.createDataFrame([(1, " ".join(words[2:14]))], "doc_id long, text string")
