@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import _hadoop_path
+from tessera.session import _hadoop_path, materialise
 
 #: Bits of the key hash that each tree level adds, and levels below the root.
 LEVEL_BITS = 4
@@ -70,9 +70,9 @@ def changed_rows(now: DataFrame, saved: DataFrame, keys: Sequence[str], token: s
     """
     keys = list(keys)
     never = F.when(F.col(token).isNull(), F.lit("\u0000null")).otherwise(F.col(token).cast("string"))
-    t1 = tree(now.select(*keys, never.alias("_token")), keys, "_token", bits, levels)
-    t2 = saved_tree if saved_tree is not None else tree(saved.select(*keys, F.col(token).cast("string").alias("_token")), keys, "_token", bits, levels)
-    leaves = changed_leaves(t1, t2, levels, bits)  # at most 2**(bits * levels) rows of one long: a proven bound
+    t1 = materialise(tree(now.select(*keys, never.alias("_token")), keys, "_token", bits, levels), "tree")  # trees have a bounded number of nodes
+    t2 = saved_tree if saved_tree is not None else materialise(tree(saved.select(*keys, F.col(token).cast("string").alias("_token")), keys, "_token", bits, levels), "tree")
+    leaves = materialise(changed_leaves(t1, t2, levels, bits), "leaves")  # at most 2**(bits * levels) rows of one long: a proven bound
     mark = leaf_range(keys, bits, levels)
     left = now.withColumn("_leaf", mark).join(F.broadcast(leaves.withColumnRenamed("node", "_leaf")), "_leaf", "left_semi").drop("_leaf")
     right = saved.select(*keys, *[F.col(c).alias(f"saved_{c}") for c in saved.columns if c not in keys])
@@ -167,7 +167,8 @@ def files_to_index(code_map: DataFrame, chunks: DataFrame, runs: DataFrame) -> D
     ``mtime`` such a file that was indexed is no case. Files missing from the map are none. Empty tables give no rows
     (an empty map) or every file (no chunks).
     """
-    pending = changed_rows(current_files(code_map), indexed_files(chunks, runs), ["root", "path"])
+    now, saved = materialise(current_files(code_map), "now"), materialise(indexed_files(chunks, runs), "saved")  # a row per file each, read twice
+    pending = changed_rows(now, saved, ["root", "path"])
     run_s = F.unix_micros(F.col("saved_started_at").cast("timestamp")) / F.lit(1e6)
     reason = F.when(F.col("is_new"), "new").when(F.col("token").isNotNull(), "changed").when(F.col("mtime") > run_s, "touched")
     return pending.select("root", "path", reason.alias("reason")).filter("reason is not null")
