@@ -197,7 +197,7 @@ c AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER
 p AS (SELECT query_id, chunk_no, round(score * {PRIOR}, 7) AS score FROM c JOIN k ON k.chunk_no = c.id)
 SELECT query_id, chunk_no, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_no) AS rank FROM p QUALIFY rank <= 8""",
     "cosine_topk": f"WITH {_VEC}, s AS (SELECT a.chunk_no AS query_id, b.chunk_no, {_COS} AS score FROM u a CROSS JOIN u b WHERE a.chunk_no % 100 = 0) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_no) AS rank FROM s QUALIFY rank <= 8",
-    "l2_normalize_check": "SELECT vec_id, CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END AS length, round(n, 4) AS norm FROM (SELECT vec_id, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)",
+    "l2_normalize_check": "SELECT vec_id, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length, round(n, 4) AS norm FROM (SELECT vec_id, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)",
     "rrf_fusion": _RRF.replace("{ident}", "false"),
     "rrf_identifier_boost": _RRF.replace("{ident}", _IDENT("passage")),
     "identifier_queries": f"SELECT item_id, {_IDENT('query')} AS by_query, {_IDENT('passage')} AS by_passage FROM golden_items",

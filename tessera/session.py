@@ -52,7 +52,7 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back.
 
     This cuts the lineage like ``checkpoint()`` does (every executor can read the files, so a lost
-    executor costs nothing), but columnar and compressed. The tables are removed when the driver ends.
+    executor costs nothing), but columnar and compressed. :func:`clear` removes the tables, at the latest when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
@@ -62,8 +62,10 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 @atexit.register
-def _clean() -> None:
-    for spark, path in _written:
+def clear() -> None:
+    """Removes all tables that :func:`materialise` wrote; call it when no DataFrame that reads them is needed any more."""
+    while _written:
+        spark, path = _written.pop()
         try:
             delete_path(spark, path)
         except Exception:  # noqa: BLE001  the context is gone; the folder's owner clears it
