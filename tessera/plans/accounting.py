@@ -33,17 +33,17 @@ def usage_totals_by_model(spark, sf):
 
 def impact_cost_footprint(spark, sf):
     i = A.impact(A.usage_totals(_usage(spark, sf)))
-    return i.select("input_tokens", "output_tokens", *[F.round(c, 4).alias(c) for c in ("actual_cost", "energy_wh", "water_ml", "co2_g")])
+    return i.select("input_tokens", "output_tokens", *[F.round(c, 8).alias(c) for c in ("actual_cost", "energy_wh", "water_ml", "co2_g")])
 
 
 def impact_baseline_savings(spark, sf):
     i = A.impact(A.usage_totals(_usage(spark, sf)))
-    return i.select(F.round("baseline_cost", 4).alias("baseline_cost"), *[F.round(c, 4).alias(c) for c in ("saved_cost", "saved_energy_wh", "saved_water_ml", "saved_co2_g")])
+    return i.select(F.round("baseline_cost", 8).alias("baseline_cost"), *[F.round(c, 8).alias(c) for c in ("saved_cost", "saved_energy_wh", "saved_water_ml", "saved_co2_g")])
 
 
 def impact_equivalents(spark, sf):
     e = A.equivalents(A.impact(A.usage_totals(_usage(spark, sf))))
-    return e.select(*[F.round(c, 4).alias(c) for c in e.columns])
+    return e.select(*[F.round(c, 8).alias(c) for c in e.columns])
 
 
 def retrieval_savings_window(spark, sf):
@@ -69,7 +69,7 @@ def price_lookup(spark, sf):
 
 def cost_by_user(spark, sf):
     u = _usage(spark, sf).groupBy("user_id", "model").agg(*[F.sum(c).alias(c) for c in A.COUNTS])
-    return u.groupBy("user_id").agg(F.round(F.sum(U.cost(F.col("model"), *[F.col(c) for c in A.COUNTS])), 6).alias("cost"))
+    return u.groupBy("user_id").agg(F.round(F.sum(U.cost(F.col("model"), *[F.col(c) for c in A.COUNTS])), 9).alias("cost"))
 
 
 def evidence_argmax(spark, sf):
@@ -122,9 +122,9 @@ b AS (SELECT family, model, strength, {_RANK} AS rank FROM e ORDER BY rank DESC,
 
 ORACLES = {
     "usage_totals_by_model": f"WITH {_U} SELECT * FROM t",
-    "impact_cost_footprint": f"WITH {_I} SELECT input AS input_tokens, output AS output_tokens, round(cost, 4) AS actual_cost, round(wh, 4) AS energy_wh, round(wh * 0.95::DOUBLE, 4) AS water_ml, round(wh * 0.4::DOUBLE, 4) AS co2_g FROM s",
-    "impact_baseline_savings": f"WITH {_I} SELECT round(base, 4) AS baseline_cost, round(greatest(0, base - cost), 4) AS saved_cost, round(bwh - wh, 4) AS saved_energy_wh, round((bwh - wh) * 0.95::DOUBLE, 4) AS saved_water_ml, round((bwh - wh) * 0.4::DOUBLE, 4) AS saved_co2_g FROM s",
-    "impact_equivalents": f"WITH {_I} SELECT round((bwh - wh) / 12.2::DOUBLE, 4) AS phone_charges, round((bwh - wh) * 0.95::DOUBLE / 250, 4) AS glasses, round((bwh - wh) * 0.4::DOUBLE / 404, 4) AS miles, round((bwh - wh) / 10, 4) AS led_hours FROM s",
+    "impact_cost_footprint": f"WITH {_I} SELECT input AS input_tokens, output AS output_tokens, round(cost, 8) AS actual_cost, round(wh, 8) AS energy_wh, round(wh * 0.95::DOUBLE, 8) AS water_ml, round(wh * 0.4::DOUBLE, 8) AS co2_g FROM s",
+    "impact_baseline_savings": f"WITH {_I} SELECT round(base, 8) AS baseline_cost, round(greatest(0, base - cost), 8) AS saved_cost, round(bwh - wh, 8) AS saved_energy_wh, round((bwh - wh) * 0.95::DOUBLE, 8) AS saved_water_ml, round((bwh - wh) * 0.4::DOUBLE, 8) AS saved_co2_g FROM s",
+    "impact_equivalents": f"WITH {_I} SELECT round((bwh - wh) / 12.2::DOUBLE, 8) AS phone_charges, round((bwh - wh) * 0.95::DOUBLE / 250, 8) AS glasses, round((bwh - wh) * 0.4::DOUBLE / 404, 8) AS miles, round((bwh - wh) / 10, 8) AS led_hours FROM s",
     "retrieval_savings_window": f"""WITH r AS (SELECT floor(value)::BIGINT AS c, floor(value * 7)::BIGINT AS w FROM events WHERE {NOW} - floor(epoch_us(ts) / 1e6) <= 864000),
 s AS (SELECT count(*) AS queries, sum(c)::BIGINT AS chunk_tokens, sum(w)::BIGINT AS whole_file_tokens FROM r) SELECT *, greatest(0, whole_file_tokens - chunk_tokens)::BIGINT AS tokens_avoided, round(greatest(0, whole_file_tokens - chunk_tokens)::DOUBLE / 1e6 * 5, 6) AS est_cost_avoided FROM s WHERE queries > 0""",
     "context_bloat": """WITH r AS (SELECT session_id, CASE WHEN lower(trim(kind, ' ')) = 'summary' THEN 1 ELSE 0 END AS c, coalesce(len(tool_results), 0) AS n, coalesce(list_sum(list_transform(tool_results, lambda x: strlen(coalesce(x.output, '')))), 0) AS b FROM turns WHERE session_id IS NOT NULL),
@@ -132,7 +132,7 @@ p AS (SELECT session_id, max(c) AS c, sum(n) AS n, sum(b) AS b FROM r GROUP BY 1
 SELECT sessions, compacted_sessions, tool_results, b // 4 AS tool_output_tokens, round(b / 1048576.0::DOUBLE, 6) AS tool_output_mb, b // 4 // sessions AS avg_tool_output_tokens_per_session FROM s""",
     "milestone_level": f"WITH {_I} SELECT round(floor(round(greatest(0, base - cost), 6) / 5.0) * 5.0, 2)::DOUBLE AS level FROM s",
     "price_lookup": f"WITH {_U} SELECT DISTINCT model, {_PIN}::DOUBLE AS price_in, {_POUT}::DOUBLE AS price_out, CASE WHEN model LIKE '%haiku%' THEN 'haiku' WHEN model LIKE '%sonnet%' THEN 'sonnet' WHEN model LIKE '%opus%' THEN 'opus' WHEN model LIKE '%fable%' THEN 'fable' END AS family FROM u",
-    "cost_by_user": f"WITH {_U}, g AS (SELECT user_id, model, sum(input)::BIGINT AS input, sum(output)::BIGINT AS output, sum(cache_read)::BIGINT AS cache_read, sum(cache_write)::BIGINT AS cache_write FROM u GROUP BY 1, 2) SELECT user_id, round(sum({_COST}), 6) AS cost FROM g GROUP BY 1",
+    "cost_by_user": f"WITH {_U}, g AS (SELECT user_id, model, sum(input)::BIGINT AS input, sum(output)::BIGINT AS output, sum(cache_read)::BIGINT AS cache_read, sum(cache_write)::BIGINT AS cache_write FROM u GROUP BY 1, 2) SELECT user_id, round(sum({_COST}), 9) AS cost FROM g GROUP BY 1",
     "evidence_argmax": f"WITH {_EV} SELECT family, model, CASE strength WHEN 'explicit' THEN 'high' WHEN 'recent' THEN 'medium' WHEN 'stale' THEN 'low' END AS confidence FROM b",
     "routing_table": f"WITH {_EV}, r AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in routing.ROUTES) + ") AS v(task, rule)) SELECT task, CASE WHEN family IS NULL THEN 'inherit' WHEN rule = 'best' THEN family WHEN rule = 'sonnet-or-best' THEN CASE WHEN rank >= 2 THEN 'sonnet' ELSE family END ELSE rule END AS target FROM r LEFT JOIN b ON true",
     "rate_limit_sliding": "SELECT event_id, n, n > 3 AS rejected FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 43199999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS n FROM events)",
