@@ -91,6 +91,17 @@ def positioned(turns: DataFrame, order: list[str]) -> DataFrame:
     return part.join(offsets, "_p").withColumn("g", F.col("_o") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).select(*cols, "g")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Repartitions a scan that has fewer partitions than the cluster has cores, for work that Python does afterwards.
+
+    Large inputs have more partitions than cores and pass unchanged, without a shuffle; so does anything that isn't a plain scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString() or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """True if ``df`` has at most ``rows`` rows; reads no more than that many."""
     return df.limit(rows + 1).count() <= rows
