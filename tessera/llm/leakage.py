@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import spread
+
 WINDOW = 10
 #: Repetitions and sampled positions; measured recall at one edit is in the README.
 REPETITIONS, SAMPLES, SEED = 8, 6, 20_260
@@ -149,7 +151,7 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_edits: in
     broadcast (its size is bounded by ``BLOCK_WINDOWS``) and only hits are aggregated.
     """
     spark = docs.sparkSession
-    hits = None
+    hits, texts = None, spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null"))
     for block in _blocks(items, window):
         shared = spark.sparkContext.broadcast(Items(block, window, repetitions, samples))
 
@@ -193,7 +195,7 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_edits: in
                     cols = [[doc[k[0]] for k in best], [k[1] for k in best], [e[0] for e in best.values()], [len(e[1]) for e in best.values()]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null").mapInArrow(run, "doc_id long, item_id long, distance int, windows long")
+        part = texts.mapInArrow(run, "doc_id long, item_id long, distance int, windows long")
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
         return spark.createDataFrame(pd.DataFrame(columns=["doc_id", "item_id", "distance", "windows"]), "doc_id long, item_id long, distance int, windows long")
