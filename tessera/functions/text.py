@@ -41,7 +41,8 @@ def tokens(text: Column) -> Column:
 
     def with_parts(w: Column) -> Column:
         parts = F.regexp_extract_all(w, F.lit(SUBWORD), F.lit(0))
-        return F.when(F.size(parts) > 1, F.concat(F.array(F.lower(w)), F.transform(parts, F.lower))).otherwise(F.array(F.lower(w)))
+        whole = w.rlike("^[a-z]+$")  # most words; they have no parts
+        return F.when(whole, F.array(w)).when(F.size(parts) > 1, F.concat(F.array(F.lower(w)), F.transform(parts, F.lower))).otherwise(F.array(F.lower(w)))
 
     return F.flatten(F.transform(words, with_parts))
 

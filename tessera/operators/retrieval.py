@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import estimate_tokens, is_identifier_query, rank_prior, tokens
-from tessera.session import BROADCAST_ROWS, small
+from tessera.session import BROADCAST_ROWS, materialise, small
 
 #: BM25 and fusion constants (fixed values).
 K1, B, HEADER_WEIGHT = 1.2, 0.75, 3
@@ -57,7 +57,7 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, header: Column, text:
     qt = query_terms(queries, query_id, query_text)
     wanted = qt.select("term").distinct()
     wanted = F.broadcast(wanted) if small(wanted, BROADCAST_ROWS) else wanted
-    post = postings(docs, id_col, header, text).join(wanted, "term", "left_semi")
+    post = materialise(postings(docs, id_col, header, text).join(wanted, "term", "left_semi"), "postings")  # read for the document frequencies and for the scores
     stats = lengths(docs, id_col, header, text).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
     s = stats.first()
     return score_postings(post, qt, F.lit(s["n"]), F.lit(s["avgdl"] or 0.0))
@@ -67,7 +67,7 @@ def score_postings(post: DataFrame, qt: DataFrame, n: Column, avgdl: Column) ->
     """``query_id, id, score`` from postings (term, id, tf, dl) of the terms in ``qt`` (query_id, term), the number of records and their mean length."""
     df = post.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     weighted = qt.join(df, "term").select("query_id", "term", idf(F.col("df"), n).alias("idf"), avgdl.alias("avgdl"))
-    hit = post.join(F.broadcast(weighted) if small(weighted, BROADCAST_ROWS) else weighted, "term")
+    hit = post.join(F.broadcast(weighted) if small(qt, BROADCAST_ROWS) else weighted, "term")
     tf = F.col("tf").cast("double")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1e-9))))
     return hit.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
