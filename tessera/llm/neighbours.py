@@ -1,12 +1,14 @@
 """The k most similar vectors of every vector, by shifted space-filling curves.
 
-Each curve projects the unit vectors to a few dimensions (a random rotation and shift of its own), quantises them and takes the Hilbert index as
-key. Rows are range partitioned by (curve, key); in key order, windows of equal numbers of rows are compared with themselves and the next window, and
-each row keeps its best k. The curves' lists are merged and the best k by exact cosine remain.
+Equal unit vectors form one class, which is searched once for all its members. Each curve projects the unit vectors to a few dimensions (a random
+rotation and shift of its own), quantises them and takes the Hilbert index as key. Classes are range partitioned by (curve, key); in key order, windows
+of equal numbers of rows are compared with themselves and the next window, and each row keeps its best k. The curves'
+lists are merged, the best k by exact cosine remain, and members take the smallest ids of the classes found.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import checked_join, materialise
+
 DIM, K = 64, 5
 #: Curves, rows in a window, projected dimensions and bits of each; measured recall is in the README.
 CURVES, WINDOW, PROJECTED, BITS, SEED = 12, 2048, 6, 10, 77
+#: Similarities held at once; most that a single-precision cosine is off.
+CELLS, SLACK = 1 << 21, np.float32(4e-6)
 
 
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
@@ -80,25 +86,55 @@ class _Best:
         self.sim = np.full((len(ids), k), -2.0)
         self.other = np.full((len(ids), k), -1, np.int64)
 
-    def offer(self, sims: np.ndarray, them: _Best) -> None:
+    def floor(self) -> np.ndarray:
+        """The least single-precision cosine of each row that can still be among its best, ties included."""
+        return self.sim[:, -1].astype(np.float32) - SLACK
+
+    def offer(self, rows: np.ndarray, columns: np.ndarray, them: _Best) -> None:
         k = self.sim.shape[1]
-        m = min(k + 1, sims.shape[1])
-        take = np.argpartition(-sims, m - 1, axis=1)[:, :m] if sims.shape[1] > m else np.tile(np.arange(sims.shape[1]), (len(sims), 1))
-        exact = np.einsum("ij,ikj->ik", self.unit, them.unit[take])  # reranked in double precision
-        ids = them.ids[take]
-        exact = np.where(ids == self.ids[:, None], -2.0, np.round(np.clip(exact, -1, 1), 12))
-        sim, other = np.concatenate([self.sim, exact], 1), np.concatenate([self.other, ids], 1)
-        best = np.lexsort((other, -sim), axis=1)[:, :k]
-        self.sim, self.other = np.take_along_axis(sim, best, 1), np.take_along_axis(other, best, 1)
+        exact = [np.einsum("ij,ij->i", self.unit[rows[i : i + 100_000]], them.unit[columns[i : i + 100_000]]) for i in range(0, len(rows), 100_000)]  # in double precision
+        sim = np.concatenate([self.sim.ravel(), *(np.round(np.clip(x, -1, 1), 12) for x in exact)])
+        other = np.concatenate([self.other.ravel(), them.ids[columns]])
+        row = np.concatenate([np.repeat(np.arange(len(self.ids)), k), rows])
+        order = np.lexsort((other, -sim, row))
+        best = order[np.searchsorted(row[order], np.arange(len(self.ids)))[:, None] + np.arange(k)]
+        self.sim, self.other = sim[best], other[best]
+
+
+def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _compare(a: _Best, b: _Best) -> None:
+    """Offers the rows of two windows to each other, or those of one among themselves; every column tied at a row's k-th value is offered."""
+    step, k = max(1, CELLS // len(b.ids)), a.sim.shape[1]
+    of_a, of_b, least_a, least_b = [], [], a.floor(), b.floor()
+    for i in range(0, len(a.ids), step):
+        sims = a.quick[i : i + step] @ b.quick.T
+        least = least_a[i : i + step]
+        if a is b:
+            sims[np.arange(len(sims)), np.arange(i, i + len(sims))] = -9
+            if sims.shape[1] > k:
+                least = np.maximum(least, np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k] - SLACK)
+        else:
+            r, c = np.nonzero(sims >= least_b)
+            of_b.append((c, r + i))
+        r, c = np.nonzero(sims >= least[:, None])
+        of_a.append((r + i, c))
+    a.offer(*_pairs(of_a), b)
+    if of_b:
+        b.offer(*_pairs(of_b), a)
 
 
 def knn(vectors: DataFrame, k: int = K, dim: int = DIM, curves: int = CURVES, window: int = WINDOW, id_col: str = "chunk_no", vec_col: str = "vec") -> DataFrame:
     """``id, other, similarity, rank``: the k most similar other vectors of every usable one, by cosine.
 
     Null, all-zero, too short and non-finite vectors take no part; a row delivered twice counts once; ties go to the smaller id; fewer than k others
-    give fewer rows. Equal keys are ordered by id, so copies fill windows like any other rows and no group is ever collected. A row is compared with
-    at most three windows on every curve, whatever the size of the table.
+    give fewer rows. Vectors whose unit vectors agree to 12 digits are one class: it is searched as one row, only its k + 1 smallest ids are gathered,
+    and its members' neighbours within it are exact. A row is compared with at most three windows on every curve, whatever
+    the size of the table.
     """
+    spark = vectors.sparkSession
     schema = pa.schema([("curve", pa.int32()), ("key", pa.int64()), ("id", pa.int64()), ("vec", pa.list_(pa.float32()))])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,6 +144,12 @@ def knn(vectors: DataFrame, k: int = K, dim: int = DIM, curves: int = CURVES, wi
                 for c in range(curves):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, c, np.int32)), pa.array(curve_keys(unit, c)), b.column(0), b.column(1)], schema=schema)
 
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                same = [hashlib.blake2b(u.tobytes(), digest_size=16).digest() for u in _unit(_matrix(b.column(1), dim)).round(12) + 0.0]
+                yield pa.RecordBatch.from_arrays([pa.array(same, pa.binary()), b.column(0), b.column(1)], names=["cls", "id", "vec"])
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("similarity", pa.float64())])
 
@@ -139,23 +181,36 @@ def knn(vectors: DataFrame, k: int = K, dim: int = DIM, curves: int = CURVES, wi
 
         before: tuple[int, _Best] | None = None
         for curve, w in windows():
-            own = w.quick @ w.quick.T
-            w.offer(own, w)
+            _compare(w, w)
             if before is not None:
                 if before[0] == curve:
-                    cross = before[1].quick @ w.quick.T
-                    before[1].offer(cross, w)
-                    w.offer(np.ascontiguousarray(cross.T), before[1])
+                    _compare(before[1], w)
                 yield done(before[1])
             before = (curve, w)
         if before is not None:
             yield done(before[1])
 
     rows = usable(vectors, dim, id_col, vec_col).select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec"))
-    keyed = rows.mapInArrow(keys, "curve int, key long, id long, vec array<float>").repartitionByRange("curve", "key", "id").sortWithinPartitions("curve", "key", "id")
+    classed = materialise(rows.mapInArrow(classify, "cls binary, id long, vec array<float>"), "vectors")
+    first = F.row_number().over(Window.partitionBy("cls").orderBy("id"))
+    classes = classed.withColumn("r", first).filter(F.col("r") <= k + 1).groupBy("cls").agg(F.min("id").alias("id"), F.min_by("vec", "id").alias("vec"), F.array_sort(F.collect_list("id")).alias("ids"))
+    classes = materialise(classes, "classes")
+    keyed = classes.select("id", "vec").mapInArrow(keys, "curve int, key long, id long, vec array<float>").repartitionByRange("curve", "key", "id").sortWithinPartitions("curve", "key", "id")
     found = keyed.mapInArrow(compare, "id long, other long, similarity double").groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
     best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
-    return found.withColumn("rank", best).filter(F.col("rank") <= k)
+    found = found.withColumn("rank", best).filter(F.col("rank") <= k)
+    several = classes.filter(F.size("ids") > 1).select("cls", "id", "ids")
+    if not several.limit(1).count():
+        return found
+    # the k best classes hold the k best rows, since each gives at least its smallest id
+    others = found.join(several.select(F.col("id").alias("other"), "ids"), "other", "left").select("id", F.explode(F.coalesce("ids", F.array("other"))).alias("other"), "similarity")
+    own = several.select("id", F.explode("ids").alias("other"), F.lit(1.0).alias("similarity"))
+    near = materialise(others.unionByName(own).withColumn("rank", best).filter(F.col("rank") <= k + 1), "near")
+    alone = near.join(several.select("id"), "id", "left_anti").filter(F.col("rank") <= k)
+    lists = near.join(several.select("id"), "id", "left_semi").groupBy(F.col("id").alias("head")).agg(F.array_sort(F.collect_list(F.struct("rank", "other", "similarity"))).alias("near"))
+    members = checked_join(classed.select("cls", "id"), several.select("cls", F.col("id").alias("head")), "cls")
+    listed = checked_join(members, materialise(lists, "lists"), "head").select("id", F.posexplode(F.slice(F.filter("near", lambda x: x["other"] != F.col("id")), 1, k)).alias("at", "x"))
+    return alone.select("id", "other", "similarity", "rank").unionByName(listed.select("id", "x.other", "x.similarity", (F.col("at") + 1).alias("rank")))
 
 
 def close_pairs(neighbours: DataFrame, least: float = 0.9) -> DataFrame:

@@ -63,6 +63,20 @@ def test_equal_vectors(spark):
     assert len(out) == 250 and all(r["similarity"] == 1.0 and r["id"] != r["other"] for r in out)
 
 
+def test_copies_and_ties(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 8)).astype("float32")
+    x[rng.permutation(500)[:200]] = 2 * x[0]
+    x[rng.permutation(500)[:60]] = [1, 0, 0, 0, 0, 0, 0, 0]
+    x[400:440] = rng.permutation(np.repeat(np.eye(8), 5, axis=0))  # orthogonal classes tie at 0
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "chunk_no long, vec array<float>")
+    u = neighbours._unit(x)
+    s = np.round(np.clip(u @ u.T, -1, 1), 12)
+    np.fill_diagonal(s, -2)
+    got = {(r["id"], r["rank"]): (r["other"], r["similarity"]) for r in neighbours.knn(df, dim=8).collect()}
+    assert got == {(i, k + 1): (int(j), s[i, j]) for i in range(500) for k, j in enumerate(np.lexsort((np.arange(500), -s[i]))[:5])}
+
+
 def test_edit_distance():
     def slow(a, b):
         row = list(range(len(b) + 1))
