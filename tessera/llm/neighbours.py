@@ -2,7 +2,7 @@
 
 Equal unit vectors form one class, which is searched once for all its members. Each curve projects the unit vectors to a few dimensions (a random
 rotation and shift of its own), quantises them and takes the Hilbert index as key. Classes are range partitioned by (curve, key); in key order, windows
-of equal numbers of rows are compared with themselves and the next window, and each row keeps its best k. The curves'
+of equal numbers of rows are compared with themselves and the next window, and each row keeps its best k. Windows grow with the table. The curves'
 lists are merged, the best k by exact cosine remain, and members take the smallest ids of the classes found.
 """
 
@@ -19,10 +19,17 @@ from pyspark.sql import functions as F
 from tessera.session import checked_join, materialise
 
 DIM, K = 64, 5
-#: Curves, rows in a window, projected dimensions and bits of each; measured recall is in the README.
-CURVES, WINDOW, PROJECTED, BITS, SEED = 12, 2048, 6, 10, 77
-#: Similarities held at once; most that a single-precision cosine is off.
-CELLS, SLACK = 1 << 21, np.float32(4e-6)
+#: Curves, projected dimensions and bits of each; measured recall is in the README.
+CURVES, PROJECTED, BITS, SEED = 24, 6, 10, 77
+#: Rows in a window: LEAST up to FROM rows in the table, beyond that in proportion to its rows to the power of GROWTH.
+LEAST, FROM, GROWTH = 768, 85_000, 0.9
+#: Windows that a partition holds at least on average; similarities held at once; most that a single-precision cosine is off.
+WINDOWS, CELLS, SLACK = 16, 1 << 21, np.float32(4e-6)
+
+
+def window_for(rows: int) -> int:
+    """Rows in a window for a table of so many; recall falls with the share of the table that a row is compared with."""
+    return int(np.ceil(LEAST * max(1.0, rows / FROM) ** GROWTH))
 
 
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
@@ -126,13 +133,13 @@ def _compare(a: _Best, b: _Best) -> None:
         b.offer(*_pairs(of_b), a)
 
 
-def knn(vectors: DataFrame, k: int = K, dim: int = DIM, curves: int = CURVES, window: int = WINDOW, id_col: str = "chunk_no", vec_col: str = "vec") -> DataFrame:
+def knn(vectors: DataFrame, k: int = K, dim: int = DIM, curves: int = CURVES, window: int | None = None, id_col: str = "chunk_no", vec_col: str = "vec") -> DataFrame:
     """``id, other, similarity, rank``: the k most similar other vectors of every usable one, by cosine.
 
     Null, all-zero, too short and non-finite vectors take no part; a row delivered twice counts once; ties go to the smaller id; fewer than k others
     give fewer rows. Vectors whose unit vectors agree to 12 digits are one class: it is searched as one row, only its k + 1 smallest ids are gathered,
-    and its members' neighbours within it are exact. A row is compared with at most three windows on every curve, whatever
-    the size of the table.
+    and its members' neighbours within it are exact. A row is compared with at most three windows on every curve; without ``window``, their size comes
+    from the number of classes (:func:`window_for`).
     """
     spark = vectors.sparkSession
     schema = pa.schema([("curve", pa.int32()), ("key", pa.int64()), ("id", pa.int64()), ("vec", pa.list_(pa.float32()))])
@@ -195,7 +202,10 @@ def knn(vectors: DataFrame, k: int = K, dim: int = DIM, curves: int = CURVES, wi
     first = F.row_number().over(Window.partitionBy("cls").orderBy("id"))
     classes = classed.withColumn("r", first).filter(F.col("r") <= k + 1).groupBy("cls").agg(F.min("id").alias("id"), F.min_by("vec", "id").alias("vec"), F.array_sort(F.collect_list("id")).alias("ids"))
     classes = materialise(classes, "classes")
-    keyed = classes.select("id", "vec").mapInArrow(keys, "curve int, key long, id long, vec array<float>").repartitionByRange("curve", "key", "id").sortWithinPartitions("curve", "key", "id")
+    n = classes.count()
+    window = window or window_for(n)
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, n * curves // (WINDOWS * window)))
+    keyed = classes.select("id", "vec").mapInArrow(keys, "curve int, key long, id long, vec array<float>").repartitionByRange(parts, "curve", "key", "id").sortWithinPartitions("curve", "key", "id")
     found = keyed.mapInArrow(compare, "id long, other long, similarity double").groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
     best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
     found = found.withColumn("rank", best).filter(F.col("rank") <= k)

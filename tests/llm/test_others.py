@@ -63,6 +63,25 @@ def test_equal_vectors(spark):
     assert len(out) == 250 and all(r["similarity"] == 1.0 and r["id"] != r["other"] for r in out)
 
 
+def test_windows_grow(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 64)).astype("float32")
+    x[:1000] = x[0] + 0.3 * rng.normal(size=(1000, 64))  # a third in one dense group
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "chunk_no long, vec array<float>")
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("float64")
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = np.argsort(-s, axis=1)[:, :5]
+    monkeypatch.setattr(neighbours, "LEAST", 16)
+    monkeypatch.setattr(neighbours, "FROM", 1000)
+    hits = [r["other"] in want[r["id"]] for r in neighbours.knn(df).collect()]
+    few = [r["other"] in want[r["id"]] for r in neighbours.knn(df, window=16).collect()]
+    assert len(hits) == 15000 and sum(hits) > sum(few) + 1500
+    monkeypatch.undo()
+    assert neighbours.window_for(1000) == neighbours.window_for(85_000) == 768
+    assert neighbours.window_for(850_000) >= 7.9 * 768 and neighbours.window_for(8_500_000) >= 63 * 768
+
+
 def test_copies_and_ties(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(500, 8)).astype("float32")
