@@ -3,7 +3,8 @@
 Windows of as many words as must be found run over items and documents. The CGK random walk (one random bit per step and word tells
 whether to go on to the next word) embeds a window so that a small edit distance becomes a small Hamming distance; each
 repetition draws another walk and a sample of embedded positions, whose hash is looked up among the items' hashes. Equal
-windows meet in every repetition. Every candidate is then verified by its word edit distance.
+windows meet in every repetition. Every candidate is then verified by its word edit distance from document windows of that
+many words, fewer and more. Whole passages with edits all over are found by the runs of three words that they must still share.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ REPETITIONS, SAMPLES, SEED = 8, 6, 20_260
 STRETCH = 2
 #: Most item windows that are held (and broadcast) at once; more items are searched in several blocks.
 BLOCK_WINDOWS = 200_000
+#: Share of a whole passage's words that may be edited; words in a run shared with it (an edit takes at most so many runs away).
+PASSAGE_EDITS, RUN = 0.25, 3
+#: Stands behind a document's last word; ids have 63 bits.
+_END = np.uint64(0xFFFFFFFFFFFFFFFF)
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,14 +70,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def embed_keys(flat: np.ndarray, starts: np.ndarray, window: int, rep: int, samples: int = SAMPLES, seed: int = SEED) -> np.ndarray:
-    """One hash for each window: the sampled positions of its CGK walk in repetition ``rep``."""
+def embed_keys(flat: np.ndarray, starts: np.ndarray, window: int, rep: int, samples: int = SAMPLES, seed: int = SEED, ends: np.ndarray | None = None) -> np.ndarray:
+    """One hash for each window: the sampled positions of its CGK walk in repetition ``rep``. ``ends`` cut windows short."""
     rng = np.random.default_rng(seed + rep)
     steps = STRETCH * window
     take = set(rng.choice(steps, size=min(samples, steps), replace=False).tolist())
     odd = rng.integers(1, 1 << 62, size=steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     pos = starts.copy()
-    end = starts + window
+    end = starts + window if ends is None else np.minimum(starts + window, ends)
     key = np.full(len(starts), np.uint64(rep + 1))
     ids = np.append(flat, np.uint64(0))
     for j in range(max(take) + 1):
@@ -84,8 +89,8 @@ def embed_keys(flat: np.ndarray, starts: np.ndarray, window: int, rep: int, samp
     return key
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Word edit distance of the rows of two equally wide integer matrices, all rows at once."""
+def edit_distance(a: np.ndarray, b: np.ndarray, loose: int = 0) -> np.ndarray:
+    """Word edit distance of the rows of two integer matrices, all rows at once; the least with up to ``loose`` of the last words of ``b`` left out."""
     n, w = a.shape
     row = np.tile(np.arange(b.shape[1] + 1), (n, 1))
     for i in range(w):
@@ -94,27 +99,56 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         for j in range(b.shape[1]):
             new[:, j + 1] = np.minimum(np.minimum(new[:, j] + 1, row[:, j + 1] + 1), row[:, j] + (a[:, i] != b[:, j]))
         row = new
-    return row[:, -1]
+    return row[:, row.shape[1] - 1 - loose :].min(axis=1)
 
 
-def word_masks(flat: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+def passage_distance(passage: np.ndarray, doc: np.ndarray) -> int:
+    """The least word edit distance of a passage from any stretch of a document."""
+    at = np.arange(len(doc) + 1)
+    row = np.zeros(len(doc) + 1, np.int64)
+    for x in passage:
+        new = row + 1
+        new[1:] = np.minimum(new[1:], row[:-1] + (doc != x))
+        row = np.minimum.accumulate(new - at) + at
+    return int(row.min())
+
+
+def runs(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every RUN consecutive words of a row, and the row."""
+    starts, row = _starts(counts, RUN)
+    key = np.zeros(len(starts), np.uint64)
+    for j in range(RUN):
+        key = _mix(key * _M + flat[starts + j])
+    return key, row
+
+
+def word_masks(flat: np.ndarray, starts: np.ndarray, window: int, ends: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit set of each window's words: one edit takes at most one bit away, so masks rule out most pairs before any distance."""
     bit = np.left_shift(np.uint64(1), (flat * _M) >> np.uint64(58))
     mask = np.zeros(len(starts), np.uint64)
     for j in range(window):
-        mask |= bit[starts + j]
+        mask |= bit[starts + j] if ends is None else np.where(starts + j < ends, bit[np.minimum(starts + j, len(flat) - 1)], np.uint64(0))
     return mask
 
 
 class Items:
-    """The windows of a block of items and their keys in every repetition."""
+    """The windows of a block of items and their keys in every repetition; whole passages and their runs of words."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int, repetitions: int, samples: int):
+    def __init__(self, items: list[tuple[int, str, bool]], window: int, repetitions: int, samples: int):
         import re
 
-        flat, counts = _tokenise([t for _, t in items], re.compile(r"[^\W_]+").findall, Words())
+        flat, counts = _tokenise([t for _, t, _ in items], re.compile(r"[^\W_]+").findall, Words())
+        self.passages, self.passage_item = np.split(flat, np.cumsum(counts)[:-1]), [i for i, _, _ in items]
+        self.edits = (counts * PASSAGE_EDITS).astype(np.int64)
+        self.least = np.maximum(counts + 1 - RUN * (self.edits + 1), 1)  # runs that so many edits leave
+        key, row = runs(flat, counts)
+        whole = np.array([w for _, _, w in items], bool)[row] if len(row) else np.zeros(0, bool)
+        (self.run, self.run_row), self.run_n = np.zeros((2, 0), np.uint64), np.zeros(0, np.int64)
+        if whole.any():
+            pairs, self.run_n = np.unique(np.stack([key[whole], row[whole].astype(np.uint64)], 1), axis=0, return_counts=True)
+            self.run, self.run_row = pairs[:, 0].copy(), pairs[:, 1].astype(np.int64)
         starts, row = _starts(counts, window)
-        self.item = np.array([i for i, _ in items], np.int64)[row] if len(row) else np.zeros(0, np.int64)
+        self.item = np.array([i for i, _, _ in items], np.int64)[row] if len(row) else np.zeros(0, np.int64)
         self.words = flat[starts[:, None] + np.arange(window)] if len(starts) else np.zeros((0, window), np.uint64)
         self.masks = word_masks(flat, starts, window)
         keys = [embed_keys(flat, starts, window, r, samples) for r in range(repetitions)]
@@ -122,8 +156,8 @@ class Items:
         self.keys = [k[o] for k, o in zip(keys, self.order, strict=True)]
 
 
-def _blocks(items: DataFrame, window: int) -> Iterator[list[tuple[int, str]]]:
-    """Items, at most BLOCK_WINDOWS windows at a time; they are streamed, never all collected. A longer passage comes in parts that overlap by a window."""
+def _blocks(items: DataFrame, window: int) -> Iterator[list[tuple[int, str, bool]]]:
+    """Items and whether they are whole, at most BLOCK_WINDOWS windows at a time; they are streamed, never all collected. A longer passage comes in parts that overlap by a window."""
     import re
 
     block, n = [], 0
@@ -135,16 +169,43 @@ def _blocks(items: DataFrame, window: int) -> Iterator[list[tuple[int, str]]]:
             if block and n + len(part) - window + 1 > BLOCK_WINDOWS:
                 yield block
                 block, n = [], 0
-            block.append((r["item_id"], " ".join(part)))
+            block.append((r["item_id"], " ".join(part), len(part) == len(words)))
             n += len(part) - window + 1
     if block:
         yield block
 
 
-def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_edits: int = 1, repetitions: int = REPETITIONS, samples: int = SAMPLES) -> DataFrame:
-    """``doc_id, item_id, distance, windows``: documents that hold a window of an item with at most ``max_edits`` word edits.
-
-    ``distance`` is the smallest edit distance of any window pair found, ``windows`` the number of document windows found.
+def _hits(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index into ``keys`` and place in ``sorted_keys`` of every equal pair."""
+    lo = np.searchsorted(sorted_keys, keys, "left")
+    lo_ok = np.flatnonzero(sorted_keys[np.minimum(lo, len(sorted_keys) - 1)] == keys)
+    n = np.searchsorted(sorted_keys, keys[lo_ok], "right") - lo[lo_ok]
+    return np.repeat(lo_ok, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[lo_ok], n)
+
+
+def _whole(flat: np.ndarray, counts: np.ndarray, it: Items) -> Iterator[tuple[int, int, int]]:
+    """Row, item and distance of every whole passage in a row with at most its number of edits; none is missed."""
+    key, row = runs(flat, counts)
+    if not len(key) or not len(it.run):
+        return
+    at, place = _hits(it.run, key)
+    pairs, back = np.unique(row[at] * len(it.passages) + it.run_row[place], return_inverse=True)
+    shared = np.bincount(back, it.run_n[place], len(pairs))
+    first = np.cumsum(counts) - counts
+    for p in pairs[shared >= it.least[pairs % len(it.passages)]].tolist():
+        r, x = divmod(p, len(it.passages))
+        d = passage_distance(it.passages[x], flat[first[r] : first[r] + counts[r]])
+        if d <= it.edits[x]:
+            yield r, it.passage_item[x], d
+
+
+def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_edits: int = 1, repetitions: int = REPETITIONS, samples: int = SAMPLES, passages: bool = True) -> DataFrame:
+    """``doc_id, item_id, distance, windows, passage_distance``: documents that hold a window of an item with at most ``max_edits`` word edits, or all of it.
+
+    ``distance`` is the smallest edit distance of any window pair found (a document window may be up to ``max_edits`` words shorter or longer),
+    ``windows`` the number of document windows found; null and 0 where only the whole passage is found. ``passage_distance`` is the edit distance of
+    the whole passage (of at least ``window`` words) from some stretch of the document, null beyond ``PASSAGE_EDITS`` of its words; none is missed,
+    but for passages of more than ``BLOCK_WINDOWS`` windows, which are sought by windows only. Without ``passages`` it isn't sought and is null.
     Equal windows (distance 0) are always found; changed ones with the recall of the repetitions. Words are runs of
     letters and digits in lower case. Null or short texts and passages hold no window; an item given twice counts once;
     rows of one ``doc_id`` are taken together. Documents are never shuffled or collected: each block of items is
@@ -159,23 +220,18 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_edits: in
             import re
 
             find, ids, it = re.compile(r"[^\W_]+").findall, Words(), shared.value
-            schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("windows", pa.int64())])
+            schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("windows", pa.int64()), ("passage_distance", pa.int32())])
             for b in batches:
                 doc = b.column(0).to_numpy(zero_copy_only=False)
                 flat, counts = _tokenise(b.column(1).to_pylist(), find, ids)
-                starts, row = _starts(counts, window)
+                starts, row = _starts(counts, max(window - max_edits, 1))
                 if not len(starts) or not len(it.item):
                     continue
+                ends = np.cumsum(counts)[row]
                 found: list[np.ndarray] = []
-                masks = word_masks(flat, starts, window)
+                masks = word_masks(flat, starts, window, ends)
                 for r in range(repetitions):
-                    key = embed_keys(flat, starts, window, r, samples)
-                    lo = np.searchsorted(it.keys[r], key, "left")
-                    lo_ok = np.flatnonzero(it.keys[r][np.minimum(lo, len(it.keys[r]) - 1)] == key)
-                    hi = np.searchsorted(it.keys[r], key[lo_ok], "right")
-                    n = hi - lo[lo_ok]
-                    at = np.repeat(lo_ok, n)
-                    rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[lo_ok], n)
+                    at, rank = _hits(it.keys[r], embed_keys(flat, starts, window, r, samples, ends=ends))
                     item = it.order[r][rank]
                     a, b2 = masks[at], it.masks[item]
                     near = (np.bitwise_count(a & ~b2) <= max_edits) & (np.bitwise_count(b2 & ~a) <= max_edits)
@@ -185,18 +241,23 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_edits: in
                 for part in np.array_split(pairs, max(1, len(pairs) // 50_000)):
                     if not len(part):
                         continue
-                    d = edit_distance(flat[starts[part[:, 0]][:, None] + np.arange(window)], it.words[part[:, 1]])
+                    place = starts[part[:, 0]][:, None] + np.arange(window + max_edits)
+                    there = np.where(place < ends[part[:, 0]][:, None], flat[np.minimum(place, len(flat) - 1)], _END)
+                    d = edit_distance(it.words[part[:, 1]], there, 2 * max_edits)
                     for (w, x), dist in zip(part[d <= max_edits], d[d <= max_edits], strict=True):
                         k = (int(row[w]), int(it.item[x]))
-                        e = best.setdefault(k, [window + 1, set()])
+                        e = best.setdefault(k, [window + 1, set(), None])
                         e[0] = min(e[0], int(dist))
                         e[1].add(int(w))
+                for r, item, dist in _whole(flat, counts, it) if passages else ():
+                    e = best.setdefault((r, item), [None, set(), None])
+                    e[2] = dist if e[2] is None else min(e[2], dist)
                 if best:
-                    cols = [[doc[k[0]] for k in best], [k[1] for k in best], [e[0] for e in best.values()], [len(e[1]) for e in best.values()]]
+                    cols = [[doc[k[0]] for k in best], [k[1] for k in best], [e[0] for e in best.values()], [len(e[1]) for e in best.values()], [e[2] for e in best.values()]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-        part = texts.mapInArrow(run, "doc_id long, item_id long, distance int, windows long")
+        part = texts.mapInArrow(run, "doc_id long, item_id long, distance int, windows long, passage_distance int")
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
-        return spark.createDataFrame(pd.DataFrame(columns=["doc_id", "item_id", "distance", "windows"]), "doc_id long, item_id long, distance int, windows long")
-    return hits.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.sum("windows").alias("windows"))
+        return spark.createDataFrame(pd.DataFrame(columns=["doc_id", "item_id", "distance", "windows", "passage_distance"]), "doc_id long, item_id long, distance int, windows long, passage_distance int")
+    return hits.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.sum("windows").alias("windows"), F.min("passage_distance").alias("passage_distance"))

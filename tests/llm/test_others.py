@@ -139,6 +139,37 @@ def test_leaks(spark):
     assert leakage.leaks(dd.limit(0), ii).count() == 0 and leakage.leaks(dd, ii.limit(0)).count() == 0
 
 
+def test_leaks_inserted_and_deleted(spark):
+    rng = random.Random(8)
+    words = [f"v{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choices(words, k=60))) for i in range(40)]
+    docs, window, whole = [], {"in": set(), "out": set()}, {}
+    for i in range(400):
+        d, p = rng.choices(words, k=80), items[i % 40][1].split()
+        if i % 4 == 0:
+            d[20:30] = p[7:12] + ["inserted"] + p[12:17]
+            window["in"].add((i, i % 40))
+        elif i % 4 == 1:
+            d[20:30] = p[7:12] + p[13:17]
+            window["out"].add((i, i % 40))
+        elif i % 4 == 2:  # a word inserted after every 8
+            d[20:30] = [x for k in range(0, 60, 8) for x in [*p[k : k + 8], "inserted"]]
+            whole[i, i % 40] = 7
+        else:  # every fourth word changed
+            d[20:30] = ["changed" if k % 4 == 3 else x for k, x in enumerate(p)]
+            whole[i, i % 40] = 15
+        docs.append((i, " ".join(d)))
+    docs.append((1000, " ".join(items[0][1].split()[3:12])))  # the end of a text, a word short of a window
+    window["out"].add((1000, 0))
+    dd, ii = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string")
+    out = leakage.leaks(dd, ii).collect()
+    found = {(r["doc_id"], r["item_id"]) for r in out if r["distance"] == 1}
+    assert {(r["doc_id"], r["item_id"]): r["passage_distance"] for r in out if r["passage_distance"] is not None} == whole
+    print("recall", {k: len(v & found) / len(v) for k, v in window.items()})
+    assert all(len(v & found) >= 0.85 * len(v) for v in window.values()) and found <= window["in"] | window["out"] | set(whole)
+    assert not any(r["distance"] == 0 for r in out)
+
+
 def test_item_blocks(spark, monkeypatch):
     monkeypatch.setattr(leakage, "BLOCK_WINDOWS", 15)  # passages of 21 windows come in parts
     words = [f"q{i}" for i in range(100)]
