@@ -62,7 +62,7 @@ def bootstrap_ci(values: Iterable[float], rounds: int = ROUNDS, seed: int = SEED
     return means[int(0.025 * rounds)], means[int(0.975 * rounds)]
 
 
-def bootstrap_distributed(values: DataFrame, value: str, key: str, rounds: int = 200, seed: int = SEED) -> DataFrame:
+def bootstrap_distributed(values: DataFrame, value: str, key: str, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
     """``low, high`` of the mean by a Poisson bootstrap: each row's weight in a round comes from a hash of key and round.
 
     For any number of rows: weights are drawn where the rows are, and only ``rounds`` sums are gathered.

@@ -209,6 +209,11 @@ def test_abtest(spark):
     assert one == sorted(r["k"] for r in abtest.stratified_sample(items.repartition(7), "k", "s", 10).collect())
 
 
+def test_bootstrap_rounds(spark):
+    v = spark.createDataFrame([(i, float(i % 7)) for i in range(50)], "k int, v double")
+    assert abtest.bootstrap_distributed(v, "v", "k").first() == abtest.bootstrap_distributed(v, "v", "k", rounds=2000).first() != abtest.bootstrap_distributed(v, "v", "k", rounds=200).first()
+
+
 def test_routing(spark):
     e = lambda *rows: spark.createDataFrame([(m, s, i) for i, (m, s) in enumerate(rows)], "model string, strength string, seq int")
     best = routing.best_evidence(e(("my-opus", "explicit"), ("haiku-1", "recent")))
