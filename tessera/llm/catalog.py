@@ -42,7 +42,7 @@ def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return distinctive.weights(read_table(spark, sf, "chunks"), min_count=3, max_chunks=5).filter("llr > 0").select("chunk_no", "term")
+    return distinctive.weights(read_table(spark, sf, "chunks"), min_count=3, max_chunks=5).select("chunk_no", "term")
 
 
 def p6_weights(spark: SparkSession, sf: str) -> DataFrame:

@@ -28,6 +28,15 @@ def test_distinctive_matches_brute_force(spark):
     assert {r["term"] for r in distinctive.weights(df, 2, 1).collect()} == {"alpha"}
 
 
+def test_distinctive_keeps_words_commoner_elsewhere(spark, tmp_path):
+    from tessera.llm import catalog
+
+    for name, rows in (("one", [(1, "", "alpha " * 3)]), ("two", [(1, "", "filler " * 1000 + "alpha " * 3), (2, "", "alpha " * 8 + "other")])):
+        spark.createDataFrame(rows, "chunk_no long, header string, text string").write.parquet(f"{tmp_path}/{name}/chunks.parquet")
+    assert {tuple(r) for r in catalog.p6_found(spark, f"{tmp_path}/one").collect()} == {(1, "alpha")}
+    assert {tuple(r) for r in catalog.p6_found(spark, f"{tmp_path}/two").collect()} == {(1, "filler"), (1, "alpha"), (2, "alpha")}
+
+
 def test_hilbert_is_a_curve():
     pts = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     key = neighbours.hilbert(pts, 3)
