@@ -52,7 +52,7 @@ def test_neighbours_recall(spark):
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(5, [float(v) for v in x[5]]), (9001, None), (9002, [0.0] * 64), (9003, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "chunk_no long, vec array<float>").selectExpr("*", "1 AS key", "2 AS curve")
     got = {}
-    for r in neighbours.knn(df, window=256).collect():
+    for r in neighbours.knn(df).collect():
         got.setdefault(r["id"], set()).add(r["other"])
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T
@@ -60,7 +60,7 @@ def test_neighbours_recall(spark):
     want = np.argsort(-s, axis=1)[:, :5]
     assert set(got) == set(range(1500)) and all(len(v) == 5 for v in got.values())
     assert np.mean([len(got[i] & set(want[i].tolist())) / 5 for i in range(1500)]) > 0.8
-    pairs = {tuple(r) for r in neighbours.close_pairs(neighbours.knn(df, window=256)).collect()}
+    pairs = {tuple(r) for r in neighbours.close_pairs(neighbours.knn(df)).collect()}
     true = {(min(i, j), max(i, j)) for i in range(1500) for j in want[i].tolist() if s[i, j] >= 0.9}
     assert len(pairs & true) >= 0.99 * len(true) > 100
     assert neighbours.knn(df.limit(0)).count() == 0
@@ -72,23 +72,39 @@ def test_equal_vectors(spark):
     assert len(out) == 250 and all(r["similarity"] == 1.0 and r["id"] != r["other"] for r in out)
 
 
-def test_windows_grow(spark, monkeypatch):
-    rng = np.random.default_rng(4)
-    x = rng.normal(size=(3000, 64)).astype("float32")
-    x[:1000] = x[0] + 0.3 * rng.normal(size=(1000, 64))  # a third in one dense group
-    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "chunk_no long, vec array<float>")
+def _recall(df, x, **how):
     u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("float64")
     s = u @ u.T
     np.fill_diagonal(s, -2)
     want = np.argsort(-s, axis=1)[:, :5]
-    monkeypatch.setattr(neighbours, "LEAST", 16)
-    monkeypatch.setattr(neighbours, "FROM", 1000)
-    hits = [r["other"] in want[r["id"]] for r in neighbours.knn(df).collect()]
-    few = [r["other"] in want[r["id"]] for r in neighbours.knn(df, window=16).collect()]
-    assert len(hits) == 15000 and sum(hits) > sum(few) + 1500
-    monkeypatch.undo()
-    assert neighbours.window_for(1000) == neighbours.window_for(85_000) == 768
-    assert neighbours.window_for(850_000) >= 7.9 * 768 and neighbours.window_for(8_500_000) >= 63 * 768
+    return np.mean([r["other"] in want[r["id"]] for r in neighbours.knn(df, **how).collect()])
+
+
+def test_dense_group_and_rounds(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 64)).astype("float32")
+    x[:1000] = x[0] + 0.3 * rng.normal(size=(1000, 64))  # a third in one dense group
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "chunk_no long, vec array<float>")
+    few = dict(window=32, halo=8, curves=4)
+    assert _recall(df, x, rounds=3, **few) > _recall(df, x, rounds=0, **few) + 0.3
+    assert [neighbours.rounds_for(n) for n in (0, 1000, 100_000, 100_001, 10**7)] == [2, 2, 2, 3, 4]
+
+
+def test_same_rows_for_any_partitioning(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 64)).astype("float32")
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "chunk_no long, vec array<float>")
+    found = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for n in (1, 8, 24):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            found.append({tuple(r) for r in neighbours.knn(df.repartition(n), window=32, halo=8, curves=3, rounds=1).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(found[0]) == 3000 and found[0] == found[1] == found[2]
 
 
 def test_copies_and_ties(spark):
