@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import random
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import checked_join, materialise
+
 #: Rounds and seed of the bootstrap (fixed values).
 ROUNDS, SEED = 2000, 7
 
@@ -19,13 +18,15 @@ def quotas(items: DataFrame, stratum: str, n: int) -> DataFrame:
     return sizes.crossJoin(F.broadcast(total)).select(stratum, "size", F.greatest(F.lit(1), F.bround(F.lit(float(n)) * F.col("size") / F.col("total"), 0).cast("long")).alias("quota"))
 
 
-def stratified_sample(items: DataFrame, key: str, stratum: str, n: int, seed: int = SEED) -> DataFrame:
+def stratified_sample(items: DataFrame, key: str, stratum: str, n: int, seed: int = SEED, only: list[str] | None = None) -> DataFrame:
     """At most n keys, each stratum's quota first, topped up from the rest; the order within a stratum is that of the MD5 of seed and key.
 
-    A sampling operator: deterministic for any partitioning.
+    A sampling operator: deterministic for any partitioning. ``only`` restricts it to some strata.
     """
+    items = items if only is None else items.filter(F.col(stratum).isin(only))
     h = items.select(key, stratum).withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
-    r = h.withColumn("r", F.row_number().over(Window.partitionBy(stratum).orderBy("h", key))).join(F.broadcast(quotas(items, stratum, n)), stratum)
+    r = h.withColumn("r", F.row_number().over(Window.partitionBy(stratum).orderBy("h", key))).filter(F.col("r") <= n)  # a stratum gives n keys at most, so this limit holds before the shuffle
+    r = checked_join(r, materialise(quotas(items, stratum, n), "quotas"), stratum)
     return r.withColumn("extra", (F.col("r") > F.col("quota")).cast("int")).orderBy("extra", "h", key).limit(n).select(key, stratum)
 
 
@@ -52,22 +53,30 @@ def with_fallback(results: DataFrame, logged: DataFrame, key: str) -> DataFrame:
     return results.join(sums, key, "left").select(key, *[F.when(any_own, F.coalesce(c, F.lit(0))).otherwise(F.coalesce(f"log_{c}", F.lit(0))).cast("long").alias(c) for c in names])
 
 
-def bootstrap_ci(values: Iterable[float], rounds: int = ROUNDS, seed: int = SEED) -> tuple[float, float]:
-    """Percentile bootstrap interval (2.5 and 97.5 %) of the mean; (0, 0) without values."""
-    v = list(values)
-    if not v:
-        return 0.0, 0.0
-    rng = random.Random(seed)
-    means = sorted(sum(rng.choice(v) for _ in v) / len(v) for _ in range(rounds))
-    return means[int(0.025 * rounds)], means[int(0.975 * rounds)]
+def with_verdicts(pairs: DataFrame, first: DataFrame, second: DataFrame, item: str) -> DataFrame:
+    """Pairs with ``resolved_a`` and ``resolved_b`` from the arms' verdicts (item, resolved); a missing or null verdict counts as not resolved.
+
+    An item with several verdicts in an arm is resolved if any says so.
+    """
+    out = pairs
+    for d, tag in ((first, "a"), (second, "b")):
+        v = d.filter(F.col(item).isNotNull()).groupBy(item).agg(F.coalesce(F.max("resolved"), F.lit(False)).alias(f"resolved_{tag}"))
+        out = out.join(v, item, "left").withColumn(f"resolved_{tag}", F.coalesce(f"resolved_{tag}", F.lit(False)))
+    return out
+
+
+def runs_to_do(items: DataFrame, key: str, arms: list[str], done: DataFrame) -> DataFrame:
+    """Every item in every arm, less what is done (``key, arm``)."""
+    each = items.select(key).distinct().withColumn("arm", F.explode(F.array(*[F.lit(a) for a in arms])))
+    return each.join(done.select(key, "arm").distinct(), [key, "arm"], "left_anti")
 
 
 def bootstrap_distributed(values: DataFrame, value: str, key: str, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
-    """``low, high`` of the mean by a Poisson bootstrap: each row's weight in a round comes from a hash of key and round.
+    """``low, high`` of the mean by a Poisson bootstrap: each row's weight in a round comes from the MD5 of seed, round and key.
 
     For any number of rows: weights are drawn where the rows are, and only ``rounds`` sums are gathered.
     """
-    u = (F.xxhash64(F.col(key), F.col("round"), F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     e = values.select(key, F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
     cdf, p, total = [], 0.36787944117144233, 0.0
     for k in range(8):

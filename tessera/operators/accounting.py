@@ -65,3 +65,9 @@ def context_bloat(turns: DataFrame) -> DataFrame:
     s = per.agg(F.count(F.lit(1)).alias("sessions"), F.sum("compacted").cast("long").alias("compacted_sessions"), F.sum("n").cast("long").alias("tool_results"), F.sum("bytes").cast("long").alias("b")).filter("sessions > 0")
     tokens = F.expr("b div 4")
     return s.select("sessions", "compacted_sessions", "tool_results", tokens.alias("tool_output_tokens"), (F.col("b") / 1048576.0).alias("tool_output_mb"), F.expr("(b div 4) div sessions").alias("avg_tool_output_tokens_per_session"))
+
+
+def milestone_reached(saved: float, last: float, step: float) -> float | None:
+    """The milestone that a sum of saved dollars newly reaches, None if it is no higher than the last one."""
+    level = saved // max(0.01, step) * max(0.01, step)
+    return level if level > max(last, 0.0) else None

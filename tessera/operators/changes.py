@@ -9,18 +9,27 @@ below nodes whose digests differ, and only rows of changed leaves are compared o
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import _hadoop_path, materialise
+from tessera.session import checked_join, epoch_micros, materialise
+from tessera.sources.versions import PartedTable
 
-#: Bits of the key hash that each tree level adds, and levels below the root.
+#: Bits of the key hash that each tree level adds, and levels below the root at least and at most; rows that a leaf should hold on average.
 LEVEL_BITS = 4
-LEVELS = 4
+LEVELS, MOST_LEVELS, LEAF_ROWS = 4, 8, 256
+#: Level whose nodes are the parts in which a store keeps its state.
+PART_LEVEL = 2
+
+
+def levels_for(rows: int, bits: int = LEVEL_BITS) -> int:
+    """Levels for so many rows: leaves keep some LEAF_ROWS rows however large the table, so that few changes open few rows."""
+    level = LEVELS
+    while level < MOST_LEVELS and rows > LEAF_ROWS << (bits * level):
+        level += 1
+    return level
 
 
 def key_hash(keys: Sequence[str]) -> Column:
@@ -70,13 +79,13 @@ def changed_rows(now: DataFrame, saved: DataFrame, keys: Sequence[str], token: s
     """
     keys = list(keys)
     never = F.when(F.col(token).isNull(), F.lit("\u0000null")).otherwise(F.col(token).cast("string"))
-    t1 = materialise(tree(now.select(*keys, never.alias("_token")), keys, "_token", bits, levels), "tree")  # trees have a bounded number of nodes
+    t1 = materialise(tree(now.select(*keys, never.alias("_token")), keys, "_token", bits, levels), "tree")
     t2 = saved_tree if saved_tree is not None else materialise(tree(saved.select(*keys, F.col(token).cast("string").alias("_token")), keys, "_token", bits, levels), "tree")
-    leaves = materialise(changed_leaves(t1, t2, levels, bits), "leaves")  # at most 2**(bits * levels) rows of one long: a proven bound
+    leaves = materialise(changed_leaves(t1, t2, levels, bits), "leaves").withColumnRenamed("node", "_leaf")
     mark = leaf_range(keys, bits, levels)
-    left = now.withColumn("_leaf", mark).join(F.broadcast(leaves.withColumnRenamed("node", "_leaf")), "_leaf", "left_semi").drop("_leaf")
+    left = checked_join(now.withColumn("_leaf", mark), leaves, "_leaf", "left_semi").drop("_leaf")
     right = saved.select(*keys, *[F.col(c).alias(f"saved_{c}") for c in saved.columns if c not in keys])
-    right = right.withColumn("_leaf", mark).join(F.broadcast(leaves.withColumnRenamed("node", "_leaf")), "_leaf", "left_semi").drop("_leaf", "_there").withColumn("_there", F.lit(True))
+    right = checked_join(right.withColumn("_leaf", mark), leaves, "_leaf", "left_semi").drop("_leaf", "_there").withColumn("_there", F.lit(True))
     l, r = left.alias("l"), right.alias("r")
     on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     joined = l.join(r, on, "left").filter(F.col("r._there").isNull() | F.col(f"l.{token}").isNull() | ~F.col(f"l.{token}").eqNullSafe(F.col(f"r.saved_{token}")))
@@ -84,56 +93,74 @@ def changed_rows(now: DataFrame, saved: DataFrame, keys: Sequence[str], token: s
 
 
 class MerkleStore:
-    """Versions of an output with the tree over its input, published together.
+    """What was processed so far: keys and tokens with their tree, and the output of all runs, published together.
 
-    A version is a folder ``v-<id>`` with ``output``, ``state`` (keys and tokens) and ``tree``; the file
-    ``CURRENT`` names the valid one. All three are written first, then the pointer is replaced by one rename. A run that
-    dies before leaves only an unreferenced folder, and the next run starts again from the old tree: nothing is
-    skipped, nothing is done twice.
+    :meth:`start` takes one snapshot of the input; a run's pending rows, tree and state all come from it, so rows that arrive later are neither lost nor marked as done.
+    :meth:`Run.publish` writes the run's output, its tree and the state of those key ranges that changed, then commits the next generation, which
+    fails if another run has published since this one started. A run that dies leaves only unnamed folders (:meth:`clean` removes them), and the next one
+    starts from the old tree: nothing is skipped, nothing is done twice. :meth:`output` is the output of all runs.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], token: str = "token", bits: int = LEVEL_BITS, levels: int = LEVELS):
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], token: str = "token", bits: int = LEVEL_BITS, levels: int | None = None):
         self.spark, self.path, self.keys, self.token, self.bits, self.levels = spark, path.rstrip("/"), list(keys), token, bits, levels
+        self.table = PartedTable(spark, path)
 
-    def current(self) -> str | None:
-        fs, p = _hadoop_path(self.spark, f"{self.path}/CURRENT")
-        if not fs.exists(p):
-            return None
-        lines = self.spark.read.text(f"{self.path}/CURRENT").collect()
-        return json.loads(lines[0][0])["version"] if lines else None
-
-    def _part(self, part: str) -> DataFrame | None:
-        v = self.current()
-        return None if v is None else self.spark.read.parquet(f"{self.path}/{v}/{part}")
-
-    def pending(self, now: DataFrame) -> DataFrame:
-        """Rows of ``now`` that the published version doesn't cover."""
-        state = self._part("state")
-        if state is None:
-            return now.withColumn(f"saved_{self.token}", F.lit(None).cast(dict(now.dtypes)[self.token])).withColumn("is_new", F.lit(True))
-        return changed_rows(now, state, self.keys, self.token, self.bits, self.levels, saved_tree=self._part("tree"))
-
-    def publish(self, now: DataFrame, output: DataFrame) -> str:
-        """Writes output, state and tree of ``now``, then makes them current in one step."""
-        v = f"v-{uuid.uuid4().hex}"
-        state = now.select(*self.keys, self.token)
-        state.write.parquet(f"{self.path}/{v}/state")
-        state = self.spark.read.parquet(f"{self.path}/{v}/state")
-        tree(state.select(*self.keys, F.col(self.token).cast("string").alias("_token")), self.keys, "_token", self.bits, self.levels).write.parquet(f"{self.path}/{v}/tree")
-        output.write.parquet(f"{self.path}/{v}/output")
-        fs, p = _hadoop_path(self.spark, f"{self.path}/CURRENT")
-        _, tmp = _hadoop_path(self.spark, f"{self.path}/_next-{v}")
-        out = fs.create(tmp, True)
-        out.write(bytearray(json.dumps({"version": v}).encode()))
-        out.close()
-        ctx = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.spark._jsc.hadoopConfiguration())
-        opts = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        opts[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        ctx.rename(tmp, p, opts)
-        return v
+    def start(self, now: DataFrame) -> Run:
+        return Run(self, now)
 
     def output(self) -> DataFrame | None:
-        return self._part("output")
+        """All runs' output, None before the first; runs may add columns, missing ones are null."""
+        out = None
+        for v in self.table.manifest()["settings"].get("outputs", []):
+            part = self.spark.read.parquet(f"{self.path}/{v}")
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        return out
+
+    def clean(self, keep: int = 2, older_s: float = 86_400.0) -> list[str]:
+        """Removes folders of dead runs and of states that no longer count; outputs stay."""
+        s = self.table.manifest()["settings"]
+        live = {*s.get("outputs", []), *([s["tree"]] if "tree" in s else [])}
+        return self.table.clean(keep, older_s, {v.split("/")[0] for v in live})
+
+
+class Run:
+    """One run over a snapshot; ``pending`` has the rows that no published run covers."""
+
+    def __init__(self, store: MerkleStore, now: DataFrame):
+        self.store, self.now = store, materialise(now, "snapshot")
+        self.base = store.table.manifest()
+        settings = self.base["settings"]
+        self.levels = store.levels or max(levels_for(self.now.count(), store.bits), settings.get("levels", 0))
+        self.keyed = self.now.select(*store.keys, F.col(store.token).cast("string").alias("_token"))
+        self.tree = materialise(tree(self.keyed, store.keys, "_token", store.bits, self.levels), "tree")
+        state = store.table.read(self.base)
+        if state is None:
+            self.saved_tree = None
+            self.pending = self.now.withColumn(f"saved_{store.token}", F.lit(None).cast(self.now.schema[store.token].dataType)).withColumn("is_new", F.lit(True))
+            return
+        state = state.drop("_part")
+        if settings["levels"] == self.levels:
+            self.saved_tree = store.spark.read.parquet(f"{store.path}/{settings['tree']}")
+        else:  # the table has grown by a level
+            self.saved_tree = materialise(tree(state.select(*store.keys, F.col(store.token).cast("string").alias("_token")), store.keys, "_token", store.bits, self.levels), "tree")
+        self.pending = changed_rows(self.now, state, store.keys, store.token, store.bits, self.levels, saved_tree=self.saved_tree)
+
+    def publish(self, output: DataFrame) -> dict:
+        """Publishes the run's output with the snapshot's state; raises :class:`CommitConflict` if another run was faster."""
+        s = self.store
+        part = leaf_range(s.keys, s.bits, PART_LEVEL)
+        if self.saved_tree is None:
+            rows, touched = self.now, None
+        else:
+            up = F.shiftright("node", s.bits * (self.levels - PART_LEVEL)).cast("long")
+            touched = [r[0] for r in changed_leaves(self.tree, self.saved_tree, self.levels, s.bits).select(up.alias("p")).distinct().collect()]  # at most 2**(bits * PART_LEVEL)
+            rows = self.now.filter(part.isin(touched)) if touched else self.now.limit(0)
+        v, written = s.table.write(rows.select(*s.keys, s.token, part.cast("int").alias("_part")))
+        output.write.parquet(f"{s.path}/{v}/output")
+        self.tree.write.parquet(f"{s.path}/{v}/tree")
+        folders: dict[int, str | None] = {int(k): None for k in (self.base["parts"] if touched is None else touched)} | {k: v for k in written}
+        outputs = [*self.base["settings"].get("outputs", []), f"{v}/output"]
+        return s.table.commit(self.base, folders, {"levels": self.levels, "tree": f"{v}/tree", "outputs": outputs})
 
 
 def norm_sha(c: Column) -> Column:
@@ -168,7 +195,7 @@ def files_to_index(code_map: DataFrame, chunks: DataFrame, runs: DataFrame) -> D
     (an empty map) or every file (no chunks).
     """
     now, saved = materialise(current_files(code_map), "now"), materialise(indexed_files(chunks, runs), "saved")  # a row per file each, read twice
-    pending = changed_rows(now, saved, ["root", "path"])
-    run_s = F.unix_micros(F.col("saved_started_at").cast("timestamp")) / F.lit(1e6)
+    pending = changed_rows(now, saved, ["root", "path"], levels=levels_for(now.count()))
+    run_s = epoch_micros(pending, "saved_started_at") / F.lit(1e6)
     reason = F.when(F.col("is_new"), "new").when(F.col("token").isNotNull(), "changed").when(F.col("mtime") > run_s, "touched")
     return pending.select("root", "path", reason.alias("reason")).filter("reason is not null")

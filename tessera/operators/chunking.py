@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import lines, short_sha, strip
+from tessera.session import materialise
 
 #: Chunk size, line window and overlap, least gap, most chunks, longest decision body (fixed values).
 MAX_CHARS, WINDOW_LINES, OVERLAP_LINES, GAP_LINES, MAX_CHUNKS, DECISION_CHARS = 2048, 60, 10, 5, 50_000, 4096
@@ -73,8 +74,8 @@ def parse_python(text: str) -> tuple[list[tuple[str, str, int, int]], str | None
             elif isinstance(node, ast.ClassDef):
                 out.append((owner + node.name, "class", node.lineno, node.end_lineno or node.lineno))
                 visit(node.body, node.name + ".")
-            elif isinstance(node, ast.Assign) and not owner:
-                for t in node.targets:
+            elif isinstance(node, (ast.Assign, ast.AnnAssign)) and not owner:
+                for t in node.targets if isinstance(node, ast.Assign) else [node.target]:
                     if isinstance(t, ast.Name) and t.id.isupper():
                         out.append((t.id, "constant", node.lineno, node.end_lineno or node.lineno))
 
@@ -83,8 +84,11 @@ def parse_python(text: str) -> tuple[list[tuple[str, str, int, int]], str | None
     return out, doc.strip().splitlines()[0][:120] if doc and doc.strip() else None
 
 
-def python_symbols(files: DataFrame, key: str = "path", text_col: str = "text") -> DataFrame:
-    """``key, name, kind, line_start, line_end, engine`` by the Python parser, or by the line patterns where it fails."""
+def python_symbols(files: DataFrame, key: str = "path", text_col: str = "text", purpose: bool = False) -> DataFrame:
+    """``key, name, kind, line_start, line_end, engine`` by the Python parser, or by the line patterns where it fails.
+
+    With ``purpose`` a docstring's first line comes out as a row of kind ``purpose`` with line 0.
+    """
     import re
 
     rules = [(re.compile(p), k) for p, k in SYMBOL_PATTERNS]
@@ -94,7 +98,8 @@ def python_symbols(files: DataFrame, key: str = "path", text_col: str = "text")
             rows = []
             for k, text in zip(pdf["k"], pdf["text"], strict=True):
                 try:
-                    rows += [(k, *s, "ast") for s in parse_python(text or "")[0]]
+                    found, doc = parse_python(text or "")
+                    rows += [(k, *s, "ast") for s in found] + ([(k, doc, "purpose", 0, 0, "ast")] if purpose and doc else [])
                 except (SyntaxError, ValueError, RecursionError):
                     for n, line in enumerate((text or "").splitlines(), 1):
                         hit = next(((m.group(1), kind) for rule, kind in rules if (m := rule.match(line))), None)
@@ -106,6 +111,21 @@ def python_symbols(files: DataFrame, key: str = "path", text_col: str = "text")
     return files.select(F.col(key).alias("k"), F.col(text_col).alias("text")).mapInPandas(run, f"k {kind}, {SYMBOLS}, engine string").withColumnRenamed("k", key)
 
 
+def extract_symbols(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(symbols, purposes)`` of files (path, lang, text), each by the engine of its language.
+
+    Markdown gives headings, Python goes through its parser (line patterns where that fails), all else through the line patterns. Symbols: path, name, kind,
+    line_start, line_end, engine; purposes: path, purpose (a module docstring's first line or the first h1). A null language counts as other.
+    """
+    lang = F.coalesce("lang", F.lit(""))
+    f = files.select("path", lang.alias("lang"), "text").filter("text is not null")
+    md = markdown_symbols(f.filter("lang = 'markdown'"), ["path"]).withColumn("engine", F.lit("markdown"))
+    py = materialise(python_symbols(f.filter("lang = 'python'"), purpose=True), "symbols")  # parsed once, read for symbols and purposes
+    other = regex_symbols(f.filter("lang not in ('markdown', 'python')"), ["path"]).withColumn("engine", F.lit("regex"))
+    purposes = markdown_purpose(md, ["path"]).unionByName(py.filter("kind = 'purpose'").select("path", F.col("name").alias("purpose")))
+    return md.unionByName(py.filter("kind <> 'purpose'")).unionByName(other), purposes
+
+
 def spans(symbols: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
     """Symbols with real ends: ``a, b``. Constants are left out; a point symbol reaches to the line before the next greater start, or the last line
     ``n_lines``; a symbol ends before the first one that starts inside it."""
@@ -190,6 +210,13 @@ def decision_chunks(files: DataFrame) -> DataFrame:
     )
 
 
+def in_order(chunks: DataFrame) -> DataFrame:
+    """Chunks with ``position`` (from 1) in the order of path, first line and id, numbered without a single-task window."""
+    from tessera.session import positioned
+
+    return positioned(chunks, ["path", "line_start", "id"]).withColumn("position", F.col("g") + 1).drop("g")
+
+
 def cap_chunks(chunks: DataFrame, most: int = MAX_CHUNKS) -> DataFrame:
     """At most ``most`` chunks, as an option of small interactive indexes: the longest module chunks go first."""
     return chunks.orderBy((F.col("kind") == "module").cast("int"), F.length("text"), "id").limit(most)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import materialise
+
 #: Turns kept whole, bytes of a checkpoint, characters of a result's head; goals, decisions and the longest decision (fixed values).
 KEEP, MAX_BYTES, HEAD, GOALS, DECISIONS, DECISION_CHARS = 6, 24_000, 240, 4, 12, 240
 VOLATILE = ("Read", "Grep", "Glob", "Bash", "WebFetch", "WebSearch")
@@ -80,7 +82,7 @@ def summary() -> Column:
     n_lines = lambda c: F.size(F.filter(F.split(c, "\r\n|\r|\n"), lambda s: F.trim(s) != ""))
     read = F.concat(F.lit("Read "), F.coalesce(F.nullif(field("file_path"), F.lit("")), F.nullif(field("path"), F.lit("")), F.lit("?")), F.lit(" ("), F.length(out) - F.length(F.replace(out, F.lit("\n"), F.lit(""))), F.lit(" lines)"))
     kind = F.coalesce(F.nullif(field("type"), F.lit("")), field("glob"), F.lit(""))
-    grep = F.concat(F.lit("Grep /"), F.coalesce(field("pattern"), F.lit("")), F.lit("/"), F.when(kind != "", F.concat(F.lit(" filter="), kind)).otherwise(""), F.lit(" → ~"), n_lines(F.substring(out, 1, HEAD)), F.lit(" match line(s)"))
+    grep = F.concat(F.lit("Grep /"), F.coalesce(field("pattern"), F.lit("")), F.lit("/"), F.when(kind != "", F.concat(F.lit(" filter="), kind)).otherwise(""), F.lit(" → ~"), n_lines(F.concat(F.substring(out, 1, HEAD), F.when(F.length(out) > HEAD, "…").otherwise(""))), F.lit(" match line(s)"))
     paths = F.when(out == "", 0).otherwise(F.size(F.split(F.regexp_replace(out, r"(\r\n|\r|\n)\z", ""), "\r\n|\r|\n")))
     glob = F.concat(F.lit("Glob "), F.coalesce(field("pattern"), F.lit("?")), F.lit(" → "), paths, F.lit(" path(s)"))
     bash = F.concat(F.lit("$ "), F.substring(F.coalesce(field("command"), F.lit("")), 1, 160), F.lit("  →  "), F.substring(F.replace(F.trim(out), F.lit("\n"), F.lit(" ⏎ ")), 1, HEAD))
@@ -101,9 +103,13 @@ def with_age(turns: DataFrame, keep: int = KEEP) -> DataFrame:
 
 def older_log(turns: DataFrame, keep: int = KEEP) -> DataFrame:
     """Lines for the assistant's volatile tool calls and edits outside the recent turns: ``session_id, seq, k, line``."""
-    old = with_age(turns, keep).filter(~F.col("recent") & (F.col("kind") == "assistant"))
-    wanted = calls(old).filter(F.col("name").isin(*VOLATILE, *EDITS))
-    return wanted.join(results(turns), ["session_id", "call_id"], "left").withColumn("output", F.coalesce("output", F.lit(""))).select("session_id", "seq", "k", F.concat(F.lit("- "), summary()).alias("line"))
+    old = with_age(turns, keep).filter(~F.col("recent"))
+    return _old_lines(calls(old).join(results(turns), ["session_id", "call_id"], "left").withColumn("output", F.coalesce("output", F.lit(""))))
+
+
+def _old_lines(answered: DataFrame) -> DataFrame:
+    wanted = answered.filter((F.col("kind") == "assistant") & F.col("name").isin(*VOLATILE, *EDITS))
+    return wanted.select("session_id", "seq", "k", F.concat(F.lit("- "), summary()).alias("line"))
 
 
 def within_budget(log: DataFrame, budget: int) -> DataFrame:
@@ -119,7 +125,8 @@ def checkpoints(turns: DataFrame, sessions: DataFrame, keep: int = KEEP, max_byt
     Older activity gives way, oldest line first, until the whole fits ``max_bytes``; what remains may still exceed it. An emptied section disappears.
     ``sessions``: session_id, cwd, git_branch (one row each).
     """
-    aged = with_age(turns, keep)
+    turns = aged = materialise(with_age(turns, keep), "turns")  # read by every section
+    answered = materialise(answered_calls(turns), "calls")
 
     def listed(df: DataFrame, order: Column, line: Column, title: str, name: str) -> DataFrame:
         rows = df.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), line.alias("l")))).alias("x"))
@@ -129,7 +136,7 @@ def checkpoints(turns: DataFrame, sessions: DataFrame, keep: int = KEEP, max_byt
     g = listed(goals(turns), F.col("n"), F.concat(F.lit("- "), F.substring(head, 1, 280)), "## What the user asked for", "goals")
     f = listed(files_touched(turns), F.col("n"), F.concat(F.lit("- `"), F.col("path"), F.lit("` ("), F.col("op"), F.lit(")")), "## Files touched", "files")
     d = listed(decision_lines(turns), F.col("n"), F.concat(F.lit("- "), F.col("decision")), "## Decisions", "decisions")
-    recent_calls = calls(aged.filter("recent")).join(results(turns), ["session_id", "call_id"], "left").withColumn("output", F.coalesce("output", F.lit("")))
+    recent_calls = answered.join(aged.filter("recent").select("session_id", "seq"), ["session_id", "seq"], "left_semi")
     call_line = F.concat(F.lit("- tool: "), F.when(F.col("name").isin(*VOLATILE), summary()).otherwise(F.rtrim(F.concat(F.col("name"), F.lit(" "), F.coalesce(field("file_path"), F.lit(""))))))
     per_turn = recent_calls.groupBy("session_id", "seq").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", call_line.alias("l")))), lambda s: s["l"]), "\n").alias("tools"))
     body = F.concat_ws("\n", F.concat(F.lit("### "), F.col("kind")), F.nullif(F.substring("text", 1, 2000), F.lit("")), F.col("tools"), F.lit(""))
@@ -140,6 +147,6 @@ def checkpoints(turns: DataFrame, sessions: DataFrame, keep: int = KEEP, max_byt
     base = base.select("session_id", F.concat(top, *[F.coalesce(c, F.lit("")) for c in ("goals", "files", "decisions")]).alias("top"), F.coalesce("recent", F.lit("")).alias("recent"))
     title = "## Earlier activity (compacted)"
     room = base.select("session_id", (F.lit(max_bytes) - F.octet_length("top") - F.octet_length("recent") - F.lit(len(title) + 3)).alias("room"))
-    fit = within_budget(older_log(turns, keep), max_bytes).join(room, "session_id").filter(F.col("bytes") <= F.col("room"))
+    fit = within_budget(_old_lines(answered.join(aged.filter("not recent").select("session_id", "seq"), ["session_id", "seq"], "left_semi")), max_bytes).join(room, "session_id").filter(F.col("bytes") <= F.col("room"))
     log = listed(fit, F.struct("seq", "k"), F.col("line"), title, "log")
     return base.join(log, "session_id", "left").select("session_id", F.concat("top", F.coalesce("log", F.lit("")), "recent").alias("checkpoint"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import materialise
+
 K = 10
 
 
@@ -50,20 +52,36 @@ def positional(value: Column, share: float | None) -> Column:
 
 
 def positional_distributed(df: DataFrame, key: str, value: str) -> DataFrame:
-    """``key, p50, p95`` by the same positions, from counts of distinct values, so that no group is collected."""
+    """``key, p50, p95`` by the same positions, from counts of distinct values, so that no group is collected.
+
+    The running sums of the counts come from sums within range partitions of (key, value) plus the partitions' offsets, so a key with many values is many tasks' work.
+    """
     counts = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = counts.groupBy(key).agg(F.sum("c").alias("n"))
-    seen = counts.withColumn("upto", F.sum("c").over(w)).join(total, key)
+    counts = materialise(counts.repartitionByRange(key, value).withColumn("_p", F.spark_partition_id()), "counts")
+    sums = sorted((r["_p"], r["c"]) for r in counts.groupBy("_p").agg(F.sum("c").alias("c")).collect())  # a number per partition
+    before = [(p, sum(c for _, c in sums[:i])) for i, (p, _) in enumerate(sums)]
+    if not before:
+        return counts.select(key, F.col(value).alias("p50"), F.col(value).alias("p95"))
+    w = Window.partitionBy("_p").orderBy(key, value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = F.broadcast(df.sparkSession.createDataFrame(before, "_p int, _o long"))
+    seen = counts.withColumn("upto", F.sum("c").over(w)).join(offsets, "_p").withColumn("upto", F.col("upto") + F.col("_o"))
+    per = seen.groupBy(F.col(key).alias("_k")).agg(F.sum("c").alias("n"), F.min(F.col("upto") - F.col("c")).alias("start"))
+    seen = seen.join(per, F.col(key).eqNullSafe(F.col("_k"))).withColumn("upto", F.col("upto") - F.col("start"))
     mid, high = F.floor(F.col("n") / 2), F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(0.95)))
     return seen.groupBy(key).agg(F.min(F.when(F.col("upto") > mid, F.col(value))).alias("p50"), F.min(F.when(F.col("upto") > high, F.col(value))).alias("p95"))
 
 
 def aggregate(records: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """n, mean hit1, hit5 and mrr, and the half-even rounded means of tokens to task (of hits) and context tokens."""
+    """n, mean hit1, hit5 and mrr, the half-even rounded means of tokens to task (of hits) and context tokens, and how many were degraded if that is known."""
     g = records.groupBy(*(by or []))
+    extra = [F.sum(F.col("degraded").cast("long")).alias("degraded")] if "degraded" in records.columns else []
     rate = lambda c: F.avg(F.col(c).cast("double"))
-    return g.agg(F.count(F.lit(1)).alias("n"), rate("hit1").alias("hit1"), rate("hit5").alias("hit5"), rate("mrr").alias("mrr"), F.bround(F.avg("tokens_to_task"), 0).cast("long").alias("tokens_to_task"), F.bround(F.avg("ctx_tokens_5"), 0).cast("long").alias("ctx_tokens_5"))
+    return g.agg(F.count(F.lit(1)).alias("n"), rate("hit1").alias("hit1"), rate("hit5").alias("hit5"), rate("mrr").alias("mrr"), F.bround(F.avg("tokens_to_task"), 0).cast("long").alias("tokens_to_task"), F.bround(F.avg("ctx_tokens_5"), 0).cast("long").alias("ctx_tokens_5"), *extra)
+
+
+def by_mode(golden: DataFrame, modes: list[str]) -> DataFrame:
+    """Every golden query in every mode: the golden columns and ``mode`` (a stated, short list)."""
+    return golden.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes])))
 
 
 def gate(aggregated: DataFrame, least_hit5: float = 0.80) -> DataFrame:

@@ -27,19 +27,21 @@ def reuse_embeddings(chunks: DataFrame, stored: DataFrame) -> tuple[DataFrame, D
     return reused, chunks.join(stored.select("id", "sha"), ["id", "sha"], "left_anti")
 
 
-def problems(chunks: DataFrame, vectors: DataFrame, files: DataFrame, dim: int, id_col: str = "id") -> DataFrame:
+def problems(chunks: DataFrame, vectors: DataFrame, files: DataFrame, dim: int, id_col: str = "id", names: Sequence[str] = ()) -> DataFrame:
     """One row for each check of an index: ``check, n`` with the number of offending records.
 
     Checks: chunks of unknown files, duplicated ids, vectors without chunk, chunks without vector, vectors of another dimension, vectors that are null.
+    ``names`` are the columns that must be unique (the id column without them).
     """
-    c, v = chunks.select(id_col, "path"), vectors.select(id_col, "vec")
+    names = list(names) or [id_col]
+    c, v = chunks.select(*dict.fromkeys([id_col, "path", *names])), vectors.select(id_col, "vec")
 
     def count(df: DataFrame, name: str) -> DataFrame:
         return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check"), "n")
 
     ids = c.select(id_col).distinct()
     parts = [
-        count(c.join(files.select("path").distinct(), "path", "left_anti"), "unknown_file"), count(c.groupBy(id_col).count().filter("count > 1"), "duplicate_id"),
+        count(c.join(files.select("path").distinct(), "path", "left_anti"), "unknown_file"), count(c.groupBy(*names).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1"), "duplicate_id"),
         count(v.select(id_col).distinct().join(ids, id_col, "left_anti"), "vector_without_chunk"), count(ids.join(v.select(id_col).distinct(), id_col, "left_anti"), "chunk_without_vector"),
         count(v.filter(F.size("vec") != dim), "other_dimension"), count(v.filter("vec is null"), "null_vector"),
     ]

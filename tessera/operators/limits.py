@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import epoch_micros
+
 #: Hits in a sliding minute; bytes and lines of a large read; age in days and bytes of a checkpoint to restore (fixed values).
 HITS, WINDOW_S = 5, 60
 #: Windows in a span of a key.
@@ -20,7 +22,7 @@ def rate_limited(hits: DataFrame, key: str, ts: str, most: int = HITS, seconds:
     their own.
     """
     span = seconds * 1_000_000
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    us = epoch_micros(hits, ts)
     cols = hits.columns
     own = hits.withColumn("_us", us).withColumn("_b", F.floor(F.col("_us") / (span * BLOCKS))).withColumn("_own", F.lit(True))
     before = own.filter(F.col("_us") >= (F.col("_b") + 1) * (span * BLOCKS) - span).withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(False))

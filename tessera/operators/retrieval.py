@@ -15,21 +15,24 @@ from tessera.session import BROADCAST_ROWS, materialise, small
 #: BM25 and fusion constants (fixed values).
 K1, B, HEADER_WEIGHT = 1.2, 0.75, 3
 RRF_K, IDENTIFIER_WEIGHT = 60, 1.5
-DUPLICATE = 0.90
+DUPLICATE, VECTOR_DEPTH = 0.90, 50
 QUERY_BLOCK = 4096
 
 
-def postings(docs: DataFrame, id_col: str, header: Column, text: Column) -> DataFrame:
+def postings(docs: DataFrame, id_col: str, header: Column, text: Column, mark: bool = False) -> DataFrame:
     """``term, id, tf, dl``: weighted term frequencies and the weighted length of every record with a term.
 
-    The header counts three times; null parts count as empty. ``id_col`` is unique; extra columns are ignored.
+    The header counts three times; null parts count as empty. ``id_col`` is unique; extra columns are ignored. With ``mark`` every record, also an
+    empty one, has a row with the term '' and no frequency, so that the same pass gives the collection's statistics.
     """
     empty = F.array().cast("array<string>")
     t = docs.select(F.col(id_col).alias("id"), F.coalesce(tokens(header), empty).alias("h"), F.coalesce(tokens(text), empty).alias("b"))
     dl = F.size("h") * HEADER_WEIGHT + F.size("b")
     weighted = F.concat(F.transform("h", lambda x: F.struct(x.alias("term"), F.lit(HEADER_WEIGHT).alias("w"))), F.transform("b", lambda x: F.struct(x.alias("term"), F.lit(1).alias("w"))))
+    if mark:
+        weighted = F.concat(weighted, F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("w"))))
     e = t.select("id", dl.cast("long").alias("dl"), F.explode(weighted).alias("x"))
-    return e.groupBy("id", "dl", F.col("x.term").alias("term")).agg(F.sum("x.w").cast("long").alias("tf")).select("term", "id", "tf", "dl")
+    return e.select("id", "dl", "x.term", "x.w").groupBy("id", "dl", "term").agg(F.sum("w").cast("long").alias("tf")).select("term", "id", "tf", "dl")
 
 
 def lengths(docs: DataFrame, id_col: str, header: Column, text: Column) -> DataFrame:
@@ -50,24 +53,27 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str, header: Column, text: Column, query_id: str, query_text: str) -> DataFrame:
     """``query_id, id, score`` of every record that shares a term with a query, rounded to 6 places.
 
-    Only terms of the batch leave the tokeniser: they are filtered by a join with the distinct query terms (broadcast behind a
-    check of their number) before anything is aggregated, so the shuffle holds what can match and no more. An empty
-    corpus or query batch gives no rows.
+    The corpus is read and tokenised once. Only terms of the batch (and a mark for each record, which carries its length) leave the tokeniser: they are filtered
+    by a join with the distinct query terms (broadcast behind a check of their number) before anything is aggregated, so the shuffle holds what can match
+    and a row for each record, no more. An empty corpus or query batch gives no rows.
     """
-    qt = query_terms(queries, query_id, query_text)
-    wanted = qt.select("term").distinct()
-    wanted = F.broadcast(wanted) if small(wanted, BROADCAST_ROWS) else wanted
-    post = materialise(postings(docs, id_col, header, text).join(wanted, "term", "left_semi"), "postings")  # read for the document frequencies and for the scores
-    stats = lengths(docs, id_col, header, text).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
-    s = stats.first()
-    return score_postings(post, qt, F.lit(s["n"]), F.lit(s["avgdl"] or 0.0))
+    qt = materialise(query_terms(queries, query_id, query_text), "terms")
+    few = small(qt, BROADCAST_ROWS)
+    wanted = qt.select("term").distinct().unionByName(qt.sparkSession.createDataFrame([("",)], "term string"))
+    marked = postings(docs, id_col, header, text, mark=True)
+    post = materialise(marked.join(F.broadcast(wanted) if few else wanted, "term", "left_semi"), "postings")  # read for the statistics, the document frequencies and the scores
+    s = post.filter("term = ''").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl")).first()
+    return score_postings(post.filter("term <> ''"), qt, F.lit(s["n"]), F.lit(s["avgdl"] or 0.0), few)
 
 
-def score_postings(post: DataFrame, qt: DataFrame, n: Column, avgdl: Column) -> DataFrame:
-    """``query_id, id, score`` from postings (term, id, tf, dl) of the terms in ``qt`` (query_id, term), the number of records and their mean length."""
+def score_postings(post: DataFrame, qt: DataFrame, n: Column, avgdl: Column, few: bool | None = None) -> DataFrame:
+    """``query_id, id, score`` from postings (term, id, tf, dl) of the terms in ``qt`` (query_id, term), the number of records and their mean length.
+
+    ``few``: whether the query terms were found few enough to be broadcast; checked here if not given.
+    """
     df = post.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     weighted = qt.join(df, "term").select("query_id", "term", idf(F.col("df"), n).alias("idf"), avgdl.alias("avgdl"))
-    hit = post.join(F.broadcast(weighted) if small(qt, BROADCAST_ROWS) else weighted, "term")
+    hit = post.join(F.broadcast(weighted) if (small(qt, BROADCAST_ROWS) if few is None else few) else weighted, "term")
     tf = F.col("tf").cast("double")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1e-9))))
     return hit.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
@@ -155,17 +161,16 @@ def hybrid(lexical: DataFrame, vector: DataFrame, queries: DataFrame, meta: Data
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 8, mode: str = "lexical", vector: DataFrame | None = None) -> DataFrame:
-    """The query driver: ``query_id, id, rank, score, degraded`` over chunk records (id, path, lang, header, text).
+    """The query driver: ``query_id, id, rank, score, degraded, reason`` over chunk records (id, path, lang, header, text).
 
-    Modes: lexical, vector, hybrid. Hybrid without vector scores degrades to lexical and says so; vector mode without any gives no rows.
+    Modes: lexical, vector, hybrid. Vector and hybrid mode without vector scores fall back to lexical and say so with a reason; vector mode whose scores are
+    empty gives no rows.
     """
     if mode not in ("lexical", "vector", "hybrid"):
         raise ValueError(f"unknown mode {mode}")
     meta = docs.select("id", "path", "lang")
-    degraded = mode == "hybrid" and vector is None
-    if mode == "vector":
-        if vector is None:
-            return docs.sparkSession.createDataFrame([], "query_id long, id string, rank int, score double, degraded boolean")
+    degraded = mode != "lexical" and vector is None
+    if mode == "vector" and not degraded:
         out = top_k(apply_priors(top_k(vector, fetch_size(k)).drop("rank"), meta), k)
     else:
         lex = bm25(docs, queries, "id", F.col("header"), F.col("text"), "query_id", "query")
@@ -173,7 +178,58 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 8, mode: str = "lexical
             out = hybrid(lex, vector, queries, meta, k, "query_id", "query")
         else:
             out = top_k(apply_priors(top_k(lex, fetch_size(k)).drop("rank"), meta), k)
-    return out.select("query_id", "id", "rank", "score", F.lit(degraded).alias("degraded"))
+    return out.select("query_id", "id", "rank", "score", F.lit(degraded).alias("degraded"), F.lit("no vectors" if degraded else None).cast("string").alias("reason"))
+
+
+def ephemeral_search(files: DataFrame, queries: DataFrame, k: int = 8, most_files: int = 2000) -> DataFrame:
+    """Search without a stored index: the files (path, lang, text) are chunked on the fly, the best 2k get priors; more than ``most_files`` files raise ValueError."""
+    from tessera.operators import chunking
+
+    if files.limit(most_files + 1).count() > most_files:
+        raise ValueError(f"over {most_files} files: build an index first")
+    chunks = materialise(chunking.chunk_files(files, chunking.extract_symbols(files)[0]), "chunks")
+    lex = bm25(chunks, queries, "id", F.col("header"), F.col("text"), "query_id", "query")
+    out = top_k(apply_priors(top_k(lex, 2 * k).drop("rank"), chunks), k)
+    return out.select("query_id", "id", "rank", "score", F.lit(True).alias("degraded"), F.lit("no index").alias("reason"))
+
+
+def decision_search(decisions: DataFrame, queries: DataFrame, k: int, vector: DataFrame | None = None) -> DataFrame:
+    """``query_id, id, score, rank`` over decision records alone: BM25 with their own statistics, no priors, fused with equal weights with the vector hits among them.
+
+    ``vector``: query_id, id, score of a search over all records, of which the best 50 of each query compete before others than decisions drop out; without it the
+    lexical ranking stands. ``decisions``: id, header, text; ``queries``: query_id, query.
+    """
+    lex = top_k(bm25(decisions, queries, "id", F.col("header"), F.col("text"), "query_id", "query"), k)
+    if vector is None:
+        return lex.select("query_id", "id", "score", "rank")
+    hits = top_k(vector, VECTOR_DEPTH).drop("rank").join(decisions.select("id").distinct(), "id", "left_semi")
+    return top_k(rrf((lex, 1.0), (top_k(hits, k), 1.0)), k).select("query_id", "id", "score", "rank")
+
+
+def result_rows(results: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Results as they are shown: ``query_id, rank, span, path, line_start, line_end, symbol, kind, score (4 places), header, source, tokens``.
+
+    A span of one line names it once. Ids without a chunk drop out.
+    """
+    one = F.col("line_start") == F.col("line_end")
+    span = F.concat(F.col("path"), F.lit(":L"), F.col("line_start"), F.when(one, "").otherwise(F.concat(F.lit("-L"), F.col("line_end"))))
+    r = results.join(chunks.select("id", "path", "line_start", "line_end", "symbol", "kind", "header", "source", "text"), "id")
+    return r.select("query_id", "rank", span.alias("span"), "path", "line_start", "line_end", "symbol", "kind", F.round("score", 4).alias("score"), "header", "source", estimate_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+
+
+def check_prompts(history: DataFrame, prompts: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
+    """``(duplicates, fresh)`` of a batch of prompts against the prompts so far, each with ``sha, prompt, when, vec``.
+
+    Duplicates: ``sha, earlier, when, cosine`` (3 places) of more than ``DUPLICATE``, the most similar first within a prompt. Fresh: the rows to append, one
+    for each content hash that the history lacks. The history isn't shuffled for the check.
+    """
+    num = lambda d, name: d.withColumn(name, F.xxhash64("sha"))
+    h, q = num(history.dropDuplicates(["sha"]), "_h"), num(prompts.dropDuplicates(["sha"]), "_q")
+    near = cosine_topk(h, q, 0, "_h", "vec", "_q", "vec", dim, DUPLICATE)
+    found = near.join(q.select(F.col("_q").alias("query_id"), "sha"), "query_id").join(h.select(F.col("_h").alias("id"), F.col("prompt").alias("earlier"), "when"), "id")
+    order = F.row_number().over(Window.partitionBy("sha").orderBy(F.desc("score"), "when", "earlier"))
+    dups = found.select("sha", "earlier", "when", F.round("score", 3).alias("cosine"), order.alias("place"))
+    return dups, q.drop("_q").join(history.select("sha"), "sha", "left_anti")
 
 
 def result_tokens(results: DataFrame, chunks: DataFrame, file_tokens: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import indexing, retrieval
 from tessera.session import _hadoop_path, small
+from tessera.sources.versions import CommitConflict, create_file, read_file
 
 SCHEMA_VERSION = 1
 #: Seconds after which a writer's lock counts as abandoned (fixed value).
@@ -23,20 +25,70 @@ class LockHeld(RuntimeError):
     """Another writer holds the lock."""
 
 
+class WriterLock:
+    """An exclusive lock for writers: a file with the owner's token, created only if it isn't there and kept fresh while it is held.
+
+    A lock that was not renewed for ``stale_after`` seconds is taken over by moving it away, which one taker alone can do; a taker that moved a fresh lock by
+    mistake puts it back. Only its owner removes a lock.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, stale_after: float = LOCK_STALE):
+        self.spark, self.path, self.stale_after, self.token = spark, f"{path}/_LOCK", stale_after, uuid.uuid4().hex
+        self.fs, self.file = _hadoop_path(spark, self.path)
+        self._done = threading.Event()
+
+    def _age(self) -> float:
+        return time.time() - self.fs.getFileStatus(self.file).getModificationTime() / 1000
+
+    def _steal(self) -> None:
+        seen = read_file(self.spark, self.path)
+        away = self.file.suffix(f"-{self.token}")
+        if not self.fs.rename(self.file, away):
+            return
+        if read_file(self.spark, away.toString()) != seen:
+            self.fs.rename(away, self.file)
+            raise LockHeld(f"{self.path} was taken over by another writer")
+        self.fs.delete(away, False)
+
+    def acquire(self) -> None:
+        self.fs.mkdirs(self.file.getParent())
+        if self.fs.exists(self.file) and self._age() > self.stale_after:
+            self._steal()
+        try:
+            create_file(self.spark, self.path, self.token)
+        except CommitConflict as e:
+            raise LockHeld(f"{self.path} is held by another writer") from e
+        if self.stale_after > 0:
+            threading.Thread(target=self._renew, daemon=True).start()
+
+    def _renew(self) -> None:
+        while not self._done.wait(self.stale_after / 4):
+            if self.held():
+                self.fs.setTimes(self.file, int(time.time() * 1000), -1)
+
+    def held(self) -> bool:
+        return read_file(self.spark, self.path) == self.token
+
+    def check(self) -> None:
+        """Raises :class:`LockHeld` if the lock was lost; called before anything is made visible."""
+        if not self.held():
+            raise LockHeld(f"{self.path} was lost to another writer")
+
+    def release(self) -> None:
+        self._done.set()
+        if self.held():
+            self.fs.delete(self.file, False)
+
+
 @contextmanager
-def writer_lock(spark: SparkSession, path: str, stale_after: float = LOCK_STALE) -> Iterator[None]:
-    """An exclusive lock for writers by a file that is created only if it isn't there; an older one is taken over."""
-    fs, p = _hadoop_path(spark, f"{path}/_LOCK")
-    if fs.exists(p) and time.time() - fs.getFileStatus(p).getModificationTime() / 1000 > stale_after:
-        fs.delete(p, False)
-    try:
-        fs.create(p, False).close()
-    except Exception as e:
-        raise LockHeld(f"{path} is being written") from e
+def writer_lock(spark: SparkSession, path: str, stale_after: float = LOCK_STALE) -> Iterator[WriterLock]:
+    """Holds a :class:`WriterLock` for a block."""
+    lock = WriterLock(spark, path, stale_after)
+    lock.acquire()
     try:
-        yield
+        yield lock
     finally:
-        fs.delete(p, False)
+        lock.release()
 
 
 class IndexStore:
@@ -55,7 +107,7 @@ class IndexStore:
         if not fs.exists(p):
             return None
         try:
-            return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/CURRENT").collect()))
+            return json.loads(read_file(self.spark, f"{self.path}/CURRENT") or "")
         except ValueError:
             return None
 
@@ -67,13 +119,14 @@ class IndexStore:
 
     def build(self, chunks: DataFrame, files: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None, backend: str | None = None) -> dict:
         """Writes a new version and makes it current. Vectors whose (id, sha) is in the current version are reused; ``embed`` (chunks -> id, vec) makes the rest."""
-        old = self.meta()
-        with writer_lock(self.spark, self.path):
+        with writer_lock(self.spark, self.path) as lock:
+            old = self.meta()
             v = f"v-{uuid.uuid4().hex}"
             at = f"{self.path}/{v}"
             chunks.write.parquet(f"{at}/chunks")
             c = self.spark.read.parquet(f"{at}/chunks")
-            retrieval.postings(c, "id", F.col("header"), F.col("text")).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{at}/postings")
+            marked = retrieval.postings(c, "id", F.col("header"), F.col("text"), mark=True)  # one pass gives the postings and, under the term '', a row for each chunk
+            marked.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{at}/postings")
             files.select("path", "sha", "mtime").write.parquet(f"{at}/files")
             reused = 0
             if embed is not None:
@@ -83,26 +136,13 @@ class IndexStore:
                     kept.select("id", "sha", "vec").write.parquet(f"{at}/vectors")
                     reused = self.spark.read.parquet(f"{at}/vectors").count()
                 embed(todo).join(c.select("id", "sha"), "id").select("id", "sha", "vec").write.mode("append").parquet(f"{at}/vectors")
-            stats = self._stats(c)
+            s = self.spark.read.parquet(f"{at}/postings").filter("term = ''").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")).first()
+            stats = {"n": s["n"], "avgdl": s["avgdl"]}
             meta = {"schema": SCHEMA_VERSION, "version": v, "chunk_count": c.count(), "backend": backend, "embeddings": "present" if embed else "absent", "reused": reused, **stats}
-            self._point(meta)
+            lock.check()
+            create_file(self.spark, f"{self.path}/CURRENT", json.dumps(meta), replace=True)
         return meta
 
-    def _stats(self, chunks: DataFrame) -> dict:
-        r = retrieval.lengths(chunks, "id", F.col("header"), F.col("text")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")).first()
-        return {"n": r["n"], "avgdl": r["avgdl"]}
-
-    def _point(self, meta: dict) -> None:
-        fs, p = _hadoop_path(self.spark, f"{self.path}/CURRENT")
-        _, tmp = _hadoop_path(self.spark, f"{self.path}/_next-{meta['version']}")
-        out = fs.create(tmp, True)
-        out.write(bytearray(json.dumps(meta).encode()))
-        out.close()
-        jvm = self.spark._jvm
-        opts = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        opts[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.spark._jsc.hadoopConfiguration()).rename(tmp, p, opts)
-
     def problems(self) -> list[str]:
         """What is wrong with the current version: no settings, another schema, missing tables, counts that differ."""
         meta = self.meta()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import positioned, read_table, spread
+from tessera.session import positioned, read_spread, read_table
 
 
 def chunks(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
@@ -15,7 +15,7 @@ def chunks(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(read_table(spark, sf, "documents"))
+    return read_spread(spark, sf, "documents")
 
 
 def header():

@@ -89,6 +89,30 @@ def bootstrap_interval(spark, sf):
     return abtest.bootstrap_distributed(p, "d", "item")
 
 
+def pairs_with_verdicts(spark, sf):
+    """Complete pairs with both arms' verdicts: an item is resolved in an arm if some order of it there is urgent."""
+    o = read_table(spark, sf, "orders").select(F.col("o_custkey").alias("item"), "o_orderkey", (F.col("o_orderpriority") == "1-URGENT").alias("resolved"))
+    p = _pairs(spark, sf).filter("complete").drop("resolved_a", "resolved_b")
+    return abtest.with_verdicts(p, o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 2 = 1"), "item").select("item", "resolved_a", "resolved_b")
+
+
+def runs_to_do(spark, sf):
+    done = _rows(spark, sf).filter("error is null").select(F.col("item").alias("c_custkey"), "arm")
+    return abtest.runs_to_do(read_table(spark, sf, "customer"), "c_custkey", ["baseline", "treatment"], done)
+
+
+def sample_by_language(spark, sf):
+    d = read_table(spark, sf, "documents").select("doc_id", F.coalesce("lang", F.lit("unknown")).alias("language"))
+    return abtest.stratified_sample(d, "doc_id", "language", 40, only=["en", "de", "fr"])
+
+
+def eval_by_mode(spark, sf):
+    """Golden queries in two modes over chunks without vectors: hybrid falls back to lexical and counts as degraded."""
+    j, g = _judged(spark, sf)
+    both = evaluation.by_mode(evaluation.score_queries(j, g), ["lexical", "hybrid"]).withColumn("degraded", F.col("mode") == "hybrid")
+    return evaluation.aggregate(both, ["mode"]).select("mode", "n", F.round("hit5", 6).alias("hit5"), F.round("mrr", 6).alias("mrr"), "degraded")
+
+
 def not_yet_done(spark, sf):
     """The anti join by which a resumed run finds what is left: customers without an order that didn't fail."""
     done = read_table(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_custkey").alias("c_custkey")).distinct()
@@ -120,7 +144,7 @@ def golden_by_repo(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    query_scores, hit_at_k_mrr, tokens_to_task, hit5_by_type, quality_gate, latency_p50_p95, paired_join, dropped_pairs, token_reduction, cost_per_resolved, stratified_quota, stratified_sample, bootstrap_interval, not_yet_done, probe_benchmark, judge_context_rows, golden_by_repo,
+    query_scores, hit_at_k_mrr, tokens_to_task, hit5_by_type, quality_gate, latency_p50_p95, paired_join, dropped_pairs, token_reduction, cost_per_resolved, stratified_quota, stratified_sample, sample_by_language, bootstrap_interval, pairs_with_verdicts, runs_to_do, eval_by_mode, not_yet_done, probe_benchmark, judge_context_rows, golden_by_repo,
 )}
 
 _S = f"""WITH {ONCE}, {postings_sql("k", "chunk_no", "coalesce(header, '')", "text")}, {bm25_sql("golden_items", "item_id", "query")},
@@ -139,7 +163,19 @@ _Q = "qs AS (SELECT o_orderpriority, count(*) AS size, greatest(1, round_even(75
 
 _SPANS = f"""WITH {ONCE}, {postings_sql("k", "chunk_no", "coalesce(header, '')", "text")}, {bm25_sql("golden_items", "item_id", "query")}"""
 
+_CDF = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253]
+
 ORACLES = {
+    "pairs_with_verdicts": f"""{_A}, o AS (SELECT o_custkey AS item, o_orderkey % 2 = 0 AS first, bool_or(o_orderpriority = '1-URGENT') AS r FROM orders GROUP BY 1, 2)
+SELECT p.item, coalesce(a.r, false) AS resolved_a, coalesce(b.r, false) AS resolved_b FROM p LEFT JOIN o a ON a.item = p.item AND a.first LEFT JOIN o b ON b.item = p.item AND NOT b.first WHERE complete""",
+    "runs_to_do": f"{_A}, d AS (SELECT DISTINCT item, CASE WHEN arm = 'a' THEN 'baseline' ELSE 'treatment' END AS arm FROM w WHERE NOT bad) SELECT c_custkey, x.arm FROM customer CROSS JOIN (VALUES ('baseline'), ('treatment')) AS x(arm) WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.item = c_custkey AND d.arm = x.arm)",
+    "sample_by_language": """WITH l AS (SELECT doc_id, coalesce(lang, 'unknown') AS language FROM documents), f AS (SELECT *, md5('7:' || doc_id) AS h FROM l WHERE language IN ('en', 'de', 'fr')),
+q AS (SELECT language, greatest(1, round_even(40.0 * count(*) / (SELECT count(*) FROM f), 0)::BIGINT) AS quota FROM f GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY h, doc_id) AS r FROM f)
+SELECT doc_id, language FROM r JOIN q USING (language) ORDER BY CASE WHEN r > quota THEN 1 ELSE 0 END, h, doc_id LIMIT 40""",
+    "eval_by_mode": f"{_S} SELECT m.mode AS mode, count(*) AS n, round(avg(hit5::INTEGER), 6) AS hit5, round(avg(mrr), 6) AS mrr, cast(sum(CASE WHEN m.mode = 'hybrid' THEN 1 ELSE 0 END) AS BIGINT) AS degraded FROM q CROSS JOIN (VALUES ('lexical'), ('hybrid')) AS m(mode) GROUP BY 1",
+    "bootstrap_interval": f"""{_A}, v AS (SELECT item, tokens_a - tokens_b AS d FROM p WHERE complete), e AS (SELECT r, d, ('0x' || md5('7:' || r || ':' || item)[1:8])::BIGINT / 4294967296.0::DOUBLE AS u FROM v CROSS JOIN range(2000) t(r)),
+w2 AS (SELECT r, d, {" + ".join(f"CASE WHEN u > {c!r}::DOUBLE THEN 1 ELSE 0 END" for c in _CDF)} AS k FROM e), m AS (SELECT list_sort(list(m)) AS m FROM (SELECT r, sum(k * d)::DOUBLE / sum(k)::DOUBLE AS m FROM w2 GROUP BY 1))
+SELECT m[floor(len(m) * 0.025::DOUBLE)::BIGINT + 1] AS low, m[floor(len(m) * 0.975::DOUBLE)::BIGINT + 1] AS high FROM m""",
     "probe_benchmark": f"""{_SPANS}, c AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc QUALIFY rank <= 8), j AS (SELECT query_id, path, greatest(1, length(coalesce(text, '')) // 4) AS tokens FROM c JOIN k ON k.chunk_no = c.id),
 s AS (SELECT query_id, cast(sum(tokens) AS BIGINT) AS a FROM j GROUP BY 1), m AS (SELECT path, greatest(1, max(size) // 4) AS file_tokens FROM codebase_map GROUP BY 1), w AS (SELECT query_id, cast(sum(file_tokens) AS BIGINT) AS b FROM (SELECT DISTINCT query_id, path FROM j) JOIN m USING (path) GROUP BY 1)
 SELECT count(*) AS questions, cast(sum(a) AS BIGINT) AS spans, cast(sum(b) AS BIGINT) AS whole_files, round(sum(b)::DOUBLE / sum(a)::DOUBLE, 4) AS ratio, round((sum(b) - sum(a))::DOUBLE / 1e6 * 5, 6) AS saved FROM s LEFT JOIN w USING (query_id)""",

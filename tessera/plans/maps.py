@@ -47,8 +47,10 @@ def python_ast_symbols(spark, sf):
 
 
 def line_windows_overlap(spark, sf):
-    w = F.explode(chunking.windows(F.lit(1), F.col("n_lines"), 12, 4)).alias("w")
-    return _lines(spark, sf).filter("n_lines > 0").select("doc_id", w).select("doc_id", F.col("w.wa").alias("line_start"), F.col("w.wb").alias("line_end"))
+    """Windows of 60 lines with 10 in common over all chunk texts (up to some 240 lines)."""
+    n = chunks(spark, sf, "text").select("chunk_no", F.size(T.lines(F.col("text"))).alias("n_lines")).filter("n_lines > 0")
+    w = F.explode(chunking.windows(F.lit(1), F.col("n_lines"))).alias("w")
+    return n.select("chunk_no", w).select("chunk_no", F.col("w.wa").alias("line_start"), F.col("w.wb").alias("line_end"))
 
 
 def _current_symbols(spark, sf):
@@ -73,9 +75,25 @@ def symbol_spans(spark, sf):
 
 
 def chunk_documents(spark, sf):
-    f = _files(spark, sf)
-    s = chunking.markdown_symbols(f, ["path"])
-    return chunking.chunk_files(f.select("path", "text", F.lit("markdown").alias("lang")), s)
+    """Documents as files: source code goes through the Python parser or the line patterns, all else is Markdown."""
+    f = _coded(spark, sf)
+    return chunking.chunk_files(f, chunking.extract_symbols(f)[0])
+
+
+def _coded(spark, sf):
+    code = F.coalesce(F.col("doc_kind") == "source_code", F.lit(False))
+    d = documents(spark, sf).filter("text is not null")
+    return d.select(F.concat(F.lit("docs/"), F.col("doc_id"), F.when(code, ".py").otherwise(".md")).alias("path"), F.when(code, "python").otherwise("markdown").alias("lang"), "text")
+
+
+def file_purposes(spark, sf):
+    """What a file is for: a module's docstring or the first heading."""
+    return chunking.extract_symbols(_coded(spark, sf))[1]
+
+
+def chunk_order(spark, sf):
+    c = chunks(spark, sf, "path", "line_start").withColumn("id", F.col("chunk_no"))
+    return chunking.in_order(c).select("chunk_no", "position")
 
 
 def decision_blocks(spark, sf):
@@ -121,9 +139,10 @@ def incremental_anti_join(spark, sf):
 
 
 def index_validate(spark, sf):
-    c = chunks(spark, sf, "path").withColumnRenamed("chunk_no", "id")
+    """The checks of all chunks ever written; an id counts as duplicated if a run wrote it twice for a repository."""
+    c = chunks(spark, sf, "path", "root", "run_id", F.col("id").alias("name")).withColumnRenamed("chunk_no", "id")
     v = read_table(spark, sf, "chunk_vectors").select(F.col("chunk_no").alias("id"), "vec").distinct()
-    return indexing.problems(c, v, read_table(spark, sf, "codebase_map").select("path"), 64)
+    return indexing.problems(c, v, read_table(spark, sf, "codebase_map").select("path"), 64, names=["root", "run_id", "name"])
 
 
 def content_sha(spark, sf):
@@ -160,7 +179,7 @@ def latest_chunk_per_id(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    p4_found, split_lines, markdown_headings, markdown_purposes, regex_symbols, python_ast_symbols, line_windows_overlap, gap_islands, next_start_lead, symbol_spans, chunk_documents, decision_blocks, top_symbols, map_counts, top_dirs,
+    p4_found, split_lines, markdown_headings, markdown_purposes, regex_symbols, python_ast_symbols, line_windows_overlap, gap_islands, next_start_lead, symbol_spans, chunk_documents, file_purposes, chunk_order, decision_blocks, top_symbols, map_counts, top_dirs,
     languages, drift_full_outer, incremental_anti_join, index_validate, content_sha, chunk_cap_topn, systematic_sample, union_sources, path_difference, path_intersection, latest_chunk_per_id,
 )}
 
@@ -190,8 +209,9 @@ SELECT m.root, m.path FROM m LEFT JOIN ix i ON i.root = m.root AND i.path = m.pa
     "regex_symbols": rf"""WITH {ONCE}, ls AS (SELECT chunk_no, CASE WHEN a[-1] = '' THEN a[1:len(a) - 1] ELSE a END AS ls FROM (SELECT chunk_no, regexp_split_to_array(text, {_END}) AS a FROM k WHERE text IS NOT NULL AND text <> '')),
 ln AS (SELECT chunk_no, unnest(ls) AS line, generate_subscripts(ls, 1)::INTEGER AS n FROM ls), h AS (SELECT *, CASE {_CASE} END AS p FROM ln)
 SELECT chunk_no, CASE {_NAME} END AS name, CASE {_KIND} END AS kind, n AS line_start, n AS line_end FROM h WHERE p IS NOT NULL""",
-    "line_windows_overlap": f"""WITH {_LN}, c AS (SELECT doc_id, count(*) AS m FROM ln GROUP BY 1), w AS (SELECT doc_id, m, unnest(range(1, m + 1, 8)) AS wa FROM c)
-SELECT doc_id, wa::INTEGER AS line_start, least(wa + 11, m)::INTEGER AS line_end FROM w WHERE wa = 1 OR wa + 3 < m""",
+    "line_windows_overlap": f"""WITH {ONCE}, c AS (SELECT chunk_no, len(a) - CASE WHEN a[-1] = '' THEN 1 ELSE 0 END AS m FROM (SELECT chunk_no, regexp_split_to_array(text, {_END}) AS a FROM k WHERE text IS NOT NULL AND text <> '')),
+w AS (SELECT chunk_no, m, unnest(range(1, m + 1, 50)) AS wa FROM c) SELECT chunk_no, wa::INTEGER AS line_start, least(wa + 59, m)::INTEGER AS line_end FROM w WHERE wa = 1 OR wa + 9 < m""",
+    "chunk_order": f"WITH {ONCE} SELECT chunk_no, row_number() OVER (ORDER BY path NULLS FIRST, line_start NULLS FIRST, chunk_no) AS position FROM k",
     "gap_islands": f"""WITH {_SYM}, al AS (SELECT root, path, unnest(range(1, n_lines + 1)) AS n FROM nl), cv AS (SELECT DISTINCT root, path, unnest(range(line_start, line_end + 1)) AS n FROM sy WHERE line_end >= line_start),
 fr AS (SELECT root, path, n, n - row_number() OVER (PARTITION BY root, path ORDER BY n) AS g FROM (SELECT * FROM al ANTI JOIN cv USING (root, path, n)))
 SELECT root, path, min(n)::INTEGER AS a, max(n)::INTEGER AS b FROM fr GROUP BY root, path, g HAVING count(*) >= 5""",
@@ -209,7 +229,7 @@ SELECT path || '::' || regexp_extract(line, '^##+\s+(D-\d+)\b', 1) || '::' || n
     "drift_full_outer": f"""WITH {_CUR}, {_IDX}, m AS (SELECT root, path, nullif({_NORM}, '') AS sha FROM cur), j AS (SELECT coalesce(m.root, i.root) AS root, coalesce(m.path, i.path) AS path,
 CASE WHEN i.root IS NULL THEN 'added' WHEN m.root IS NULL THEN 'deleted' WHEN coalesce(m.sha = i.sha, false) THEN NULL ELSE 'changed' END AS status FROM m FULL JOIN ix i ON m.root = i.root AND m.path = i.path) SELECT * FROM j WHERE status IS NOT NULL""",
     "incremental_anti_join": f"""WITH {ONCE}, c AS (SELECT chunk_no, root || '/' || id AS id, sha FROM k), s AS (SELECT DISTINCT id, sha FROM c WHERE chunk_no IN (SELECT chunk_no FROM chunk_vectors WHERE vec IS NOT NULL)) SELECT chunk_no, id, sha FROM c ANTI JOIN s USING (id, sha)""",
-    "index_validate": f"""WITH {ONCE}, v AS (SELECT DISTINCT chunk_no, vec FROM chunk_vectors) SELECT 'unknown_file' AS "check", count(*) AS n FROM k WHERE path NOT IN (SELECT path FROM codebase_map) UNION ALL SELECT 'duplicate_id', 0
+    "index_validate": f"""WITH {ONCE}, v AS (SELECT DISTINCT chunk_no, vec FROM chunk_vectors) SELECT 'unknown_file' AS "check", count(*) AS n FROM k WHERE path NOT IN (SELECT path FROM codebase_map) UNION ALL SELECT 'duplicate_id', count(*) FROM (SELECT root, run_id, id FROM k GROUP BY ALL HAVING count(*) > 1)
 UNION ALL SELECT 'vector_without_chunk', count(DISTINCT chunk_no) FROM v WHERE chunk_no NOT IN (SELECT chunk_no FROM chunks) UNION ALL SELECT 'chunk_without_vector', count(*) FROM k WHERE chunk_no NOT IN (SELECT chunk_no FROM v)
 UNION ALL SELECT 'other_dimension', count(*) FROM v WHERE len(vec) <> 64 UNION ALL SELECT 'null_vector', count(*) FROM v WHERE vec IS NULL""",
     "content_sha": "SELECT doc_id, sha256(text)[1:12] AS sha FROM documents",

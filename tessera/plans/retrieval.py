@@ -130,6 +130,52 @@ def subset_bm25(spark, sf):
     return R.top_k(R.bm25(c, q, "chunk_no", F.col("header"), F.col("text"), "item_id", "query"), 5).select("query_id", F.col("id").alias("chunk_no"), "score", "rank")
 
 
+def _hash_vector_hits(spark, sf, k: int) -> DataFrame:
+    """``query_id, id, score``: the chunks nearest to each golden query by the registered hash backend."""
+    dim, embed = V.get_backend("hash")
+    c = chunks(spark, sf, "header", "text")
+    vecs = embed(c, "chunk_no", V.embed_text(F.col("header"), F.col("text")))
+    q = embed(read_table(spark, sf, GOLD), "item_id", F.col("query"))
+    return R.cosine_topk(vecs, q, k, "id", "vec", "id", "vec", dim).drop("rank")
+
+
+def _queries(spark, sf):
+    return read_table(spark, sf, GOLD).select(F.col("item_id").alias("query_id"), "query")
+
+
+def hybrid_search(spark, sf):
+    """The default mode: BM25 and vector lists of every golden query over all chunks, priors, fusion."""
+    docs = chunks(spark, sf, "path", "lang", "header", "text").withColumnRenamed("chunk_no", "id")
+    return R.search(docs, _queries(spark, sf), 8, "hybrid", _hash_vector_hits(spark, sf, R.fetch_size(8))).select("query_id", F.col("id").alias("chunk_no"), "score", "rank", "degraded")
+
+
+def decision_search(spark, sf):
+    c = chunks(spark, sf, "header", "text", "source").filter("source = 'decisions'").withColumnRenamed("chunk_no", "id")
+    out = R.decision_search(c, _queries(spark, sf), 5, _hash_vector_hits(spark, sf, R.VECTOR_DEPTH))
+    return out.select("query_id", F.col("id").alias("chunk_no"), "score", "rank")
+
+
+def result_rows(spark, sf):
+    c = chunks(spark, sf, "path", "line_start", "line_end", "symbol", "kind", "header", "source", "text").withColumnRenamed("chunk_no", "id")
+    return R.result_rows(R.top_k(_bm25_chunks(spark, sf), 8), c).select("query_id", "rank", "span", "symbol", "kind", "source", "tokens")
+
+
+def _prompts(spark, sf):
+    """Documents as prompts: those of ids divisible by 100 are asked, all others are the history."""
+    d = documents(spark, sf).filter("text is not null").select("doc_id", "text", T.short_sha(F.col("text")).alias("sha"))
+    dim, embed = V.get_backend("hash")
+    rows = embed(d, "doc_id", F.col("text")).join(d.select(F.col("doc_id").alias("id"), "sha"), "id").select("id", "sha", F.col("sha").alias("prompt"), F.lit("2026-01-01").alias("when"), "vec")
+    return R.check_prompts(rows.filter("id % 100 <> 0").drop("id"), rows.filter("id % 100 = 0").drop("id"), dim)
+
+
+def prompt_duplicates(spark, sf):
+    return _prompts(spark, sf)[0].select("sha", F.col("earlier").alias("earlier_sha"), "cosine")
+
+
+def prompt_append(spark, sf):
+    return _prompts(spark, sf)[1].select("sha")
+
+
 def symbol_find(spark, sf):
     s = read_table(spark, sf, "codebase_map").select("root", "path", F.explode("symbols").alias("s")).select(F.concat_ws("/", "root", "path").alias("path"), F.col("s.name").alias("name"), F.col("s.kind").alias("kind"), F.col("s.line_start").alias("line_start")).distinct()
     return R.find_symbol(s, "order", 50).select("path", "name", "line_start", "match")
@@ -164,7 +210,7 @@ def stored_index_search(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     tokenize_terms, term_frequency, doc_frequency_idf, doc_length_stats, bm25_topk, bm25_multi_query_topk, bm25_with_priors, cosine_topk, l2_normalize_check, rrf_fusion, rrf_identifier_boost,
-    identifier_queries, duplicate_prompts, prompt_hash_dedup, hash_embedding, filtered_vector_topk, prefiltered_vector_topk, subset_bm25, stored_index_search, symbol_find, rank_priors, span_savings,
+    identifier_queries, duplicate_prompts, prompt_hash_dedup, hash_embedding, filtered_vector_topk, prefiltered_vector_topk, subset_bm25, stored_index_search, symbol_find, rank_priors, span_savings, hybrid_search, decision_search, result_rows, prompt_duplicates, prompt_append,
 )}
 
 _IDENT = lambda c: rf"""(regexp_matches({c}, '\b[a-z0-9]+_[a-z0-9_]+\b') OR regexp_matches({c}, '\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+\b') OR regexp_matches({c}, '["''][^"'']+["'']') OR regexp_matches({c}, '\b\w+\.\w+\(\)'))"""
@@ -183,7 +229,35 @@ w AS (SELECT item_id AS query_id, CASE WHEN {{ident}} THEN 1.5 ELSE 1.0 END AS w
 f AS (SELECT query_id, id, round(sum(s), 9) AS score FROM (SELECT query_id, id, weight / (60 + rank) AS s FROM a JOIN w USING (query_id) UNION ALL SELECT query_id, id, 1.0 / (60 + rank) FROM b) GROUP BY 1, 2)
 SELECT query_id, id AS doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f QUALIFY rank <= 8"""
 
+_HASH = f"""hx AS (SELECT id, ('0x' || h[1:2])::INTEGER AS bucket, sum(CASE WHEN ('0x' || h[10:10])::INTEGER % 2 = 1 THEN -1.0 ELSE 1.0 END)::DOUBLE AS v FROM (SELECT id, md5(term) AS h FROM (SELECT chunk_no AS id, unnest({tok("(coalesce(header, '') || chr(10) || coalesce(text, ''))")}) AS term FROM k)) GROUP BY 1, 2),
+hn AS (SELECT id, sqrt(sum(v * v)) AS r FROM hx GROUP BY 1 HAVING r > 0),
+qx AS (SELECT id, ('0x' || h[1:2])::INTEGER AS bucket, sum(CASE WHEN ('0x' || h[10:10])::INTEGER % 2 = 1 THEN -1.0 ELSE 1.0 END)::DOUBLE AS v FROM (SELECT id, md5(term) AS h FROM (SELECT item_id AS id, unnest({tok("query")}) AS term FROM golden_items)) GROUP BY 1, 2),
+qn AS (SELECT id, sqrt(sum(v * v)) AS r FROM qx GROUP BY 1 HAVING r > 0),
+vs AS (SELECT q.id AS query_id, h.id AS id, round(sum(q.v * h.v) / any_value(qn.r * hn.r), 6) + 0.0 AS score FROM qx q JOIN hx h USING (bucket) JOIN qn ON qn.id = q.id JOIN hn ON hn.id = h.id GROUP BY 1, 2)"""
+_HYBRID = f"""WITH {_CH}, {_HASH},
+lc AS (SELECT query_id, id, score FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20), vc AS (SELECT query_id, id, score FROM vs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20),
+lp AS (SELECT query_id, lc.id AS id, row_number() OVER (PARTITION BY query_id ORDER BY round(score * {PRIOR}, 7) DESC, lc.id) AS rank FROM lc JOIN k ON k.chunk_no = lc.id), vp AS (SELECT query_id, vc.id AS id, row_number() OVER (PARTITION BY query_id ORDER BY round(score * {PRIOR}, 7) DESC, vc.id) AS rank FROM vc JOIN k ON k.chunk_no = vc.id),
+w AS (SELECT item_id AS query_id, CASE WHEN {_IDENT("query")} THEN 1.5 ELSE 1.0 END AS weight FROM golden_items),
+f AS (SELECT query_id, id, round(sum(s), 9) AS score FROM (SELECT query_id, id, weight / (60 + rank) AS s FROM lp JOIN w USING (query_id) UNION ALL SELECT query_id, id, 1.0 / (60 + rank) FROM vp) GROUP BY 1, 2)
+SELECT query_id, id AS chunk_no, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, false AS degraded FROM f QUALIFY rank <= 8"""
+_DECISIONS = f"""WITH {ONCE}, """ + postings_sql("k", "chunk_no", "coalesce(header, '')", "text", "WHERE source = 'decisions'") + ", " + bm25_sql("golden_items", "item_id", "query") + f""", {_HASH},
+lr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc QUALIFY rank <= 5),
+v50 AS (SELECT query_id, id, score FROM vs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 50),
+vr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM v50 WHERE id IN (SELECT chunk_no FROM k WHERE source = 'decisions') QUALIFY rank <= 5),
+f AS (SELECT query_id, id, round(sum(s), 9) AS score FROM (SELECT query_id, id, 1.0::DOUBLE / (60 + rank) AS s FROM lr UNION ALL SELECT query_id, id, 1.0::DOUBLE / (60 + rank) FROM vr) GROUP BY 1, 2)
+SELECT query_id, id AS chunk_no, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f QUALIFY rank <= 5"""
+_PROMPTS = f"""WITH d AS (SELECT doc_id, sha256(text)[1:12] AS sha, text FROM documents WHERE text IS NOT NULL),
+e AS (SELECT sha, ('0x' || h[1:2])::INTEGER AS bucket, sum(CASE WHEN ('0x' || h[10:10])::INTEGER % 2 = 1 THEN -1.0 ELSE 1.0 END)::DOUBLE AS v FROM (SELECT sha, md5(term) AS h FROM (SELECT sha, unnest({tok("text")}) AS term FROM (SELECT sha, any_value(text) AS text FROM d GROUP BY 1))) GROUP BY 1, 2),
+n AS (SELECT sha, sqrt(sum(v * v)) AS r FROM e GROUP BY 1 HAVING r > 0), q AS (SELECT DISTINCT sha FROM d WHERE doc_id % 100 = 0), hi AS (SELECT DISTINCT sha FROM d WHERE doc_id % 100 <> 0),
+s AS (SELECT a.sha AS sha, b.sha AS earlier_sha, round(sum(a.v * b.v) / any_value(na.r * nb.r), 6) AS c FROM e a JOIN e b USING (bucket) JOIN n na ON na.sha = a.sha JOIN n nb ON nb.sha = b.sha WHERE a.sha IN (SELECT sha FROM q) AND b.sha IN (SELECT sha FROM hi) GROUP BY 1, 2)"""
+
 ORACLES = {
+    "hybrid_search": _HYBRID,
+    "decision_search": _DECISIONS,
+    "result_rows": f"""WITH {_CH}, c AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc QUALIFY rank <= 8)
+SELECT query_id, rank, path || ':L' || line_start || CASE WHEN line_start = line_end THEN '' ELSE '-L' || line_end END AS span, symbol, kind, source, greatest(1, length(coalesce(text, '')) // 4) AS tokens FROM c JOIN k ON k.chunk_no = c.id""",
+    "prompt_duplicates": f"{_PROMPTS} SELECT sha, earlier_sha, round(c, 3) AS cosine FROM s WHERE c > 0.9",
+    "prompt_append": "SELECT DISTINCT sha256(text)[1:12] AS sha FROM documents WHERE text IS NOT NULL AND doc_id % 100 = 0 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE text IS NOT NULL AND doc_id % 100 <> 0)",
     "tokenize_terms": f"SELECT term, count(*) AS n FROM (SELECT unnest({tok('text')}) AS term FROM documents) GROUP BY term",
     "term_frequency": f"WITH {_POST} SELECT id AS doc_id, term, tf FROM tf",
     "doc_frequency_idf": f"WITH {_POST} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df CROSS JOIN st",

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows that a side may have to be broadcast; callers keep such sides to a few fixed-width columns.
@@ -91,15 +91,22 @@ def positioned(turns: DataFrame, order: list[str]) -> DataFrame:
     return part.join(offsets, "_p").withColumn("g", F.col("_o") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).select(*cols, "g")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartitions a scan that has fewer partitions than the cluster has cores, for work that Python does afterwards.
+def read_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table, spread over all cores if its files come in fewer pieces than there are cores.
 
-    Large inputs have more partitions than cores and pass unchanged, without a shuffle; so does anything that isn't a plain scan.
+    A matter of how the files were written (the test tables are single row groups), so it belongs to reading; no operator does it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString() or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    table, cores = read_table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
+def epoch_micros(df: DataFrame, name: str) -> Column:
+    """Microseconds since the epoch of a time column; one without zone counts as UTC, whatever the session's zone."""
+    c = F.col(name)
+    if df.schema[name].dataType.typeName() != "timestamp_ntz":
+        return F.unix_micros(c.cast("timestamp"))
+    seconds = F.datediff(c, F.lit("1970-01-01")).cast("long") * 86_400 + F.hour(c) * 3600 + F.minute(c) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

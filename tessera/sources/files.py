@@ -36,6 +36,27 @@ def scan_files(spark: SparkSession, root: str, most_bytes: int = MAX_FILE_BYTES,
     return f.select("path", "lang", "mtime", short_sha(F.col("content")).alias("sha"), "size", decode_lenient("content").alias("text"))
 
 
+def git_listing(spark: SparkSession, root: str) -> DataFrame | None:
+    """``path`` of the tracked and of the untracked but not ignored files of a git work tree; None where there is no such tree or no git.
+
+    The listing is made by git on the driver; give it to :func:`scan_files` as ``tracked``.
+    """
+    import subprocess
+
+    folder = root.removeprefix("file://")
+    try:
+        out = subprocess.run(["git", "-C", folder, "ls-files", "--cached", "--others", "--exclude-standard", "-z"], capture_output=True, check=True).stdout
+    except (OSError, subprocess.CalledProcessError):
+        return None
+    return spark.createDataFrame([(p.decode("utf-8", "replace"),) for p in out.split(b"\0") if p], "path string")
+
+
+def json_map(mapped: DataFrame) -> DataFrame:
+    """The map as JSON, a text for each file: ``path, json`` with path, lang, mtime, sha, size, purpose and symbols."""
+    cols = [c for c in ("path", "lang", "mtime", "sha", "size", "purpose", "engine", "symbols") if c in mapped.columns]
+    return mapped.select("path", F.to_json(F.struct(*cols)).alias("json"))
+
+
 def F_quote(s: str) -> str:  # noqa: N802
     """``s`` as a literal in a Java pattern."""
     return "\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E"

@@ -12,13 +12,15 @@ USAGE_CSV = (
 GOLDEN = "repo string, query string, type string, relevant array<struct<path: string, symbols: array<string>>>"
 
 
-def jsonl(spark: SparkSession, path: str) -> DataFrame:
+def jsonl(spark: SparkSession, path: str, having: str | None = None) -> DataFrame:
     """``file, at, mtime, value, v``: the non-blank lines of all ``*.jsonl`` below a folder that are valid JSON, with it as VARIANT.
 
+    ``having`` is a text that a line must hold: a cheap test before it is parsed.
     ``at`` orders a file's lines (start of the split, number within it) without reading a file as a whole.
     """
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
     rows = raw.select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("no")).alias("at"), F.col("_metadata.file_modification_time").alias("mtime"), F.trim("value").alias("value"))
+    rows = rows.filter(F.contains("value", F.lit(having))) if having else rows
     return rows.filter("value <> ''").withColumn("v", F.try_parse_json("value")).filter("v is not null")
 
 
@@ -85,6 +87,26 @@ def settings_model(spark: SparkSession, paths: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows, none).filter("model is not null")
 
 
+def environment_models(spark: SparkSession, environ: dict[str, str], names: tuple[str, ...], seq: int = 100) -> DataFrame:
+    """Explicit evidence ``model, strength, seq`` from named environment variables that are set, in the order of the names."""
+    rows = [(environ[n], "explicit", seq + i) for i, n in enumerate(names) if environ.get(n)]
+    return spark.createDataFrame(rows, "model string, strength string, seq int")
+
+
+def first_json(text: str) -> dict | None:
+    """The first JSON object within mixed output, whatever stands before and after it; None where there is none."""
+    import json
+    import re
+
+    read = json.JSONDecoder().raw_decode
+    for brace in re.finditer(r"\{", text):
+        try:
+            return read(text, brace.start())[0]
+        except ValueError:
+            continue
+    return None
+
+
 def instances(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of instances with their language (the first non-empty of three fields, or 'unknown')."""
     d = spark.read.schema("instance_id string, repo string, base_commit string, problem_statement string, repo_language string, language string, lang string").option("multiLine", True).json(path)
@@ -100,8 +122,8 @@ def usage_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def verdicts(spark: SparkSession, path: str) -> DataFrame:
-    """``instance_id, resolved`` from any of three shapes: {"resolved": [ids]}, {id: bool} or [{"instance_id", "resolved"}]."""
-    v = spark.read.option("wholetext", True).text(path).select(F.parse_json("value").alias("v"))
+    """``instance_id, resolved`` from any of three shapes: {"resolved": [ids]}, {id: bool} or [{"instance_id", "resolved"}]; a file that is no JSON gives none."""
+    v = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("v")).filter("v is not null")
     listed = F.transform(_get("$.resolved", "array<string>"), lambda s: F.struct(s.alias("instance_id"), F.lit(True).alias("resolved")))
     rows = F.transform(_get("$", "array<variant>"), lambda r: F.struct(F.try_variant_get(r, "$.instance_id", "string").alias("instance_id"), F.coalesce(F.try_variant_get(r, "$.resolved", "boolean"), F.lit(False)).alias("resolved")))
     pairs = F.transform(F.map_entries(_get("$", "map<string, boolean>")), lambda e: F.struct(e["key"].alias("instance_id"), F.coalesce(e["value"], F.lit(False)).alias("resolved")))

@@ -5,13 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessera.operators.limits import HITS, WINDOW_S
+from tessera.operators.limits import BLOCKS, HITS, RESTORE_DAYS, WINDOW_S
 from tessera.session import shared_dir
+from tessera.sources.versions import PartedTable, merge_latest
 
 
 def event_stream(spark: SparkSession, path: str, time: str = "ts", glob: str | None = None) -> DataFrame:
@@ -78,38 +80,65 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "3650 days", time
 def rate_limiter(events: DataFrame, key: str, event_id: str, most: int = HITS, seconds: int = WINDOW_S, time: str = "ts") -> DataFrame:
     """``event_id, n, rejected`` by keyed state: the times of the last ``seconds`` of each key, rejected hits included.
 
-    Rows of a batch are taken in time order; state holds at most a window's times and is dropped when the watermark has passed it.
+    A key is cut into spans of BLOCKS windows, each also given the hits of the window before it, so a hot key is many groups' work and a group holds no more than
+    a span's hits. State is dropped when the watermark has passed the span.
     """
+    window = seconds * 1_000_000
+    span = window * BLOCKS
+
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         times = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values(["us", "e"])
-        out = []
-        for us, group in rows.groupby("us", sort=True):
-            times = [t for t in times if us - t < seconds * 1_000_000] + [us] * len(group)
-            out += [(e, len(times), len(times) > most) for e in group["e"]]
-        state.update((times,))
-        state.setTimeoutTimestamp(max(int(times[-1] // 1000) + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["e", "n", "rejected"])
+        us, own = rows["us"].to_numpy(), rows["own"].to_numpy()
+        seen = np.sort(np.concatenate([np.array(times, np.int64), us]))
+        n = np.searchsorted(seen, us, "right") - np.searchsorted(seen, us - window, "right")
+        state.update((seen[seen > seen[-1] - window].tolist(),))
+        state.setTimeoutTimestamp(max(int((k[1] + 1) * span // 1000) + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"e": rows["e"][own], "n": n[own], "rejected": n[own] > most})
 
     s = events.withWatermark(time, "1 hour").select(F.col(key).alias("k"), F.col(event_id).cast("long").alias("e"), F.unix_micros(time).alias("us"), time)
-    out = s.groupBy("k").applyInPandasWithState(step, "e long, n long, rejected boolean", "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    block = F.floor(F.col("us") / span)
+    both = F.when(F.col("us") >= (block + 1) * span - window, F.array(block, block + 1)).otherwise(F.array(block))
+    s = s.withColumn("b", F.explode(both)).withColumn("own", F.col("b") == block)
+    out = s.groupBy("k", "b").applyInPandasWithState(step, "e long, n long, rejected boolean", "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
     return out.withColumnRenamed("e", event_id)
 
 
 def upsert_index(changes: DataFrame, target: str, key: str, version: str) -> DataFrame:
-    """A stream of changed records merged batch by batch into a published table, where the greatest ``version`` of a key counts."""
-    from tessera.sources import sinks
+    """A stream of changed records merged batch by batch into a table in parts, where the greatest ``version`` of a key counts.
+
+    A batch rewrites only the parts that its keys fall into (:func:`tessera.sources.versions.merge_latest`).
+    """
+    table = PartedTable(changes.sparkSession, target)
+    run_available(changes, "append", lambda df, batch: merge_latest(table, df, key, version))
+    return table.read().drop("_part")
+
+
+def hook_events(spark: SparkSession, folder: str, kinds: tuple[str, ...] = ("PreCompact", "SessionStart", "PreToolUse")) -> DataFrame:
+    """A stream of hook payloads (one JSON object a line, by files of a folder): ``event, session_id, cwd, trigger, source, transcript_path, payload``.
 
-    spark = changes.sparkSession
+    Lines that are no JSON objects and events of other kinds drop out; ``trigger`` is 'auto' and ``source`` 'startup' where missing, ``cwd`` '.'.
+    """
+    v = spark.readStream.option("pathGlobFilter", "*.jsonl").text(folder).withColumn("v", F.try_parse_json("value")).filter("v is not null")
+    get = lambda p: F.try_variant_get("v", p, "string")
+    or_ = lambda p, d: F.coalesce(F.nullif(get(p), F.lit("")), F.lit(d))
+    out = v.select(get("$.hook_event_name").alias("event"), get("$.session_id").alias("session_id"), or_("$.cwd", ".").alias("cwd"), or_("$.trigger", "auto").alias("trigger"), or_("$.source", "startup").alias("source"), get("$.transcript_path").alias("transcript_path"), F.col("value").alias("payload"))
+    return out.filter(F.col("event").isin(*kinds))
+
+
+def restorable_checkpoints(starts: DataFrame, written: DataFrame, key: str, days: int = RESTORE_DAYS, time: str = "ts") -> DataFrame:
+    """Starts of sessions with every checkpoint of their key that is at most ``days`` old then: an interval join of two streams, whose state the watermark bounds by that age.
+
+    ``starts``: start_id, key, time; ``written``: key, time. Output: ``start_id, checkpoint_at``; the latest of a start is the one to restore (:func:`latest_per_start`).
+    """
+    s = starts.withWatermark(time, "1 hour").select("start_id", F.col(key).alias("_k"), F.col(time).alias("_started"))
+    c = written.withWatermark(time, "1 hour").select(F.col(key).alias("_c"), F.col(time).alias("checkpoint_at"))
+    on = (F.col("_k") == F.col("_c")) & (F.col("checkpoint_at") <= F.col("_started")) & (F.col("checkpoint_at") >= F.col("_started") - F.expr(f"INTERVAL {days} DAYS"))
+    return s.join(c, on).select("start_id", "checkpoint_at")
 
-    def merge(df: DataFrame, batch: int) -> None:
-        old = sinks.current(spark, target)
-        both = df if old is None else old.unionByName(df)
-        cols = [c for c in both.columns if c not in (key, version)]
-        sinks.publish(both.groupBy(key).agg(F.max(F.struct(version, *cols)).alias("x")).select(key, *[f"x.{c}" for c in (version, *cols)]), target)
 
-    run_available(changes, "append", merge)
-    return sinks.current(spark, target)
+def latest_per_start(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("start_id").agg(F.max("checkpoint_at").alias("checkpoint_at"))

@@ -1,6 +1,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import changes as C
 
@@ -35,13 +36,18 @@ def test_descent_visits_only_changed_ranges(spark):
     assert root["n"] == 500
 
 
+KEYS = [("r", "p0"), ("r", "p1"), ("r", "p2"), ("r", "p30")]
+
+
 def test_store_survives_failures(spark, tmp_path):
     store = C.MerkleStore(spark, f"file://{tmp_path}/s", ["root", "path"])
-    v1 = frame(spark, [("r", f"p{i}", "a", "") for i in range(30)])
-    assert store.pending(v1).count() == 30
-    store.publish(v1, store.pending(v1).select("path"))
+    assert store.output() is None
+    run = store.start(frame(spark, [("r", f"p{i}", "a", "") for i in range(30)]))
+    assert run.pending.count() == 30
+    run.publish(run.pending.select("path"))
     v2 = frame(spark, [("r", f"p{i}", "a" if i > 2 else "b", "") for i in range(31)])
-    assert got(store.pending(v2)) == [("r", "p0"), ("r", "p1"), ("r", "p2"), ("r", "p30")]
+    run = store.start(v2)
+    assert got(run.pending) == KEYS
 
     class Broken:
         @property
@@ -49,11 +55,55 @@ def test_store_survives_failures(spark, tmp_path):
             raise RuntimeError("lost")
 
     with pytest.raises(RuntimeError):
-        store.publish(v2, Broken())
-    assert got(store.pending(v2)) == [("r", "p0"), ("r", "p1"), ("r", "p2"), ("r", "p30")]
-    out = store.pending(v2).select("path")
-    store.publish(v2, out)
-    assert store.pending(v2).count() == 0 and store.output().count() == 4
+        run.publish(Broken())
+    run = store.start(v2)
+    assert got(run.pending) == KEYS
+    run.publish(run.pending.select("path"))
+    assert store.start(v2).pending.count() == 0 and store.output().count() == 34
+    assert len(store.clean(older_s=0.0)) == 1 and store.output().count() == 34 and store.start(v2).pending.count() == 0  # the dead run's folder
+    few = v2.filter("path <> 'p5'")
+    run = store.start(few)
+    assert run.pending.count() == 0
+    run.publish(run.pending.select("path"))
+    assert got(store.start(v2).pending) == [("r", "p5")] and store.output().count() == 34
+
+
+def test_store_racing_publishers_and_late_rows(spark, tmp_path):
+    from tessera.sources.versions import CommitConflict
+
+    store = C.MerkleStore(spark, f"file://{tmp_path}/s", ["root", "path"])
+    frame(spark, [("r", f"p{i}", "a", "") for i in range(5)]).write.parquet(f"{tmp_path}/in")
+    now = spark.read.parquet(f"{tmp_path}/in")
+    one, two = store.start(now), store.start(now)
+    frame(spark, [("r", "late", "a", "")]).write.mode("append").parquet(f"{tmp_path}/in")  # arrives between pending and publish
+    one.publish(one.pending.select("path"))
+    with pytest.raises(CommitConflict):
+        two.publish(two.pending.select("path"))
+    assert store.output().count() == 5
+    assert got(store.start(spark.read.parquet(f"{tmp_path}/in")).pending) == [("r", "late")]
+
+
+def test_levels_grow_with_rows(spark, tmp_path, monkeypatch):
+    assert [C.levels_for(n) for n in (0, 10**6, 10**8, 10**10)] == [4, 4, 5, 7]
+    v1 = frame(spark, [("r", f"p{i}", "a", "") for i in range(40)])
+    store = C.MerkleStore(spark, f"file://{tmp_path}/s", ["root", "path"])
+    run = store.start(v1)
+    run.publish(run.pending.select("path"))
+    monkeypatch.setattr(C, "LEVELS", 5)
+    run = store.start(v1.withColumn("token", F.when(F.col("path") == "p7", "b").otherwise(F.col("token"))))
+    assert run.levels == 5 and got(run.pending) == [("r", "p7")]
+
+
+def test_merge_latest_rewrites_touched_parts(spark, tmp_path):
+    from tessera.sources.versions import PartedTable, merge_latest
+
+    t = PartedTable(spark, f"file://{tmp_path}/t")
+    df = lambda rows: spark.createDataFrame(rows, "k long, at long, v string")
+    first = merge_latest(t, df([(i, 1, "x") for i in range(200)]), "k", "at", 16)
+    second = merge_latest(t, df([(3, 2, "y"), (3, 1, "z"), (900, 1, "n")]), "k", "at")
+    assert t.read().count() == 201 and t.read().filter("k = 3").select("at", "v").collect() == [(2, "y")]
+    assert sum(first["parts"].get(p) != f for p, f in second["parts"].items()) <= 2
+    assert merge_latest(t, df([]), "k", "at") == second
 
 
 def test_files_to_index(spark):

@@ -3,6 +3,7 @@ import textwrap
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import abtest, accounting, chunking, distill, evaluation, indexing, limits, retrieval, routing
@@ -36,7 +37,13 @@ def test_priors_and_search(spark):
     q = spark.createDataFrame([(1, "retry_handler"), (2, ""), (3, None)], "query_id long, query string")
     out = retrieval.search(docs, q, mode="hybrid").collect()
     assert [(r["id"], r["degraded"]) for r in sorted(out, key=lambda r: r["rank"])] == [("c", True), ("t", True)]
-    assert retrieval.search(docs.limit(0), q).count() == 0 and retrieval.search(docs, q.limit(0)).count() == 0 and retrieval.search(docs, q, mode="vector").count() == 0
+    assert retrieval.search(docs.limit(0), q).count() == 0 and retrieval.search(docs, q.limit(0)).count() == 0
+    assert [(r["id"], r["degraded"], r["reason"]) for r in retrieval.search(docs, q, mode="vector").orderBy("rank").collect()] == [("c", True, "no vectors"), ("t", True, "no vectors")]
+    assert retrieval.search(docs, q, mode="vector", vector=spark.createDataFrame([], "query_id long, id string, score double")).count() == 0
+    plain = docs.filter("lang = 'python'").select("path", "lang", F.lit("def retry():\n    return handler\n").alias("text"))
+    assert [r["degraded"] for r in retrieval.ephemeral_search(plain, q, 1).collect()] == [True]
+    with pytest.raises(ValueError):
+        retrieval.ephemeral_search(plain, q, 1, most_files=1)
 
 
 def test_cosine_blocks(spark, monkeypatch):
@@ -197,9 +204,6 @@ def test_abtest(spark):
     assert {r["item"] for r in p.filter("not complete").collect()} == {7, 8}
     s = abtest.summary(p).first()
     assert (s["n"], s["tokens_a"], s["tokens_b"], s["resolved_a"]) == (4, 600, 200, 3) and abs(s["reduction"] - 2 / 3) < 1e-9
-    assert abtest.bootstrap_ci([]) == (0.0, 0.0)
-    lo, hi = abtest.bootstrap_ci([1, 2, 3, 4, 5] * 8)
-    assert 2.4 < lo < 3 < hi < 3.6
     v = spark.createDataFrame([(i, float(i % 5 + 1)) for i in range(400)], "k long, v double")
     b = abtest.bootstrap_distributed(v, "v", "k").first()
     assert 2.75 < b["low"] < 3 < b["high"] < 3.25
@@ -283,8 +287,12 @@ def test_index_store(spark, tmp_path):
     assert made[1] == ["a"] and meta["reused"] == 1 and st_.problems() == []
     with S.writer_lock(spark, f"file://{tmp_path}/ix"), pytest.raises(S.LockHeld):
         st_.build(c2, f(c2))
-    with S.writer_lock(spark, f"file://{tmp_path}/ix", -1):
-        pass
+    with S.writer_lock(spark, f"file://{tmp_path}/ix") as first:
+        with S.writer_lock(spark, f"file://{tmp_path}/ix", -1) as second:  # takes over what it holds to be stale
+            assert second.held() and not first.held()
+            with pytest.raises(S.LockHeld):
+                first.check()
+        assert not first.held()
 
 
 def test_small_helpers(spark):
@@ -300,3 +308,34 @@ def test_small_helpers(spark):
     own = spark.createDataFrame([(1, 5, None, 0, 0), (2, 0, 0, 0, None), (3, None, None, None, None)], "k long, input long, output long, cache_read long, cache_write long")
     logs = spark.createDataFrame([(2, 1, 2, 3, 4), (2, 1, 1, 1, 1), (1, 9, 9, 9, 9)], "k long, input long, output long, cache_read long, cache_write long")
     assert sorted(tuple(r) for r in abtest.with_fallback(own, logs, "k").collect()) == [(1, 5, 0, 0, 0), (2, 2, 3, 4, 5), (3, 0, 0, 0, 0)]
+
+
+def test_new_operators(spark):
+    from tessera.functions import vectors as V
+    from tessera.operators import accounting, chunking
+    from tessera.sources import logs
+
+    with pytest.raises(V.BackendUnavailable):
+        V.get_backend("none")
+    d = spark.createDataFrame([(1, "alpha beta"), (2, None), (3, "alpha beta alpha")], "id long, text string")
+    vecs = {r["id"]: r["vec"] for r in V.get_backend("hash")[1](d, "id", F.col("text")).collect()}
+    assert abs(sum(x * x for x in vecs[1]) - 1) < 1e-9 and not any(vecs[2]) and len(vecs[3]) == 256
+    code = "\"\"\"Limits of things.\nmore\"\"\"\nLIMIT: int = 5\nMOST = 3\nlow: int = 1\nclass A:\n    B: int = 1\n    def f(self):\n        pass\n"
+    files = spark.createDataFrame([("a.py", "python", code), ("b.md", "markdown", "# Title\n## Sub"), ("c.go", "go", "func Run(x int) {"), ("d.py", "python", "def f(:\ndef g():"), ("e", None, None)], "path string, lang string, text string")
+    symbols, purposes = chunking.extract_symbols(files)
+    assert {(r["path"], r["name"], r["kind"], r["engine"]) for r in symbols.collect()} == {
+        ("a.py", "LIMIT", "constant", "ast"), ("a.py", "MOST", "constant", "ast"), ("a.py", "A", "class", "ast"), ("a.py", "A.f", "method", "ast"), ("b.md", "Title", "h1", "markdown"), ("b.md", "Sub", "h2", "markdown"),
+        ("c.go", "Run", "function", "regex"), ("d.py", "f", "function", "regex"), ("d.py", "g", "function", "regex"),
+    }
+    assert {tuple(r) for r in purposes.collect()} == {("a.py", "Limits of things."), ("b.md", "Title")}
+    assert accounting.milestone_reached(12.5, 5.0, 5.0) == 10.0 and accounting.milestone_reached(12.5, 10.0, 5.0) is None and accounting.milestone_reached(0.0, 0.0, 5.0) is None
+    assert logs.first_json('progress {x\n{"a": {"b": 1}}\nWrote out') == {"a": {"b": 1}} and logs.first_json("none {") is None
+    assert [tuple(r) for r in logs.environment_models(spark, {"A": "m1", "B": ""}, ("B", "A", "C"), 7).collect()] == [("m1", "explicit", 8)]
+
+
+def test_grep_summary_counts_the_cut(spark):
+    from tessera.operators import distill as D
+
+    rows = [("Grep", '{"pattern": "x"}', ("a" * 119 + "\n") * 3), ("Grep", '{"pattern": "x"}', "a\n\nb")]
+    out = [r[0] for r in spark.createDataFrame(rows, "name string, input string, output string").select(D.summary()).collect()]
+    assert [s.split("→ ~")[1] for s in out] == ["3 match line(s)", "2 match line(s)"]  # at the cut the ellipsis stands on a line of its own
