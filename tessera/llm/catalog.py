@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import bpe, codefiles, conversations, distinctive, leakage, neardup, neighbours, reading, splitting
-from tessera.session import read_table
+from tessera.session import read_spread, read_table
 
 
 def p1_labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -26,11 +26,11 @@ def p2_conversations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return neardup.found_pairs(read_table(spark, sf, "chunks"))
+    return neardup.found_pairs(read_spread(spark, sf, "chunks"))
 
 
 def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return neardup.groups(read_table(spark, sf, "chunks"))
+    return neardup.groups(read_spread(spark, sf, "chunks"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,20 +58,20 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return bpe.encode(read_table(spark, sf, "documents"))
+    return bpe.encode(read_spread(spark, sf, "documents"))
 
 
 def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:
-    return leakage.leaks(read_table(spark, sf, "documents"), read_table(spark, sf, "golden_items"))
+    return leakage.leaks(read_spread(spark, sf, "documents"), read_table(spark, sf, "golden_items"))
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    found = leakage.leaks(read_table(spark, sf, "documents"), read_table(spark, sf, "golden_items"), passages=False)
+    found = leakage.leaks(read_spread(spark, sf, "documents"), read_table(spark, sf, "golden_items"), passages=False)
     return found.filter("distance = 0").select("doc_id", "item_id")
 
 
 def p10_levels(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read_table(spark, sf, "documents")
+    docs = read_spread(spark, sf, "documents")
     return reading.levels(docs, reading.fit(docs, read_table(spark, sf, "reading_labels")))
 
 

@@ -17,8 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import spread
-
 WINDOW = 10
 #: Repetitions and sampled positions; measured recall at one edit is in the README.
 REPETITIONS, SAMPLES, SEED = 8, 6, 20_260
@@ -212,7 +210,7 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_edits: in
     broadcast (its size is bounded by ``BLOCK_WINDOWS``) and only hits are aggregated.
     """
     spark = docs.sparkSession
-    hits, texts = None, spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null"))
+    hits, texts = None, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     for block in _blocks(items, window):
         shared = spark.sparkContext.broadcast(Items(block, window, repetitions, samples))
 

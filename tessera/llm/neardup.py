@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import BROADCAST_ROWS, materialise, small, spread
+from tessera.session import BROADCAST_ROWS, checked_join, materialise, small
 
 SHINGLE, THRESHOLD = 3, 0.7
 SYMBOLS, CHUNKS, ERRORS, SYMBOL_BITS, SEED = 40, 8, 1, 16, 4321
@@ -112,7 +112,7 @@ def _keys(texts: DataFrame, width: int) -> DataFrame:
             own = cls[new][runs > 0]
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(own, keys.shape[1]))], names=["key", "cls"])
 
-    return spread(texts.select("cls", "text")).mapInArrow(run, "key long, cls long")
+    return texts.select("cls", "text").mapInArrow(run, "key long, cls long")
 
 
 def _pair_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
