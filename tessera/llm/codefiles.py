@@ -4,6 +4,10 @@ Belief propagation over the directory trees. Every file has a label, every direc
 so siblings speak to each other through their directory. Evidence of a file comes from its name, size, symbols, purpose and the text
 of its chunks, evidence of a directory from its name. On a tree one pass up and one down give exact marginals. Messages into a directory
 are sums of log-likelihoods, so hot directories and repositories are pre-aggregated on the map side; passes go level by level.
+
+What is stated below are starting values. A first run over all files gives marginals, from which the words of head comments are learned (how much
+likelier a word is under each label than in hand-written files), and a second run uses them: wording that nobody listed counts once files known
+otherwise carry it.
 """
 
 from __future__ import annotations
@@ -32,8 +36,10 @@ DIR_GIVEN_PARENT = (
     (0.20, 0.02, 0.03, 0.03, 0.72),
 )
 ROOT_PRIOR = (0.96, 0.01, 0.01, 0.01, 0.01)
-#: A directory whose name alone gives a label at least this log-odds says nothing about its parent, nor the parent about it: their compatibility is flat.
-NAMED = 5.0
+#: A directory whose name alone gives a label at least this log-odds is mostly a world of its own: messages between it and its parent count for the share LOOSE.
+NAMED, LOOSE = 5.0, 0.05
+#: Learned words of head comments: files that must have one, log-odds that one gives at most, weight of a file's words, log-odds that they give at most together.
+WORD_FILES, WORD_MOST, WORD_WEIGHT, WORDS_MOST = 5, 2.0, 0.4, 5.0
 
 #: Directory names and the log-odds they give to a label (fixed values).
 DIR_NAMES = (
@@ -53,7 +59,11 @@ FILE_NAMES = (
     ("minified", 6.0, r"([.-]min\.(js|mjs|cjs|css)|\.bundle\.(js|mjs)|\.[0-9a-f]{8,}\.(chunk\.)?(js|mjs|css)|\.chunk\.(js|mjs)|\.prod\.js)$"),
     ("blob", 2.0, r"([_-](lut|font|icon|fixtures?|blob|data|table|weights|sprite)\.\w+|^(seed|fixtures?)[_-].+\.sql)$"),
 )
-_HEAD = r"\A\s*((?:(?://|#|--|/\*|<!--|\*|;|%)[^\r\n]*+(?:\r\n|\r|\n|\z)[ \t]*+){1,6}+)"
+#: The leading comments of a file, with blank lines, block comments and docstrings; at most 60 of them.
+_HEAD = (
+    r"\A((?:[ \t]*(?:\r\n|\r|\n)|[ \t]*(?://|#|--|;|%)[^\r\n]*+(?:\r\n|\r|\n|\z)|[ \t]*/\*(?:[^*]|\*(?!/)){0,4000}+\*/[ \t]*(?:\r\n|\r|\n|\z)"
+    r"|[ \t]*<!--(?:[^-]|-(?!->)){0,4000}+-->[ \t]*(?:\r\n|\r|\n|\z)|[ \t]*\"\"\"(?:[^\"]|\"(?!\"\")){0,4000}+\"\"\"[ \t]*(?:\r\n|\r|\n|\z)){1,60}+)"
+)
 _ACTS = r"(?i)\b(writes?|skips?|strips?|detects?|removes?|checks?|emits?|adds?|finds?|parses?|ignores?|looks?|handles?|inserts?)\b"
 _MADE = (
     r"(?i)(@generated\b|auto-?generated[\s>]|\bgenerated by\b|code generated\b|machine[- ](written|generated|made)\b|produced automatically|automatically (produced|generated|created|written)"
@@ -67,17 +77,29 @@ _N = len(LABELS)
 _I = {name: i for i, name in enumerate(LABELS)}
 
 
-def _log_sum(terms: list[Column]) -> Column:
-    top = F.greatest(*terms)
-    total = F.exp(terms[0] - top)
-    for t in terms[1:]:
-        total = total + F.exp(t - top)
-    return top + F.log(total)
+def _through(df: DataFrame, source: Column, table: tuple[tuple[float, ...], ...], up: bool, name: str) -> DataFrame:
+    """Adds a message over an edge: for each of the receiver's labels the log of the sum over the sender's labels of compatibility times exp(belief).
+
+    Beliefs and messages are arrays; each step is a projection of its own, so generated code stays small.
+    """
+    df = df.withColumn("_x", source).withColumn("_top", F.array_max("_x")).withColumn("_w", F.transform("_x", lambda v: F.exp(v - F.col("_top"))))
+    rows = [[table[i][j] if up else table[j][i] for j in range(_N)] for i in range(_N)]
+    tables = F.array(*[F.array(*[F.lit(v) for v in r]) for r in rows])
+    weighed = F.transform(tables, lambda r: F.log(F.aggregate(F.zip_with(r, "_w", lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)))
+    return df.withColumn(name, F.transform(weighed, lambda v: v + F.col("_top"))).drop("_x", "_top", "_w")
+
+
+def _plus(a: str | Column, b: str | Column, sign: float = 1.0) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + sign * y)
+
+
+def _summed(name: str) -> Column:
+    """Element-wise sum of arrays over a group."""
+    return F.array(*[F.sum(F.element_at(name, i + 1)) for i in range(_N)])
 
 
-def _through(cols: list[Column], table: tuple[tuple[float, ...], ...], up: bool) -> list[Column]:
-    """A message over an edge: log of the sum over the sender's labels of compatibility times exp(belief)."""
-    return [_log_sum([cols[j] + F.lit(math.log(table[i][j] if up else table[j][i])) for j in range(_N)]) for i in range(_N)]
+def _flat() -> Column:
+    return F.array(*[F.lit(0.0)] * _N)
 
 
 def _scores(pairs: list[tuple[str, Column]]) -> list[Column]:
@@ -105,22 +127,23 @@ def text_evidence(chunks: DataFrame) -> DataFrame:
     plain = F.regexp_replace("bare", "[0-9]+", "")
     head = F.when(F.coalesce(F.col("line_start"), F.lit(1)) <= 3, F.regexp_extract(t, _HEAD, 1)).otherwise(F.lit(""))
     per = chunks.filter("root is not null and path is not null and text is not null").select("root", "path", t.alias("text"), "line_start", "line_end", bare.alias("bare"), head.alias("head"))
-    claims = ~F.col("head").rlike(_ACTS)
+    # a banner's sentence says what the file is; one with another verb speaks about something else
+    says = lambda rule: F.exists(F.split("head", r"[.!?](?=\s)|[\r\n]+"), lambda x: x.rlike(rule) & ~x.rlike(_ACTS))
     per = per.select(
         "root", "path", "line_end", F.length("text").alias("chars"), F.length("bare").alias("n_bare"), F.length(plain).alias("n_plain"), F.length(F.regexp_replace(plain, r"\s+", "")).alias("n_dense"),
         (F.length("bare") - F.length(F.replace(F.replace("bare", F.lit("\n"), F.lit("")), F.lit("\r"), F.lit(""))) + 1).alias("lines"),
-        (F.coalesce(F.col("line_start"), F.lit(1)) <= 3).alias("top"), (claims & F.col("head").rlike(_MADE)).alias("made"), (claims & F.col("head").rlike(_TAKEN)).alias("taken"),
+        (F.coalesce(F.col("line_start"), F.lit(1)) <= 3).alias("top"), says(_MADE).alias("made"), says(_TAKEN).alias("taken"), F.array_distinct(F.regexp_extract_all(F.lower("head"), F.lit("[a-z]{3,}"), F.lit(0))).alias("words"),
     )
-    agg = per.groupBy("root", "path").agg(*[F.sum(c).alias(c) for c in ("chars", "n_bare", "n_plain", "n_dense", "lines")], F.max("line_end").alias("end"), F.max("top").alias("top"), F.max("made").alias("made"), F.max("taken").alias("taken"))
+    agg = per.groupBy("root", "path").agg(*[F.sum(c).alias(c) for c in ("chars", "n_bare", "n_plain", "n_dense", "lines")], F.max("line_end").alias("end"), F.max("top").alias("top"), F.max("made").alias("made"), F.max("taken").alias("taken"), F.max_by("words", F.size("words")).alias("words"))
     n = F.greatest(F.col("chars"), F.lit(1))
     return agg.select(
-        "root", "path", "chars", "end", "top", "made", "taken", ((F.col("chars") - F.col("n_bare")) / n).alias("letters"), ((F.col("n_bare") - F.col("n_plain")) / n).alias("digits"),
+        "root", "path", "chars", "end", "top", "made", "taken", "words", ((F.col("chars") - F.col("n_bare")) / n).alias("letters"), ((F.col("n_bare") - F.col("n_plain")) / n).alias("digits"),
         ((F.col("n_plain") - F.col("n_dense")) / n).alias("blanks"), (F.col("chars") / F.col("lines")).alias("line_length"),
     )
 
 
 def file_evidence(files: DataFrame, texts: DataFrame) -> DataFrame:
-    """``root, path, dir, e0..e4``: log-likelihoods of the labels from everything but the tree."""
+    """``root, path, dir, words, e``: log-likelihoods of the labels from everything but the tree, and the distinct words of the head comment."""
     f = files.join(texts, ["root", "path"], "left")
     name = F.lower(F.regexp_extract("path", r"([^/]*)$", 1))
     size, ns = F.col("size").cast("double"), F.coalesce(F.col("n_symbols"), F.lit(0))
@@ -146,12 +169,11 @@ def file_evidence(files: DataFrame, texts: DataFrame) -> DataFrame:
         ("minified", _when(~F.coalesce(F.col("lang").isin("javascript", "typescript"), F.lit(True)), -3.0)),
         ("blob", _when(~swollen & (size < 8000), -3.0)), ("minified", _when(~seen & ~swollen, -1.5)),
     ]
-    cols = [c.alias(f"e{i}") for i, c in enumerate(_scores(pairs))]
-    return f.select("root", "path", F.regexp_extract("path", r"^(.*?)/?[^/]*$", 1).alias("dir"), *cols)
+    return f.select("root", "path", F.regexp_extract("path", r"^(.*?)/?[^/]*$", 1).alias("dir"), "words", F.array(*_scores(pairs)).alias("e"))
 
 
 def _dirs(files: DataFrame) -> DataFrame:
-    """Every directory above a file: ``root, dir, up, depth, p0..p4`` with evidence from its name (``''`` is the top)."""
+    """Every directory above a file: ``root, dir, up, depth, named, p`` with evidence from its name (``''`` is the top)."""
     parts = F.filter(F.split("dir", "/"), lambda s: s != "")
     above = F.transform(F.sequence(F.lit(0), F.size("parts")), lambda n: F.array_join(F.slice("parts", 1, n), "/"))
     per_dir = files.select("root", "dir").distinct().select("root", parts.alias("parts"))
@@ -159,13 +181,63 @@ def _dirs(files: DataFrame) -> DataFrame:
     name = F.lower(F.regexp_extract("dir", r"([^/]*)$", 1))
     depth = F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))
     up = F.when(F.col("dir") == "", F.lit(None)).otherwise(F.regexp_extract("dir", r"^(.*?)/?[^/]*$", 1))
-    cols = [c.alias(f"p{i}") for i, c in enumerate(_scores([(label, _when(name.rlike(rule), value)) for label, value, rule in DIR_NAMES]))]
+    own = F.array(*_scores([(label, _when(name.rlike(rule), value)) for label, value, rule in DIR_NAMES]))
     named = name.rlike("|".join(rule for _, value, rule in DIR_NAMES if value >= NAMED))
-    return d.select("root", "dir", up.alias("up"), depth.alias("depth"), named.alias("named"), *cols)
+    return d.select("root", "dir", up.alias("up"), depth.alias("depth"), named.alias("named"), own.alias("p"))
+
+
+def _loose(name: str) -> Column:
+    """The message as it is, or a small share of it over the edge of a directory named for a label."""
+    return F.when(F.col("named"), F.transform(name, lambda v: v * LOOSE)).otherwise(F.col(name))
+
+
+def _marginals(files: DataFrame, dirs: DataFrame, deepest: int) -> DataFrame:
+    """``root, path, logs``: log-probabilities of every file's labels. ``files``: root, path, dir, e; ``dirs``: root, dir, up, depth, named, p."""
+    files = materialise(_through(files, F.col("e"), FILE_GIVEN_DIR, True, "m"), "files")
+    said = materialise(files.groupBy("root", "dir").agg(_summed("m").alias("s")), "said")
+    levels: list[DataFrame] = []
+    heard = None
+    for depth in range(deepest, -1, -1):
+        own = dirs.filter(F.col("depth") == depth)
+        into = said.join(own.select("root", "dir"), ["root", "dir"], "left_semi")
+        into = into if heard is None else into.unionByName(heard)
+        into = into.groupBy("root", "dir").agg(_summed("s").alias("s"))
+        node = own.join(into, ["root", "dir"], "left").select("root", "dir", "up", "named", _plus("p", F.coalesce("s", _flat())).alias("b"))
+        node = _through(node, F.col("b"), DIR_GIVEN_PARENT, True, "u")
+        node = materialise(node.withColumn("u", _loose("u")), "up")
+        levels.append(node)
+        heard = node.select("root", F.col("up").alias("dir"), F.col("u").alias("s"))
+    full = levels[-1].select("root", "dir", _plus("b", F.array(*[F.lit(math.log(q)) for q in ROOT_PRIOR])).alias("b"))
+    beliefs = full
+    for node in reversed(levels[:-1]):
+        above = full.select("root", F.col("dir").alias("up"), F.col("b").alias("r"))
+        down = _through(node.join(above, ["root", "up"]), _plus("r", "u", -1.0), DIR_GIVEN_PARENT, False, "d")
+        full = materialise(down.select("root", "dir", _plus("b", _loose("d")).alias("b")), "down")
+        beliefs = beliefs.unionByName(full)
+    joined = _through(files.join(beliefs, ["root", "dir"]), _plus("b", "m", -1.0), FILE_GIVEN_DIR, False, "d")
+    return joined.select("root", "path", _plus("e", "d").alias("logs"))
 
 
-def _flat(messages: list[Column]) -> list[Column]:
-    return [F.when(F.col("named"), F.lit(0.0)).otherwise(m) for m in messages]
+def _probabilities(logs: DataFrame) -> DataFrame:
+    """``root, path, p`` with the labels' probabilities as an array."""
+    top = logs.withColumn("_top", F.array_max("logs")).withColumn("_w", F.transform("logs", lambda v: F.exp(v - F.col("_top"))))
+    top = top.withColumn("_z", F.aggregate("_w", F.lit(0.0), lambda acc, v: acc + v))
+    return top.select("root", "path", F.transform("_w", lambda v: v / F.col("_z")).alias("p"))
+
+
+def learned_words(worded: DataFrame) -> DataFrame:
+    """``word, odds``: how much likelier a head comment's word is under each label than in a hand-written file, as log-odds, from expected counts.
+
+    ``worded``: root, path, words, p. Counts cover all files; a word needs WORD_FILES files. Each label's counts are smoothed towards the word's
+    overall share, so that a label with few files says little.
+    """
+    per = worded.select(F.explode("words").alias("word"), "p").groupBy("word").agg(F.count(F.lit(1)).alias("n"), _summed("p").alias("c")).filter(F.col("n") >= WORD_FILES)
+    total = worded.agg(F.count(F.lit(1)).alias("files"), _summed("p").alias("t"))
+    j = per.crossJoin(F.broadcast(total))  # one row
+    share = (F.col("n") + 1.0) / (F.col("files") + 2.0)
+    rate = F.zip_with("c", "t", lambda c, t: F.log((c + 4.0 * share) / (t + 4.0)))
+    j = j.select("word", rate.alias("rate"))
+    return j.select("word", F.transform("rate", lambda v: F.greatest(F.lit(-WORD_MOST), F.least(F.lit(WORD_MOST), v - F.element_at("rate", 1)))).alias("odds"))
 
 
 def label_files(code_map: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -174,47 +246,20 @@ def label_files(code_map: DataFrame, chunks: DataFrame) -> DataFrame:
     Files without chunks, language, symbols or purpose are judged by what is left, in the end by their directory. Files known only from
     chunks don't come out; a file scanned or delivered several times comes out once; an empty map gives no rows; rows with a null root or path are no files.
     """
-    e, m, s, p, b, u, r = ([f"{k}{i}" for i in range(_N)] for k in "emspbur")
-    cols = lambda names: [F.col(x) for x in names]
     tidy = F.regexp_replace(F.regexp_replace("dir", "/+", "/"), "^/", "")
-    files = file_evidence(current_map(code_map), text_evidence(chunks)).withColumn("dir", tidy)
-    files = materialise(files.select("root", "path", "dir", *e, *[c.alias(n) for c, n in zip(_through(cols(e), FILE_GIVEN_DIR, True), m, strict=True)]), "files")
+    files = materialise(file_evidence(current_map(code_map), text_evidence(chunks)).withColumn("dir", tidy), "evidence")
     dirs = materialise(_dirs(files), "dirs")
     deepest = dirs.agg(F.max("depth")).first()[0]
     if deepest is None:
         return files.select("root", "path", F.lit(None).cast("string").alias("label"), *[F.lit(0.0).alias(f"p_{x}") for x in LABELS])
-    said = materialise(files.groupBy("root", "dir").agg(*[F.sum(x).alias(y) for x, y in zip(m, s, strict=True)]), "said")
-    levels: list[DataFrame] = []
-    heard = None
-    for depth in range(deepest, -1, -1):
-        own = dirs.filter(F.col("depth") == depth)
-        into = said.join(own.select("root", "dir"), ["root", "dir"], "left_semi")
-        into = into if heard is None else into.unionByName(heard)
-        into = into.groupBy("root", "dir").agg(*[F.sum(x).alias(x) for x in s])
-        belief = [(F.col(x) + F.coalesce(F.col(y), F.lit(0.0))).alias(z) for x, y, z in zip(p, s, b, strict=True)]
-        node = own.join(into, ["root", "dir"], "left").select("root", "dir", "up", "named", *belief)
-        node = materialise(node.select("*", *[c.alias(n) for c, n in zip(_flat(_through(cols(b), DIR_GIVEN_PARENT, True)), u, strict=True)]), "up")
-        levels.append(node)
-        heard = node.select("root", F.col("up").alias("dir"), *[F.col(x).alias(y) for x, y in zip(u, s, strict=True)])
-    full = levels[-1].select("root", "dir", *[(F.col(x) + F.lit(math.log(q))).alias(x) for x, q in zip(b, ROOT_PRIOR, strict=True)])
-    done = [full]
-    for node in reversed(levels[:-1]):
-        above = full.select("root", F.col("dir").alias("up"), *[F.col(x).alias(y) for x, y in zip(b, r, strict=True)])
-        rest = [F.col(y) - F.col(x) for x, y in zip(u, r, strict=True)]
-        down = _flat(_through(rest, DIR_GIVEN_PARENT, False))
-        full = materialise(node.join(above, ["root", "up"]).select("root", "dir", *[(F.col(x) + c).alias(x) for x, c in zip(b, down, strict=True)]), "down")
-        done.append(full)
-    beliefs = done[0]
-    for d in done[1:]:
-        beliefs = beliefs.unionByName(d)
-    joined = files.join(beliefs, ["root", "dir"])
-    rest = [F.col(x) - F.col(y) for x, y in zip(b, m, strict=True)]
-    logs = [F.col(x) + c for x, c in zip(e, _through(rest, FILE_GIVEN_DIR, False), strict=True)]
-    raw = joined.select("root", "path", *[c.alias(f"x{i}") for i, c in enumerate(logs)]).withColumn("z", _log_sum([F.col(f"x{i}") for i in range(_N)]))
-    probs = raw.select("root", "path", *[F.exp(F.col(f"x{i}") - F.col("z")).alias(f"p_{x}") for i, x in enumerate(LABELS)])
-    best = F.greatest(*[F.col(f"p_{x}") for x in LABELS])
-    label = F.coalesce(*[F.when(F.col(f"p_{x}") == best, F.lit(x)) for x in LABELS])
-    return probs.select("root", "path", label.alias("label"), *[f"p_{x}" for x in LABELS])
+    first = _probabilities(_marginals(files.drop("words"), dirs, deepest))
+    worded = materialise(files.filter(F.size("words") > 0).select("root", "path", "words").join(first, ["root", "path"]), "worded")
+    odds = worded.select("root", "path", F.explode("words").alias("word")).join(learned_words(worded), "word").groupBy("root", "path").agg(_summed("odds").alias("o"))
+    bound = F.transform("o", lambda v: F.greatest(F.lit(-WORDS_MOST), F.least(F.lit(WORDS_MOST), v * WORD_WEIGHT)))
+    again = files.drop("words").join(odds, ["root", "path"], "left").select("root", "path", "dir", _plus("e", F.coalesce(bound, _flat())).alias("e"))
+    p = _probabilities(_marginals(again, dirs, deepest))
+    label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), F.array_position("p", F.array_max("p")).cast("int"))
+    return p.select("root", "path", label.alias("label"), *[F.element_at("p", i + 1).alias(f"p_{x}") for i, x in enumerate(LABELS)])
 
 
 def not_handwritten(labelled: DataFrame) -> DataFrame:
