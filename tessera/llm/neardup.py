@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import BROADCAST_ROWS, checked_join, materialise, small
+from tessera.session import BROADCAST_ROWS, materialise, small
 
 SHINGLE, THRESHOLD = 3, 0.7
 SYMBOLS, CHUNKS, ERRORS, SYMBOL_BITS, SEED = 40, 8, 1, 16, 4321
 MAX_RUN = 64
+#: Stands before the classes of a key that is known to be shared by too many.
+_MARK = -(1 << 63)
 _WORD = re.compile(r"[a-z0-9_]+")
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -88,13 +90,24 @@ def index_keys(sig: np.ndarray, chunks: int = CHUNKS, errors: int = ERRORS) -> n
     return np.stack(out, 1).view(np.int64)
 
 
-def text_class(text: Column) -> Column:
-    """The class of equal texts: a 64-bit hash of text and length."""
-    return F.xxhash64(text, F.length(text))
+def text_class(text: Column, clashes: tuple[int, ...] = ()) -> Column:
+    """The class of equal texts: a 64-bit hash of text and length; texts whose hash is among ``clashes`` take another one."""
+    cls = F.xxhash64(text, F.length(text))
+    return F.when(cls.isin(*clashes), F.xxhash64(F.md5(text), F.lit("again"))).otherwise(cls) if clashes else cls
+
+
+def clashes(chunks: DataFrame) -> tuple[int, ...]:
+    """Class hashes that different texts share, found by their MD5: none are expected below a billion texts, some hundred at a hundred billion."""
+    t = chunks.filter("text is not null").select(text_class(F.col("text")).alias("cls"), F.md5("text").alias("h"))
+    return tuple(r[0] for r in t.groupBy("cls").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("cls").collect())
 
 
 def _keys(texts: DataFrame, width: int) -> DataFrame:
-    """``key, cls`` of every class with a shingle; a task emits a class once, so copies collapse before the shuffle."""
+    """``key, cls`` of every class with a shingle; a task emits a class once, so copies collapse before the shuffle.
+
+    A key that more than MAX_RUN classes of one batch share is emitted once, as a mark, and each of its classes once with a marked key of its own: a key
+    that a third of all texts share is a row a batch, not a row a text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, seen = _Ids(), set()
@@ -109,14 +122,21 @@ def _keys(texts: DataFrame, width: int) -> DataFrame:
                 continue
             hashes, runs = shingles(b.column(1).take(pa.array(new)).to_pylist(), ids, width)
             keys = index_keys(signatures(hashes, runs))
-            own = cls[new][runs > 0]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(own, keys.shape[1]))], names=["key", "cls"])
+            own = np.repeat(cls[new][runs > 0], keys.shape[1])
+            flat = keys.ravel()
+            each, back, count = np.unique(flat, return_inverse=True, return_counts=True)
+            hot = count[back] > MAX_RUN
+            crowd = np.unique(own[hot])
+            alone = (crowd.view(np.uint64) * _P2 ^ _P3).view(np.int64)
+            out_key = [flat[~hot], each[count > MAX_RUN], alone, alone]
+            out_cls = [own[~hot], np.full(int((count > MAX_RUN).sum()), _MARK), np.full(len(crowd), _MARK), crowd]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_key)), pa.array(np.concatenate(out_cls))], names=["key", "cls"])
 
     return texts.select("cls", "text").mapInArrow(run, "key long, cls long")
 
 
 def _pair_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key and class: pairs of classes that share a key; of a key with over MAX_RUN classes each class with a null partner."""
+    """From rows sorted by key and class: pairs of classes that share a key; of a key with over MAX_RUN classes or a mark each class with a null partner."""
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def emit(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
@@ -125,10 +145,11 @@ def _pair_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def solve(key: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(edge, len(key)))
-        big = np.repeat(size > MAX_RUN, size)
+        crowded = (size > MAX_RUN) | (cls[edge] == _MARK)
+        big = np.repeat(crowded, size) & (cls != _MARK)
         if big.any():
             yield emit(np.unique(cls[big]), None)
-        multi = np.repeat((size > 1) & (size <= MAX_RUN), size)
+        multi = np.repeat((size > 1) & ~crowded, size)
         key, cls = key[multi], cls[multi]
         found = []
         for step in range(1, MAX_RUN):
@@ -159,8 +180,8 @@ def _pair_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tail:
             yield from solve(key[:tail], cls[:tail])
         key, cls = key[tail:], cls[tail:]
-        if len(key) > MAX_RUN:
-            yield emit(cls, None)
+        if len(key) > MAX_RUN or cls[0] == _MARK:
+            yield emit(cls[cls != _MARK], None)
             hot, key, cls = int(key[0]), key[:0], cls[:0]
     if len(key):
         yield from solve(key, cls)
@@ -216,17 +237,17 @@ def similar_classes(texts: DataFrame, width: int = SHINGLE, threshold: float = T
     return materialise(scored.filter(F.col("similarity") >= threshold - 1e-12), "similar")
 
 
-def _texts(chunks: DataFrame) -> DataFrame:
-    return chunks.filter("text is not null and chunk_no is not null").select("chunk_no", "root", "path", "text", text_class(F.col("text")).alias("cls"))
+def _texts(chunks: DataFrame, apart: tuple[int, ...]) -> DataFrame:
+    return chunks.filter("text is not null and chunk_no is not null").select("chunk_no", "root", "path", "text", text_class(F.col("text"), apart).alias("cls"))
 
 
 def _enough(text: Column, width: int) -> Column:
     return F.lower(text).rlike("[a-z0-9_]" + "[^a-z0-9_]+".join([r"+"] + [r"[a-z0-9_]+"] * (width - 2) + ["[a-z0-9_]"]) if width > 1 else "[a-z0-9_]")
 
 
-def _members(chunks: DataFrame, similar: DataFrame, width: int) -> DataFrame:
+def _members(texts: DataFrame, similar: DataFrame, width: int) -> DataFrame:
     """Chunks of classes with a link or several chunks, each chunk once: ``chunk_no, root, path, cls``."""
-    rows = _texts(chunks).filter(_enough(F.col("text"), width)).select("chunk_no", "root", "path", "cls").dropDuplicates(["chunk_no"])
+    rows = texts.filter(_enough(F.col("text"), width)).select("chunk_no", "root", "path", "cls").dropDuplicates(["chunk_no"])
     linked = similar.select(F.explode(F.array("a", "b")).alias("cls"))
     several = rows.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("cls")
     return materialise(rows.join(linked.union(several).distinct(), "cls", "left_semi"), "members")
@@ -238,8 +259,9 @@ def found_pairs(chunks: DataFrame, width: int = SHINGLE, threshold: float = THRE
     A file is known by root and path, null being a value of its own. Null texts and texts of fewer than ``width`` words take no part; a chunk delivered twice
     counts once, one without ``chunk_no`` not at all; an empty table gives no rows.
     """
-    similar = similar_classes(_texts(chunks), width, threshold)
-    m = _members(chunks, similar, width)
+    texts = _texts(chunks, clashes(chunks))
+    similar = similar_classes(texts, width, threshold)
+    m = _members(texts, similar, width)
     x = m.select(F.col("chunk_no").alias("x"), F.col("root").alias("xr"), F.col("path").alias("xp"), F.col("cls").alias("a"))
     y = m.select(F.col("chunk_no").alias("y"), F.col("root").alias("yr"), F.col("path").alias("yp"), F.col("cls").alias("b"))
     other = ~(F.col("xr").eqNullSafe(F.col("yr")) & F.col("xp").eqNullSafe(F.col("yp")))
@@ -268,10 +290,11 @@ def groups(chunks: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD
 
     ``links`` counts the similar text classes, its own equal copies not included. A chunk without text or partner is its own group.
     """
-    similar = similar_classes(_texts(chunks), width, threshold)
+    apart = clashes(chunks)
+    similar = similar_classes(_texts(chunks, apart), width, threshold)
     label = components(similar).withColumnRenamed("node", "cls")
     links = similar.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
-    cls = F.when(F.col("text").isNotNull() & _enough(F.col("text"), width), text_class(F.col("text"))).otherwise(F.xxhash64(F.lit("alone"), F.col("chunk_no")))
+    cls = F.when(F.col("text").isNotNull() & _enough(F.col("text"), width), text_class(F.col("text"), apart)).otherwise(F.xxhash64(F.lit("alone"), F.col("chunk_no")))
     rows = chunks.filter("chunk_no is not null").select("chunk_no", cls.alias("cls")).dropDuplicates(["chunk_no"])
     rows = rows.join(label, "cls", "left").join(links, "cls", "left").select("chunk_no", F.coalesce("label", "cls").alias("label"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
     ids = rows.groupBy("label").agg(F.min("chunk_no").alias("group_id"))

@@ -50,6 +50,42 @@ def test_groups_and_hot_keys(spark, monkeypatch):
     assert {(r["chunk_no"], r["group_id"], r["links"]) for r in g if r["chunk_no"] >= 500} == {(500, 500, 0), (501, 501, 0)}
 
 
+def test_crowded_keys_are_marked():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    key = np.concatenate([np.full(200, 5), [7, 7, 9, 9], np.repeat(np.arange(20, 40), 2)])
+    cls = np.concatenate([np.arange(200), [N._MARK, 1000, 300, 301], rng.integers(400, 500, 40)])
+    order = np.lexsort((cls, key))
+    for step in (1, 17, 500):
+        batches = [pa.RecordBatch.from_arrays([pa.array(key[order][i : i + step]), pa.array(cls[order][i : i + step])], names=["key", "cls"]) for i in range(0, len(key), step)]
+        out = [r for b in N._pair_runs(iter(batches)) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        assert {a for a, b in out if b is None} == {*range(200), 1000} and (300, 301) in out and len({x for x in out if x[1] is not None}) <= 21
+
+
+def test_recall_at_the_threshold():
+    """Pairs with a similarity just over 0.7: measured share that meets in a key."""
+    rng = np.random.default_rng(2)
+    met = 0
+    for _ in range(1000):
+        common, a, b = (rng.integers(1, 1 << 62, n, dtype=np.uint64) for n in (705, 147, 148))
+        sig = N.signatures(np.concatenate([common, a, common, b]), np.array([852, 853]))
+        x, y = N.index_keys(sig)
+        met += bool(set(x.tolist()) & set(y.tolist()))
+    assert met >= 990
+
+
+def test_classes_of_clashing_texts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "r", "p", "a b c d e"), (2, "r", "q", "v w x y z"), (3, "s", "q", "a b c d e")], "chunk_no long, root string, path string, text string")
+    assert N.clashes(df) == ()
+    plain = N.text_class
+    monkeypatch.setattr(N, "text_class", lambda text, clashes=(): F.when(F.lit(bool(clashes)), plain(text)).otherwise(F.lit(7).cast("long")))
+    assert N.clashes(df) == (7,)
+    assert {tuple(r) for r in N.found_pairs(df).collect()} == {(1, 3)}
+
+
 def test_empty(spark):
     df = frame(spark, [(1, "r", "p", "x")]).limit(0)
     assert N.found_pairs(df).count() == 0 and N.groups(df).count() == 0
