@@ -139,6 +139,7 @@ class Items:
         self.passages, self.passage_item = np.split(flat, np.cumsum(counts)[:-1]), [i for i, _, _ in items]
         self.edits = (counts * PASSAGE_EDITS).astype(np.int64)
         self.least = np.maximum(counts + 1 - RUN * (self.edits + 1), 1)  # runs that so many edits leave
+        self.tiny = [i for i, p in enumerate(self.passages) if 0 < len(p) < RUN]
         key, row = runs(flat, counts)
         whole = np.array([w for _, _, w in items], bool)[row] if len(row) else np.zeros(0, bool)
         (self.run, self.run_row), self.run_n = np.zeros((2, 0), np.uint64), np.zeros(0, np.int64)
@@ -162,6 +163,9 @@ def _blocks(items: DataFrame, window: int) -> Iterator[list[tuple[int, str, bool
     for r in items.select("item_id", "passage").filter("item_id is not null and passage is not null").dropDuplicates().orderBy("item_id", "passage").toLocalIterator():
         words = re.findall(r"[^\W_]+", r["passage"].lower())
         step = max(BLOCK_WINDOWS, 1)
+        if 0 < len(words) < window:
+            block.append((r["item_id"], " ".join(words), True))
+            n += 1
         for at in range(0, max(len(words) - window + 1, 0), step):
             part = words[at : at + step + window - 1]
             if block and n + len(part) - window + 1 > BLOCK_WINDOWS:
@@ -183,6 +187,13 @@ def _hits(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _whole(flat: np.ndarray, counts: np.ndarray, it: Items) -> Iterator[tuple[int, int, int]]:
     """Row, item and distance of every whole passage in a row with at most its number of edits; none is missed."""
+    for x in it.tiny:  # a word or two are sought as they are
+        p = it.passages[x]
+        at = np.flatnonzero(flat[: len(flat) - len(p) + 1] == p[0]) if len(flat) >= len(p) else np.zeros(0, np.int64)
+        of = np.repeat(np.arange(len(counts)), counts)
+        if len(p) == 2:
+            at = at[(flat[at + 1] == p[1]) & (of[at + 1] == of[at])]
+        yield from ((int(r), it.passage_item[x], 0) for r in np.unique(of[at]))
     key, row = runs(flat, counts)
     if not len(key) or not len(it.run):
         return
@@ -202,10 +213,10 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_edits: in
 
     ``distance`` is the smallest edit distance of any window pair found (a document window may be up to ``max_edits`` words shorter or longer),
     ``windows`` the number of document windows found; null and 0 where only the whole passage is found. ``passage_distance`` is the edit distance of
-    the whole passage (of at least ``window`` words) from some stretch of the document, null beyond ``PASSAGE_EDITS`` of its words; none is missed,
-    but for passages of more than ``BLOCK_WINDOWS`` windows, which are sought by windows only. Without ``passages`` it isn't sought and is null.
+    the whole passage from some stretch of the document, null beyond ``PASSAGE_EDITS`` of its words; none is missed,
+    but for passages of more than ``BLOCK_WINDOWS`` windows, which are sought by windows only; shorter passages than a window are sought whole. Without ``passages`` it isn't sought and is null.
     Equal windows (distance 0) are always found; changed ones with the recall of the repetitions. Words are runs of
-    letters and digits in lower case. Null or short texts and passages hold no window; an item given twice counts once;
+    letters and digits in lower case. Null and empty texts and passages hold nothing; an item given twice counts once;
     rows of one ``doc_id`` are taken together. Documents are never shuffled or collected: each block of items is
     broadcast (its size is bounded by ``BLOCK_WINDOWS``) and only hits are aggregated.
     """
@@ -223,12 +234,11 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_edits: in
                 doc = b.column(0).to_numpy(zero_copy_only=False)
                 flat, counts = _tokenise(b.column(1).to_pylist(), find, ids)
                 starts, row = _starts(counts, max(window - max_edits, 1))
-                if not len(starts) or not len(it.item):
-                    continue
                 ends = np.cumsum(counts)[row]
-                found: list[np.ndarray] = []
-                masks = word_masks(flat, starts, window, ends)
-                for r in range(repetitions):
+                found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+                seek = len(starts) and len(it.item)
+                masks = word_masks(flat, starts, window, ends) if seek else None
+                for r in range(repetitions if seek else 0):
                     at, rank = _hits(it.keys[r], embed_keys(flat, starts, window, r, samples, ends=ends))
                     item = it.order[r][rank]
                     a, b2 = masks[at], it.masks[item]
