@@ -75,11 +75,15 @@ def p10_levels(spark: SparkSession, sf: str) -> DataFrame:
     return reading.levels(docs, reading.fit(docs, read_table(spark, sf, "reading_labels")))
 
 
+def p10_heldout(spark: SparkSession, sf: str) -> DataFrame:
+    return reading.heldout_error(read_spread(spark, sf, "documents"), read_table(spark, sf, "reading_labels"))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return reading.demanding(p10_levels(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_labels, p2_found, p2_conversations, p3_found, p3_groups, p5_found, p5_pieces, p6_found, p6_weights, p7_found, p7_neighbours, p8_ids, p9_found, p9_leaks, p10_found, p10_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_labels, p2_found, p2_conversations, p3_found, p3_groups, p5_found, p5_pieces, p6_found, p6_weights, p7_found, p7_neighbours, p8_ids, p9_found, p9_leaks, p10_found, p10_levels, p10_heldout)}
 
 _CHUNKS_ONCE = "c AS (SELECT chunk_no, any_value(root) AS root, any_value(path) AS path, any_value(header) AS header, any_value(text) AS text FROM chunks GROUP BY chunk_no)"
 

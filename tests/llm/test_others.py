@@ -195,6 +195,13 @@ def test_leaks_inserted_and_deleted(spark):
     assert not any(r["distance"] == 0 for r in out)
 
 
+def test_short_items(spark):
+    items = spark.createDataFrame([(1, "zebra"), (2, "blue zebra"), (3, "one two three four five"), (4, "..."), (5, "zebra blue")], "item_id long, passage string")
+    docs = spark.createDataFrame([(1, "A blue zebra"), (2, "blue"), (3, "zebra"), (4, "see: one two, three four five."), (5, "one two three FOUR six " * 3), (6, None), (7, "")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["distance"], r["windows"], r["passage_distance"]) for r in leakage.leaks(docs, items).collect()}
+    assert got == {(1, 1): (None, 0, 0), (1, 2): (None, 0, 0), (3, 1): (None, 0, 0), (4, 3): (None, 0, 0), (5, 3): (None, 0, 1)}
+
+
 def test_item_blocks(spark, monkeypatch):
     monkeypatch.setattr(leakage, "BLOCK_WINDOWS", 15)  # passages of 21 windows come in parts
     words = [f"q{i}" for i in range(100)]
@@ -225,6 +232,9 @@ def test_reading_level_held_out(spark):
     err = [abs(out[i]["level"] - (i % 5 + 1)) for i in range(200, 300)]
     assert sum(err) / len(err) < 0.7
     assert out[900]["level"] is None and out[902]["n_words"] == 0 and out[903]["level"] == 3.0
+    e = reading.heldout_error(d, lab).first()
+    assert e["n"] > 20 and e["mean_error"] < 0.7 < e["median_error"] and e["correlation"] > 0.8
+    assert reading.heldout_error(d, lab.limit(0)).first()["n"] == 0
     none = reading.fit(d, lab.limit(0))
     assert {r["level"] for r in reading.levels(d, none).collect()} == {None, 3.0}
     assert reading.demanding(reading.levels(d.limit(0), none)).count() == 0
@@ -252,6 +262,22 @@ def test_code_files(spark):
     assert codefiles.label_files(df, ch.limit(0)).count() == len(got)
 
 
+def test_banners_in_new_wording(spark):
+    """Nobody lists these words: they are learned from files that their names and directories give away."""
+    from datetime import datetime
+
+    now = datetime(2026, 1, 1)
+    code = "def run(value):\n    return value + other\n" * 5
+    told = "# Emitted out of the schema bundle. Hands off, rerun protomill to refresh.\n\n"
+    plain = "#!/usr/bin/env python\n# Small helpers around parsing and retries for the worker pool.\n\n"
+    texts = {f"a/generated/t{i}_pb2.py": told + code for i in range(15)} | {f"src/pkg{i}/m{j}.py": plain + code for i in range(12) for j in range(5)} | {f"src/pkg{i}/odd.py": told + code for i in range(12)}
+    files = spark.createDataFrame([("r", p, "python", 1, "s", 900, None, "ast", [("f", "function", 1, 12)], now, now) for p in texts], MAP)
+    ch = spark.createDataFrame([(i, "r", p, 1, 12, t) for i, (p, t) in enumerate(texts.items())], CH)
+    got = {r["path"]: r["label"] for r in codefiles.label_files(files, ch).collect()}
+    assert {got[p] for p in got if p.endswith("odd.py")} == {"generated"}
+    assert {got[p] for p in got if "/m" in p} == {"handwritten"}
+
+
 def test_bp_equals_enumeration(spark):
     """Marginals of a small tree against the sum over all labelings."""
     import itertools
@@ -263,9 +289,7 @@ def test_bp_equals_enumeration(spark):
         p = prior[r] * dgp[r][a] * fgd[a][x] * fgd[a][y] * fgd[r][z] * math.exp(ev["a/x"][x] + ev["a/y"][y] + ev["z"][z])
         for k, v in (("a/x", x), ("a/y", y), ("z", z)):
             marg[k][v] += p
-    from pyspark.sql import functions as F
-
-    rows = spark.createDataFrame([("r", k, k.rpartition("/")[0], *map(float, v)) for k, v in ev.items()], "root string, path string, dir string, e0 double, e1 double, e2 double, e3 double, e4 double")
+    rows = spark.createDataFrame([("r", k, k.rpartition("/")[0], None, list(map(float, v))) for k, v in ev.items()], "root string, path string, dir string, words array<string>, e array<double>")
     orig = codefiles.file_evidence
     codefiles.file_evidence = lambda files, texts: rows
     try:
@@ -274,7 +298,6 @@ def test_bp_equals_enumeration(spark):
         out = codefiles.label_files(df, ch).collect()
     finally:
         codefiles.file_evidence = orig
-    assert F
     for r in out:
         m = marg[r["path"]] / marg[r["path"]].sum()
         assert np.allclose([r[f"p_{x}"] for x in codefiles.LABELS], m, atol=1e-9)
