@@ -9,6 +9,8 @@ from tessera.functions.text import estimate_tokens
 from tessera.operators import abtest, evaluation
 from tessera.operators import retrieval as R
 from tessera.plans.common import ONCE, bm25_sql, chunks, postings_sql
+from tessera.plans.retrieval import ORACLES as ORACLES_RETRIEVAL
+from tessera.plans.retrieval import hybrid_search, span_savings
 from tessera.session import read_table
 
 
@@ -122,7 +124,6 @@ def not_yet_done(spark, sf):
 def probe_benchmark(spark, sf):
     """Totals of a batch of questions: spans against whole files, their ratio and the dollars saved at the default input price."""
     from tessera.functions.usage import DEFAULT_PRICE
-    from tessera.plans.retrieval import span_savings
 
     s = span_savings(spark, sf).agg(F.count(F.lit(1)).alias("questions"), F.sum("chunk_tokens").alias("spans"), F.sum("whole_file_tokens").alias("whole_files"))
     saved = (F.col("whole_files") - F.col("spans")) / 1e6 * DEFAULT_PRICE[0]
@@ -130,10 +131,12 @@ def probe_benchmark(spark, sf):
 
 
 def judge_context_rows(spark, sf):
+    """The best five results of every golden query in both modes, as a judge gets them."""
     g = read_table(spark, sf, "golden_items").select(F.col("item_id").alias("query_id"), "query", "relevant")
     c = chunks(spark, sf, "header", "text", "path", "symbol")
-    top = R.top_k(R.bm25(c, g, "chunk_no", F.col("header"), F.col("text"), "query_id", "query"), 5)
-    r = top.join(c.select(F.col("chunk_no").alias("id"), "path", "symbol", "text"), "id").withColumn("mode", F.lit("lexical"))
+    lex = R.top_k(R.bm25(c, g, "chunk_no", F.col("header"), F.col("text"), "query_id", "query"), 5).select("query_id", "id", "rank", F.lit("lexical").alias("mode"))
+    both = hybrid_search(spark, sf).filter("rank <= 5").select("query_id", F.col("chunk_no").alias("id"), "rank", F.lit("hybrid").alias("mode"))
+    r = lex.unionByName(both).join(c.select(F.col("chunk_no").alias("id"), "path", "symbol", "text"), "id")
     return evaluation.judge_rows(r, g).select("query_id", "mode", F.md5("context").alias("context"), "reference")
 
 
@@ -179,9 +182,10 @@ SELECT m[floor(len(m) * 0.025::DOUBLE)::BIGINT + 1] AS low, m[floor(len(m) * 0.9
     "probe_benchmark": f"""{_SPANS}, c AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc QUALIFY rank <= 8), j AS (SELECT query_id, path, greatest(1, length(coalesce(text, '')) // 4) AS tokens FROM c JOIN k ON k.chunk_no = c.id),
 s AS (SELECT query_id, cast(sum(tokens) AS BIGINT) AS a FROM j GROUP BY 1), m AS (SELECT path, greatest(1, max(size) // 4) AS file_tokens FROM codebase_map GROUP BY 1), w AS (SELECT query_id, cast(sum(file_tokens) AS BIGINT) AS b FROM (SELECT DISTINCT query_id, path FROM j) JOIN m USING (path) GROUP BY 1)
 SELECT count(*) AS questions, cast(sum(a) AS BIGINT) AS spans, cast(sum(b) AS BIGINT) AS whole_files, round(sum(b)::DOUBLE / sum(a)::DOUBLE, 4) AS ratio, round((sum(b) - sum(a))::DOUBLE / 1e6 * 5, 6) AS saved FROM s LEFT JOIN w USING (query_id)""",
-    "judge_context_rows": f"""{_SPANS}, c AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc QUALIFY rank <= 5)
-SELECT query_id, 'lexical' AS mode, md5(string_agg('--- ' || path || ' (' || symbol || ') ---' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY rank)) AS context,
-any_value(array_to_string(list_transform(relevant, lambda s: s.path || CASE WHEN coalesce(len(s.symbols), 0) > 0 THEN ' (' || array_to_string(s.symbols, ', ') || ')' ELSE '' END), '; ')) AS reference FROM c JOIN k ON k.chunk_no = c.id JOIN golden_items ON item_id = query_id GROUP BY query_id""",
+    "judge_context_rows": f"""WITH lex AS ({_SPANS} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, 'lexical' AS mode FROM sc QUALIFY rank <= 5), hyb AS (SELECT query_id, chunk_no AS id, rank, 'hybrid' AS mode FROM ({ORACLES_RETRIEVAL["hybrid_search"]}) WHERE rank <= 5),
+c AS (SELECT * FROM lex UNION ALL SELECT * FROM hyb), {ONCE}
+SELECT query_id, mode, md5(string_agg('--- ' || path || ' (' || symbol || ') ---' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY rank)) AS context,
+any_value(array_to_string(list_transform(relevant, lambda s: s.path || CASE WHEN coalesce(len(s.symbols), 0) > 0 THEN ' (' || array_to_string(s.symbols, ', ') || ')' ELSE '' END), '; ')) AS reference FROM c JOIN k ON k.chunk_no = c.id JOIN golden_items ON item_id = query_id GROUP BY query_id, mode""",
     "golden_by_repo": "SELECT repo IS NOT NULL AND repo IN (SELECT root FROM codebase_map WHERE root IS NOT NULL) AS available, count(*) AS items FROM golden_items GROUP BY 1",
     "query_scores": f"{_S} SELECT query_id, type, first_rank, hit1, hit5, round(mrr, 6) AS mrr, tokens_to_task, ctx_tokens_5 FROM q",
     "hit_at_k_mrr": f"{_S} SELECT count(*) AS n, round(avg(hit1::INTEGER), 6) AS hit1, round(avg(hit5::INTEGER), 6) AS hit5, round(avg(mrr), 6) AS mrr FROM q",

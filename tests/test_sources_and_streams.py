@@ -78,6 +78,78 @@ def test_sinks(spark, tmp_path):
     assert "| k | v |" in sinks.markdown(df, "T") and "<b style" in sinks.html_bars(df, "v", "k", "T")
 
 
+def test_states_predictions_and_checkpoints(spark, tmp_path):
+    base = f"file://{tmp_path}"
+    assert sinks.load_state(spark, f"{base}/state", {"last": 0.0}) == {"last": 0.0}
+    sinks.save_state(spark, f"{base}/state", {"last": 5.0})
+    sinks.save_state(spark, f"{base}/state", {"last": 10.0})
+    assert sinks.load_state(spark, f"{base}/state", {}) == {"last": 10.0}
+    (tmp_path / "bad").write_text("{")
+    assert sinks.load_state(spark, f"{base}/bad", {"last": 1.0}) == {"last": 1.0}
+    one = spark.createDataFrame([("b", "x")], "instance_id string, patch string")
+    assert json.loads(sinks.append_prediction(one, f"{base}/pred", "instance_id")) == [{"instance_id": "b", "patch": "x"}]
+    two = spark.createDataFrame([("a", "y")], "instance_id string, patch string")
+    assert [x["instance_id"] for x in json.loads(sinks.append_prediction(two, f"{base}/pred", "instance_id"))] == ["a", "b"]
+    c = lambda text: spark.createDataFrame([("s", text)], "session_id string, checkpoint string")
+    sinks.write_checkpoints(c("first"), f"{base}/cp", 100)
+    sinks.write_checkpoints(c("second"), f"{base}/cp", 200)
+    assert sinks.current(spark, f"{base}/cp/current").first()["checkpoint"] == "second" and spark.read.parquet(f"{base}/cp/archive").count() == 2
+    assert "… and 3 more rows" in sinks.markdown(spark.range(5).toDF("k"), "T", 2)
+
+
+def test_git_listing_and_json_map(spark, tmp_path):
+    import shutil
+    import subprocess
+
+    if not shutil.which("git"):
+        return
+    (tmp_path / "tree").mkdir()
+    for name, text in (("a.py", "x = 1\n"), ("b.py", "y = 1\n"), ("skip.py", "z = 1\n"), (".gitignore", "skip.py\n")):
+        (tmp_path / "tree" / name).write_text(text)
+    subprocess.run(["git", "init", "-q", str(tmp_path / "tree")], check=True)
+    subprocess.run(["git", "-C", str(tmp_path / "tree"), "add", "a.py"], check=True)
+    listed = files.git_listing(spark, f"file://{tmp_path}/tree")
+    assert {r["path"] for r in listed.collect()} == {"a.py", "b.py", ".gitignore"}
+    f = files.scan_files(spark, f"{tmp_path}/tree", tracked=listed)
+    assert {r["path"] for r in f.collect()} == {"a.py", "b.py"}
+    assert files.git_listing(spark, f"{tmp_path}/none") is None
+    m = files.code_map(f, chunking.python_symbols(f).drop("engine"))
+    assert {json.loads(r["json"])["path"] for r in files.json_map(m).collect()} == {"a.py", "b.py"}
+
+
+def test_hook_events_and_prefilter(spark, tmp_path):
+    (tmp_path / "h").mkdir()
+    lines = ['{"hook_event_name": "PreCompact", "cwd": "/w", "session_id": "s"}', "noise", '{"hook_event_name": "Other"}', '{"hook_event_name": "SessionStart", "source": "clear"}', '{"message": {"model": "m"}}']
+    (tmp_path / "h/e.jsonl").write_text("\n".join(lines))
+    out = jobs.run_available(jobs.hook_events(spark, f"file://{tmp_path}/h")).orderBy("event").collect()
+    assert [(r["event"], r["cwd"], r["trigger"], r["source"]) for r in out] == [("PreCompact", "/w", "auto", "startup"), ("SessionStart", ".", "auto", "clear")]
+    assert logs.jsonl(spark, f"{tmp_path}/h", having='"model"').count() == 1 and logs.jsonl(spark, f"{tmp_path}/h").count() == 4
+    (tmp_path / "v.json").write_text("no json")
+    assert logs.verdicts(spark, str(tmp_path / "v.json")).count() == 0
+
+
+def test_restorable_checkpoints(spark, tmp_path):
+    t0 = datetime(2026, 1, 1)
+    rows = [(1, t0, "w", "a"), (2, t0 + timedelta(days=6), "r", "a"), (3, t0 + timedelta(days=8), "r", "a"), (4, t0 + timedelta(days=5), "w", "a"), (5, t0, "r", "b"), (6, t0 + timedelta(days=20), "r", "a")]
+    p = f"{tmp_path}/ev"
+    spark.createDataFrame(rows, "start_id long, ts timestamp_ntz, what string, k string").write.parquet(p)
+    e = lambda w: jobs.event_stream(spark, p).filter(F.col("what") == w)
+    out = jobs.latest_per_start(jobs.run_available(jobs.restorable_checkpoints(e("r"), e("w"), "k")))
+    assert {r["start_id"]: r["checkpoint_at"].day for r in out.collect()} == {2: 6, 3: 6}
+
+
+def test_times_without_zone_ignore_the_session(spark):
+    from tessera.session import epoch_micros
+
+    df = spark.sql("SELECT TIMESTAMP_NTZ'2026-03-29 02:30:00.123456' AS t, TIMESTAMP'2026-03-29 02:30:00.5Z' AS z")
+    try:
+        for zone in ("UTC", "Europe/Berlin", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert tuple(df.select(epoch_micros(df, "t"), epoch_micros(df, "z")).first()) == (1774751400123456, 1774751400500000)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_streams(spark, tmp_path):
     t0 = datetime(2026, 1, 1)
     rows = [(i, t0 + timedelta(seconds=7 * i), "u" if i % 3 else "w", float(i)) for i in range(60)]
