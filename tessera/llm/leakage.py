@@ -9,6 +9,7 @@ many words, fewer and more. Whole passages with edits all over are found by the
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import materialise
+
 WINDOW = 10
 #: Repetitions and sampled positions; measured recall at one edit is in the README.
 REPETITIONS, SAMPLES, SEED = 8, 6, 20_260
 #: Steps of the walk, in window lengths.
 STRETCH = 2
-#: Most item windows that are held (and broadcast) at once; more items are searched in several blocks.
+#: Most item windows that are held (and broadcast) at once; those of more items are joined.
 BLOCK_WINDOWS = 200_000
 #: Share of a whole passage's words that may be edited; words in a run shared with it (an edit takes at most so many runs away).
 PASSAGE_EDITS, RUN = 0.25, 3
@@ -208,6 +211,78 @@ def _whole(flat: np.ndarray, counts: np.ndarray, it: Items) -> Iterator[tuple[in
             yield r, it.passage_item[x], d
 
 
+#: Bits of the filter that says which keys some item has; a task holds it whole (16 MB).
+FILTER_BITS = 27
+_HITS = "doc_id long, item_id long, distance int, windows long, passage_distance int"
+
+
+def _joined(texts: DataFrame, items: DataFrame, window: int, max_edits: int, repetitions: int, samples: int) -> DataFrame:
+    """The windows of any number of items, in one pass over the corpus: ``doc_id, item_id, distance, windows``.
+
+    Equal item windows are one class. A filter of fixed size tells a document task which of its keys some class has; only those are joined with the table of
+    keys, verified, and spread to the classes' items. Nothing of it grows with the items but tables.
+    """
+
+    def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import re
+
+        find, ids = re.compile(r"[^\W_]+").findall, Words()
+        for b in batches:
+            flat, counts = _tokenise(b.column(1).to_pylist(), find, ids)
+            starts, row = _starts(counts, window)
+            raw = flat[starts[:, None] + np.arange(window)].tobytes() if len(starts) else b""
+            item = b.column(0).to_numpy(zero_copy_only=False)[row] if len(row) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array([raw[i : i + 8 * window] for i in range(0, len(raw), 8 * window)], pa.binary())], names=["item_id", "words"])
+
+    def class_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                flat = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64)
+                for r in range(repetitions):
+                    key = embed_keys(flat, np.arange(b.num_rows) * window, window, r, samples, ends=(np.arange(b.num_rows) + 1) * window)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0)], names=["key", "words"])
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import re
+
+        find, ids, bits = re.compile(r"[^\W_]+").findall, Words(), some.value
+        for b in batches:
+            doc = b.column(0).to_numpy(zero_copy_only=False)
+            flat, counts = _tokenise(b.column(1).to_pylist(), find, ids)
+            starts, row = _starts(counts, max(window - max_edits, 1))
+            if not len(starts):
+                continue
+            ends, first = np.cumsum(counts)[row], (np.cumsum(counts) - counts)[row]
+            for r in range(repetitions):
+                key = embed_keys(flat, starts, window, r, samples, ends=ends)
+                place = key & np.uint64((1 << FILTER_BITS) - 1)
+                at = np.flatnonzero((bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
+                where = starts[at][:, None] + np.arange(window + max_edits)
+                raw = np.where(where < ends[at][:, None], flat[np.minimum(where, len(flat) - 1)], _END).tobytes()
+                n = 8 * (window + max_edits)
+                yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(doc[row[at]], pa.int64()), pa.array(starts[at] - first[at]), pa.array([raw[i : i + n] for i in range(0, len(raw), n)], pa.binary())], names=["key", "doc_id", "start", "there"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                theirs = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(b.num_rows, -1)
+                d = edit_distance(np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(b.num_rows, window), theirs, 2 * max_edits)
+                ok = pa.array(d <= max_edits)
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), b.column(3).filter(ok), pa.array(d[d <= max_edits], pa.int32())], names=["doc_id", "start", "words", "distance"])
+
+    wanted = items.filter("item_id is not null and passage is not null").select(F.col("item_id").cast("long").alias("item_id"), "passage")
+    members = materialise(wanted.mapInArrow(item_windows, "item_id long, words binary").distinct(), "members")
+    keyed = materialise(members.select("words").distinct().mapInArrow(class_keys, "key long, words binary").distinct(), "keys")
+    place = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    cells = keyed.select(F.shiftright(place, 6).alias("cell"), F.expr("shiftleft(1L, CAST(key & 63 AS INT))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits")).toPandas()  # at most 2**21 cells
+    held = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    held[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64).view(np.uint64)
+    some = texts.sparkSession.sparkContext.broadcast(held)
+    near = texts.mapInArrow(candidates, "key long, doc_id long, start long, there binary").join(keyed, "key").select("doc_id", "start", "there", "words").distinct()
+    found = near.mapInArrow(verify, "doc_id long, start long, words binary, distance int").join(members, "words")
+    return found.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.countDistinct("start").alias("windows"))
+
+
 def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_edits: int = 1, repetitions: int = REPETITIONS, samples: int = SAMPLES, passages: bool = True) -> DataFrame:
     """``doc_id, item_id, distance, windows, passage_distance``: documents that hold a window of an item with at most ``max_edits`` word edits, or all of it.
 
@@ -217,12 +292,19 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_edits: in
     but for passages of more than ``BLOCK_WINDOWS`` windows, which are sought by windows only; shorter passages than a window are sought whole. Without ``passages`` it isn't sought and is null.
     Equal windows (distance 0) are always found; changed ones with the recall of the repetitions. Words are runs of
     letters and digits in lower case. Null and empty texts and passages hold nothing; an item given twice counts once;
-    rows of one ``doc_id`` are taken together. Documents are never shuffled or collected: each block of items is
-    broadcast (its size is bounded by ``BLOCK_WINDOWS``) and only hits are aggregated.
+    rows of one ``doc_id`` are taken together. Documents are never shuffled or collected. Items of up to ``BLOCK_WINDOWS`` windows are
+    broadcast and only hits are aggregated; the windows of more items are joined by their keys in one pass (:func:`_joined`), with the same rows, and only whole passages
+    are sought in blocks.
     """
     spark = docs.sparkSession
-    hits, texts = None, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    for block in _blocks(items, window):
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+    blocks = _blocks(items, window)
+    start = [b for b in (next(blocks, None), next(blocks, None)) if b]
+    hits, many = None, len(start) > 1
+    if many:
+        hits = _joined(texts, items, window, max_edits, repetitions, samples).withColumn("passage_distance", F.lit(None).cast("int"))
+        repetitions = 0  # windows are done
+    for block in itertools.chain(start, blocks) if passages or not many else ():
         shared = spark.sparkContext.broadcast(Items(block, window, repetitions, samples))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -264,8 +346,8 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_edits: in
                     cols = [[doc[k[0]] for k in best], [k[1] for k in best], [e[0] for e in best.values()], [len(e[1]) for e in best.values()], [e[2] for e in best.values()]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-        part = texts.mapInArrow(run, "doc_id long, item_id long, distance int, windows long, passage_distance int")
+        part = texts.mapInArrow(run, _HITS)
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
-        return spark.createDataFrame(pd.DataFrame(columns=["doc_id", "item_id", "distance", "windows", "passage_distance"]), "doc_id long, item_id long, distance int, windows long, passage_distance int")
+        return spark.createDataFrame(pd.DataFrame(columns=["doc_id", "item_id", "distance", "windows", "passage_distance"]), _HITS)
     return hits.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.sum("windows").alias("windows"), F.min("passage_distance").alias("passage_distance"))

@@ -195,6 +195,22 @@ def test_leaks_inserted_and_deleted(spark):
     assert not any(r["distance"] == 0 for r in out)
 
 
+def test_many_items_are_joined(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    passages = [[rng.choice(words) for _ in range(30)] for _ in range(40)]
+    passages[7][:15] = passages[3][:15]  # a window that two items share
+    items = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(passages)] + [(90, "tiny thing"), (None, "x"), (91, None)], "item_id long, passage string")
+    docs = [(i, " ".join([rng.choice(words) for _ in range(40)] + passages[i % 40][5:25] + [rng.choice(words) for _ in range(5)])) for i in range(60)]
+    docs += [(i + 100, " ".join([*passages[i][:12], rng.choice(words), *passages[i][13:20]])) for i in range(40)] + [(300, None), (301, ""), (302, "a tiny thing"), (303, " ".join(passages[3][:10]))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    whole = {tuple(r) for r in leakage.leaks(d, items).collect()}
+    monkeypatch.setattr(leakage, "BLOCK_WINDOWS", 100)
+    assert whole == {tuple(r) for r in leakage.leaks(d, items).collect()} and {(303, 3), (303, 7), (302, 90)} <= {r[:2] for r in whole}
+    exact = leakage.leaks(d, items, passages=False).filter("distance = 0")
+    assert {tuple(r)[:2] for r in exact.collect()} == {r[:2] for r in whole if r[2] == 0}
+
+
 def test_short_items(spark):
     items = spark.createDataFrame([(1, "zebra"), (2, "blue zebra"), (3, "one two three four five"), (4, "..."), (5, "zebra blue")], "item_id long, passage string")
     docs = spark.createDataFrame([(1, "A blue zebra"), (2, "blue"), (3, "zebra"), (4, "see: one two, three four five."), (5, "one two three FOUR six " * 3), (6, None), (7, "")], "doc_id long, text string")
