@@ -61,6 +61,12 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_later(spark: SparkSession, path: str) -> str:
+    """Has :func:`clear` remove a folder too; returns it."""
+    _written.append((spark, path))
+    return path
+
+
 @atexit.register
 def clear() -> None:
     """Removes all tables that :func:`materialise` wrote; call it when no DataFrame that reads them is needed any more."""

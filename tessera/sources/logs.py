@@ -12,16 +12,19 @@ USAGE_CSV = (
 GOLDEN = "repo string, query string, type string, relevant array<struct<path: string, symbols: array<string>>>"
 
 
-def jsonl(spark: SparkSession, path: str, having: str | None = None) -> DataFrame:
-    """``file, at, mtime, value, v``: the non-blank lines of all ``*.jsonl`` below a folder that are valid JSON, with it as VARIANT.
+def jsonl(spark: SparkSession, path: str, having: str | None = None, glob: str = "*.jsonl") -> DataFrame:
+    """``file, at, mtime, value, v``: the non-blank lines of all files ``glob`` below a folder that are valid JSON, with it as VARIANT.
 
     ``having`` is a text that a line must hold: a cheap test before it is parsed.
     ``at`` orders a file's lines (start of the split, number within it) without reading a file as a whole.
     """
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
     rows = raw.select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("no")).alias("at"), F.col("_metadata.file_modification_time").alias("mtime"), F.trim("value").alias("value"))
     rows = rows.filter(F.contains("value", F.lit(having))) if having else rows
-    return rows.filter("value <> ''").withColumn("v", F.try_parse_json("value")).filter("v is not null")
+    # the parser stops after a first value, so a line with anything behind it is told by the array that it doesn't make
+    one = rows.filter("value <> ''").withColumn("_all", F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))))
+    one = one.filter(F.try_variant_get("_all", "$[0]", "variant").isNotNull() & F.try_variant_get("_all", "$[1]", "variant").isNull())
+    return one.withColumn("v", F.try_variant_get("_all", "$[0]", "variant")).drop("_all")
 
 
 def _get(path: str, kind: str = "string", v: str = "v") -> Column:

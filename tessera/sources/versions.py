@@ -83,7 +83,7 @@ class PartedTable:
     def write(self, rows: DataFrame) -> tuple[str, list[int]]:
         """Writes rows (with ``_part``) into a new folder; returns it and the parts that it holds. Nothing is visible before :meth:`commit`."""
         v = f"v-{uuid.uuid4().hex}"
-        rows.repartition("_part").write.partitionBy("_part").parquet(f"{self.path}/{v}")
+        rows.hint("rebalance", F.col("_part")).write.partitionBy("_part").parquet(f"{self.path}/{v}")  # large parts are several tasks' work
         fs, p = _hadoop_path(self.spark, f"{self.path}/{v}")
         return v, sorted(int(s.getPath().getName()[6:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("_part="))
 

@@ -117,12 +117,12 @@ def upsert_index(changes: DataFrame, target: str, key: str, version: str) -> Dat
     return table.read().drop("_part")
 
 
-def hook_events(spark: SparkSession, folder: str, kinds: tuple[str, ...] = ("PreCompact", "SessionStart", "PreToolUse")) -> DataFrame:
+def hook_events(spark: SparkSession, folder: str, kinds: tuple[str, ...] = ("PreCompact", "SessionStart", "PreToolUse"), glob: str = "*.jsonl") -> DataFrame:
     """A stream of hook payloads (one JSON object a line, by files of a folder): ``event, session_id, cwd, trigger, source, transcript_path, payload``.
 
     Lines that are no JSON objects and events of other kinds drop out; ``trigger`` is 'auto' and ``source`` 'startup' where missing, ``cwd`` '.'.
     """
-    v = spark.readStream.option("pathGlobFilter", "*.jsonl").text(folder).withColumn("v", F.try_parse_json("value")).filter("v is not null")
+    v = spark.readStream.option("pathGlobFilter", glob).text(folder).withColumn("v", F.try_parse_json("value")).filter("v is not null")
     get = lambda p: F.try_variant_get("v", p, "string")
     or_ = lambda p, d: F.coalesce(F.nullif(get(p), F.lit("")), F.lit(d))
     out = v.select(get("$.hook_event_name").alias("event"), get("$.session_id").alias("session_id"), or_("$.cwd", ".").alias("cwd"), or_("$.trigger", "auto").alias("trigger"), or_("$.source", "startup").alias("source"), get("$.transcript_path").alias("transcript_path"), F.col("value").alias("payload"))
