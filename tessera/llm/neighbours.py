@@ -26,8 +26,8 @@ CURVES, PRINCIPAL, PROJECTED, BITS, SEED = 8, 24, 8, 7, 77
 WINDOW, HALO, ROUNDS, KEEP = 256, 64, 2, 16
 #: Candidates that a group of refinement passes on for each of its rows (a window passes on twice as many); rows that name a pivot in one group (more are spread over several groups).
 OFFERED, CROWD = 4, 64
-#: Most that a similarity of codes (half precision) is off.
-SLACK = 5e-4
+#: Most of a list that takes part in refinement; what a similarity of codes may be off (five standard errors of a byte a dimension).
+EDGES, SLACK = 16, 6e-3
 
 
 def rounds_for(rows: int) -> int:
@@ -139,7 +139,8 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.Arra
 
 
 def _codes(col: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.float16).reshape(-1, dim).astype(np.float32)
+    x = np.frombuffer(b"".join(col.to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _packed(ids: np.ndarray, others: np.ndarray, sims: np.ndarray) -> pa.RecordBatch:
@@ -210,7 +211,9 @@ def _merge(keep: int):
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         i, o, _ = _unpacked(b.column(0).to_numpy(), b.column(1), b.column(2))
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(o)], names=["id", "other"])
+        new = np.concatenate([[True], i[1:] != i[:-1]]) if len(i) else np.zeros(0, bool)
+        use = np.arange(len(i)) - np.flatnonzero(new)[np.cumsum(new) - 1] < EDGES
+        yield pa.RecordBatch.from_arrays([pa.array(i[use]), pa.array(o[use])], names=["id", "other"])
 
 
 def _meet(dim: int, offered: int):
@@ -309,8 +312,8 @@ def knn(vectors: DataFrame, k: int = K, dim: int = DIM, curves: int = CURVES, wi
 
     Null, all-zero, too short and non-finite vectors take no part; a row delivered twice counts once; ties go to the smaller id; fewer than k others
     give fewer rows. Vectors whose unit vectors agree to 12 digits are one class: it is searched as one row, only its k + 1 smallest ids are gathered,
-    and its members' neighbours within it are exact. A row is compared with ``window + 2 * halo`` rows on every curve and with some (2 * keep)**2 in a round,
-    of which there are :func:`rounds_for` its size; what is shuffled are codes of two bytes a dimension, and the vectors of about k finalists of every row.
+    and its members' neighbours within it are exact. A row is compared with ``window + 2 * halo`` rows on every curve and with some (2 * EDGES)**2 in a round,
+    of which there are :func:`rounds_for` its size; what is shuffled are codes of a byte a dimension, and the vectors of about k finalists of every row.
     """
     keep = max(keep, k + 2)
 
@@ -319,8 +322,8 @@ def knn(vectors: DataFrame, k: int = K, dim: int = DIM, curves: int = CURVES, wi
         for b in batches:
             if b.num_rows:
                 unit = _unit(_matrix(b.column(1), dim))
-                raw = unit.astype(np.float16).tobytes()
-                code = pa.array([raw[i : i + 2 * dim] for i in range(0, len(raw), 2 * dim)], pa.binary())
+                raw = np.rint(unit * (127 / np.abs(unit).max(axis=1, keepdims=True))).astype(np.int8).tobytes()  # the direction alone counts
+                code = pa.array([raw[i : i + dim] for i in range(0, len(raw), dim)], pa.binary())
                 for c in range(curves):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, c, np.int32)), pa.array(curve_keys(unit, c, axes, mean)), b.column(0), code], names=["curve", "key", "id", "code"])
 
