@@ -3,12 +3,13 @@
 The deduplicated turns get a global position in the order (session, time). Blocks of equal numbers of positions, each with
 the few positions before it, are independent windows, so a session that holds a third of all rows is spread like any other. Every turn scores candidate
 parents by time, mentions (a tool result names a tool call, a text a ``uuid``) and lexical overlap, and takes the likeliest; the links form trees.
-Candidates are the turns just before it and, however far back in its session, every turn that it mentions and every turn with which it shares a telling
-word; all are found and scored with built-in functions.
+Candidates are all turns before it in its session: those just before, however far back those that it mentions or shares a telling word with, and of the
+rest every one whose shared words may make up for its distance; all are found and scored with built-in functions.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,10 +17,12 @@ from pyspark.sql import functions as F
 
 from tessera.session import materialise, positioned
 
-#: Turns just before a turn that are candidates for its parent; positions in a block; most turns of a session that use a telling word.
-CANDIDATES, BLOCK, TELLING = 16, 4096, 6
+#: Turns just before a turn that are always scored; positions in a block; most turns of a session that use a telling word; most that use a word sought without regard to time.
+CANDIDATES, BLOCK, TELLING, FEW = 16, 4096, 6, 256
 #: Weights of the link score: mention, role change, lexical overlap, and loss per e-fold of the gap in minutes; a best score below ROOT starts a tree.
 MENTION, ALTERNATE, OVERLAP, DECAY, ROOT = 6.0, 1.5, 3.0, 0.35, -2.5
+#: Minutes that a gap counts if a time isn't usable.
+NO_GAP = 1e4
 WORD, NAME = r"[A-Za-z_][A-Za-z0-9_]{2,}", r"[A-Za-z0-9_-]{3,}"
 
 
@@ -50,7 +53,7 @@ def counting_turns(turns: DataFrame) -> DataFrame:
 
 def _score(child: Callable[[str], Column], parent: Callable[[str], Column]) -> Column:
     """How likely one turn answers another: loss by time, gain by role change, mention and shared words."""
-    gap = F.coalesce((child("us") - parent("us")) / 6e7, F.lit(1e4))
+    gap = F.coalesce((child("us") - parent("us")) / 6e7, F.lit(NO_GAP))
     common = F.size(F.array_intersect(child("words"), parent("words")))
     either = F.size(child("words")) + F.size(parent("words")) - common
     mention = F.arrays_overlap(child("results"), parent("calls")) | F.array_contains(child("names"), F.lower(parent("uuid")))
@@ -70,7 +73,7 @@ def _worded(turns: DataFrame) -> DataFrame:
 def far_pairs(t: DataFrame) -> DataFrame:
     """``g, p``: every turn with the turns more than CANDIDATES before it in its session that it mentions or shares a telling word with.
 
-    A word is telling if at most TELLING turns of the session use it, so a word gives a bounded number of pairs; common words are counted, never paired.
+    A word is telling if at most TELLING of the turns ``t`` of the session use it, so a word gives a bounded number of pairs; see ``common_pairs`` for the others.
     """
     each = lambda c: t.select("session_id", "g", F.explode(c).alias("w")).select(F.xxhash64("session_id", "w").alias("x"), "g")
     call, result, word = each("calls").withColumnRenamed("g", "p"), each("results"), each("words")
@@ -83,29 +86,104 @@ def far_pairs(t: DataFrame) -> DataFrame:
     return pairs.filter(F.col("p") < F.col("g") - CANDIDATES).distinct()
 
 
-def links(turns: DataFrame) -> DataFrame:
-    """Counting turns in order with the likeliest parent: ``session_id, uuid, kind, us, g, parent_g, parent_uuid, score, prev_kind``, a written table.
+def _beyond(rest: Column, size: Column, gain: Column, gap: Column | None = None) -> Column:
+    """The most that ``rest`` shared words, ``size`` words in all, can make of a score, less the loss by the gap if it is known."""
+    top = OVERLAP * rest / size + gain
+    return top if gap is None else top - DECAY * F.log1p(gap)
+
+
+def common_pairs(t: DataFrame, best: DataFrame) -> DataFrame:
+    """``g, p``: the turns more than CANDIDATES before a turn that share only words with it that aren't telling and may still score above its best so far.
 
-    A best score below ROOT, or no turn before, makes a turn a root; of equal scores the later turn counts. The result is the same for any partitioning.
+    ``best``: ``g, floor`` (the score to beat) and ``least`` (minutes to the nearest of those turns). A prefix filter: with a turn's words from rare to common, the
+    first one that two turns share bounds their overlap, and so the time that a parent can lie back. Words of more than FEW turns are
+    sought in buckets of that length only. Nothing is dropped but what can't win.
     """
-    t = materialise(_worded(positioned(counting_turns(turns), ["session_id", "us", "received_at", "uuid"])), "worded")
-    pairs = far_pairs(t)
+    word = t.select("session_id", "g", "kind", "us", F.size("words").alias("size"), F.explode("words").alias("w")).select(F.xxhash64("session_id", "w").alias("x"), "g", "kind", "us", "size")
+    often = word.groupBy("x").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TELLING)
+    ranked = word.join(often, "x").groupBy("g", "kind", "us", "size").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("ws"))
+    ranked = ranked.select("g", "kind", "us", "size", F.size("ws").alias("k"), F.posexplode("ws").alias("r", "e"))
+    ranked = materialise(ranked.select("g", "kind", "us", "size", (F.col("k") - F.col("r")).alias("rest"), "e.n", "e.x"), "common")
+
+    minute, slack = 60_000_000, 1e-5  # scores are rounded
+    place = lambda us, level: F.expr(f"({us} + 100000000000000000) div shiftleft({minute}L, 2 * {level})")  # noqa: E731  never negative
+    of = F.when(F.col("kind") == "user", F.array(F.lit("assistant"), F.lit("user"))).otherwise(F.array(F.lit("user"), F.lit("assistant")))
+    look = ranked.join(best, "g").select("*", F.posexplode(of).alias("same", "of")).withColumn("gain", F.when(F.col("same") == 0, ALTERNATE).otherwise(0.0) - F.col("floor") + slack)
+    look = look.withColumn("reach", F.expm1(F.least(_beyond(F.col("rest"), F.col("size"), F.col("gain")) / DECAY, F.lit(24.0))))  # minutes
+    timed, untimed = F.col("us").isNotNull() & (F.col("reach") >= F.col("least")), F.col("reach") >= NO_GAP * (1 - slack)
+    level = F.greatest(F.ceil(F.log(F.greatest("reach", F.lit(1.0))) / math.log(4)), F.lit(0)).cast("int")
+    at = lambda level, bucket: F.struct(level.cast("int").alias("level"), bucket.cast("long").alias("bucket"))  # noqa: E731  level -1: any time; -2: no time
+    look = look.filter(timed | untimed).withColumn("level", level)
+    buckets = F.when(F.col("n") <= FEW, F.array(at(F.lit(-1), F.lit(0)))).otherwise(
+        F.concat(F.when(timed, F.array(at(F.col("level"), place("us", "level")), at(F.col("level"), place("us", "level") - 1))).otherwise(F.array()), F.when(untimed, F.array(at(F.lit(-2), F.lit(0)))).otherwise(F.array()))
+    )
+    look = look.withColumn("at", F.explode(buckets)).select("x", "of", "at.level", "at.bucket", "g", F.col("us").alias("us_g"), F.col("size").alias("size_g"), F.col("rest").alias("rest_g"), "gain")
+    parents = ranked.select("x", F.col("kind").alias("of"), "n", F.col("g").alias("p"), F.col("us").alias("us_p"), F.col("size").alias("size_p"), F.col("rest").alias("rest_p"))
+    once = parents.filter((F.col("n") <= FEW) | F.col("us_p").isNull()).withColumn("level", F.when(F.col("n") <= FEW, -1).otherwise(-2)).withColumn("bucket", F.lit(0).cast("long"))
+    spans = look.filter("level >= 0").select("x", "level").distinct()
+    often_used = parents.filter((F.col("n") > FEW) & F.col("us_p").isNotNull()).join(spans, "x").withColumn("bucket", place("us_p", "level"))
+    pairs = look.join(once.unionByName(often_used).drop("n"), ["x", "of", "level", "bucket"]).filter(F.col("p") < F.col("g") - CANDIDATES)
+    shared, gap = F.least("rest_g", "rest_p"), F.greatest(F.coalesce((F.col("us_g") - F.col("us_p")) / 6e7, F.lit(NO_GAP)), F.lit(0.0))
+    return pairs.filter(_beyond(shared, F.col("size_g") + F.col("size_p") - shared, F.col("gain"), gap) >= 0).select("g", "p").distinct()
+
+
+def _scored(t: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """``g`` and in ``name`` the likeliest parent among its ``pairs`` of one session."""
     side = lambda tag, *cols: t.select(F.col("g").alias(tag), F.struct(*cols).alias(f"{tag}_"))
     far = pairs.join(side("p", "uuid", "kind", "us", "words", "calls", "session_id"), "p").join(side("g", "kind", "us", "words", "results", "names", "session_id"), "g")
     far = far.filter(F.col("g_.session_id") == F.col("p_.session_id"))  # ids are joined by hashes
     scored = F.struct(_score(lambda c: F.col(f"g_.{c}"), lambda c: F.col(f"p_.{c}")).alias("score"), F.col("p").alias("g"), F.col("p_.uuid").alias("uuid"))
-    far = far.groupBy("g").agg(F.max(scored).alias("far"))
+    return far.groupBy("g").agg(F.max(scored).alias(name))
+
 
+def near_best(t: DataFrame) -> DataFrame:
+    """Turns with the likeliest parent ``near`` of the CANDIDATES before, a written table.
+
+    ``child``, ``parent``: whether more than CANDIDATES turns of the session come before, after; ``least``: minutes to the first turn beyond the
+    candidates; ``plain``: of the turns of the session before, the last of the other kind and the last untimed ones of either, which
+    no other turn beats without a mention or a shared word.
+    """
+    far, kinds = CANDIDATES + 1, ("user", "assistant")
+    marks = {f"{k}_{u}": (F.col("kind") == k) & (F.col("us").isNull() if u == "untimed" else F.lit(True)) for k in kinds for u in ("any", "untimed")}
+    latest = [F.max(F.when(c, F.struct("g", "session_id"))) for c in marks.values()]
     own = t.withColumn("b", F.expr(f"g div {BLOCK}")).withColumn("halo", F.lit(False))
-    before = t.filter(F.col("g") % BLOCK >= BLOCK - CANDIDATES).withColumn("b", F.expr(f"g div {BLOCK} + 1")).withColumn("halo", F.lit(True))
+    before = t.filter(F.col("g") % BLOCK >= BLOCK - far).withColumn("b", F.expr(f"g div {BLOCK} + 1")).withColumn("halo", F.lit(True))
+    after = t.filter(F.col("g") % BLOCK < far).withColumn("b", F.expr(f"g div {BLOCK} - 1")).withColumn("halo", F.lit(True))
+    carried = own.groupBy("b").agg(*[x.alias(k) for k, x in zip(marks, latest, strict=True)])  # a row per block
+    earlier = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = carried.select("b", *[F.max(k).over(earlier).alias(f"_{k}") for k in marks])
+
     order = Window.partitionBy("b").orderBy("g")
     near = F.collect_list(F.struct("g", "session_id", "uuid", "kind", "us", "words", "calls")).over(order.rowsBetween(-CANDIDATES, -1))
-    prev = F.lag(F.struct("session_id", "kind")).over(order)
-    n = own.unionByName(before).select("*", near.alias("near"), prev.alias("prev")).filter("not halo")
+    prev, first = F.lag(F.struct("session_id", "kind")).over(order), F.lag(F.struct("session_id", "us"), far).over(order)
+    last = [x.over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias(k) for k, x in zip(marks, latest, strict=True)]
+    n = own.unionByName(before).unionByName(after).select("*", near.alias("near"), prev.alias("prev"), first.alias("first"), F.lead("session_id", far).over(order).alias("next"), *last).filter("not halo").join(carried, "b", "left")
     mine = F.filter("near", lambda p: p["session_id"] == F.col("session_id"))
     best = F.array_max(F.transform(mine, lambda p: F.struct(_score(F.col, lambda c: p[c]).alias("score"), p["g"].alias("g"), p["uuid"].alias("uuid"))))
-    n = n.select("session_id", "uuid", "kind", "us", "g", best.alias("near"), F.when(F.col("prev.session_id") == F.col("session_id"), F.col("prev.kind")).alias("prev_kind")).join(far, "g", "left")
-    n = n.withColumn("best", F.array_max(F.array("near", "far")))
+    seen = {k: F.greatest(k, f"_{k}") for k in marks}
+    plain = F.array(F.when(F.col("kind") == "user", seen["assistant_any"]).otherwise(seen["user_any"]), seen["user_untimed"], seen["assistant_untimed"])
+    plain = F.array_distinct(F.transform(F.filter(plain, lambda p: (p["session_id"] == F.col("session_id")) & (p["g"] < F.col("g") - CANDIDATES)), lambda p: p["g"]))
+    out = n.select(
+        "session_id", "uuid", "kind", "us", "g", "words", "names", "calls", "results", best.alias("near"), F.when(F.col("prev.session_id") == F.col("session_id"), F.col("prev.kind")).alias("prev_kind"),
+        F.coalesce(F.col("first.session_id") == F.col("session_id"), F.lit(False)).alias("child"), F.coalesce(F.col("next") == F.col("session_id"), F.lit(False)).alias("parent"),
+        F.coalesce((F.col("us") - F.col("first.us")) / 6e7, F.lit(NO_GAP)).alias("least"), plain.alias("plain"),
+    )
+    return materialise(out, "near")
+
+
+def links(turns: DataFrame) -> DataFrame:
+    """Counting turns in order with the likeliest parent: ``session_id, uuid, kind, us, g, parent_g, parent_uuid, score, prev_kind``, a written table.
+
+    All turns before in the session are candidates: those just before, those mentioned or with a shared telling word, and of the others all
+    that may score above these. A best score below ROOT, or no turn before, makes a turn a root; of equal scores the later turn counts. The result is the same for any partitioning.
+    """
+    n = near_best(materialise(_worded(positioned(counting_turns(turns), ["session_id", "us", "received_at", "uuid"])).drop("text", "received_at"), "worded"))
+    t = n.filter("child or parent")
+    told = far_pairs(t).unionByName(t.filter("child").select("g", F.explode("plain").alias("p"))).distinct()
+    n = n.select("session_id", "uuid", "kind", "us", "g", "prev_kind", "child", "least", "near").join(_scored(t, told, "told"), "g", "left")
+    n = materialise(n.withColumn("best", F.array_max(F.array("near", "told"))).drop("near", "told"), "told")
+    floor = n.filter("child").select("g", F.greatest("best.score", F.lit(ROOT)).alias("floor"), "least")
+    n = n.join(_scored(t, common_pairs(t, floor), "common"), "g", "left").withColumn("best", F.array_max(F.array("best", "common")))
     ok = F.col("best.score") >= ROOT
     out = n.select("session_id", "uuid", "kind", "us", "g", F.when(ok, F.col("best.g")).alias("parent_g"), F.when(ok, F.col("best.uuid")).alias("parent_uuid"), F.when(ok, F.col("best.score")).alias("score"), "prev_kind")
     return materialise(out, "links")

@@ -1,3 +1,5 @@
+import math
+import random
 from datetime import datetime
 
 from tessera.llm import conversations as C
@@ -88,3 +90,48 @@ def test_empty(spark):
     o = spark.createDataFrame([], "session_id string")
     assert C.conversations(turns, o).count() == 0
     assert C.sessions(C.links(turns), o, turns).count() == 0
+
+
+def exhaustive(t):
+    """Every turn with the likeliest of all turns before it in its session, by the definition; ``t``: rows of the worded turns."""
+    out = {}
+    for c in t:
+        best = None
+        for p in (p for p in t if p["session_id"] == c["session_id"] and p["g"] < c["g"]):
+            gap = C.NO_GAP if c["us"] is None or p["us"] is None else max((c["us"] - p["us"]) / 6e7, 0.0)
+            both = len(set(c["words"]) & set(p["words"]))
+            mention = set(c["results"]) & set(p["calls"]) or p["uuid"].lower() in c["names"]
+            score = -C.DECAY * math.log1p(gap) + C.ALTERNATE * (c["kind"] != p["kind"]) + C.MENTION * bool(mention) + (C.OVERLAP * both / len(set(c["words"]) | set(p["words"])) if both else 0.0)
+            best = max(best or (-1e9, -1, ""), (round(score, 6), p["g"], p["uuid"]))
+        out[c["session_id"], c["uuid"]] = best[2] if best and best[0] >= C.ROOT else None
+    return out
+
+
+def test_far_parent_by_common_words(spark):
+    """Nobody is mentioned, and each word is used by more turns than a telling word may have."""
+    rows = [t("s", "asks", "user", "2026-01-01T00:00:00Z", "alpha beta gamma delta")]
+    for i in range(40):
+        rows.append(t("s", f"n{i:02d}", "user" if i % 2 else "assistant", f"2026-01-01T00:01:{i:02d}Z", f"{('alpha', 'beta', 'gamma', 'delta')[i % 4]} other{i % 3} thing{i % 2}"))
+    rows.append(t("s", "answers", "assistant", "2026-01-01T00:01:50Z", "alpha beta gamma delta"))
+    got = {r["uuid"]: r["parent_uuid"] for r in C.links(spark.createDataFrame(rows, TURN)).collect()}
+    assert got["answers"] == "asks"
+
+
+def test_links_are_the_likeliest_of_all(spark, monkeypatch):
+    rng = random.Random(11)
+    rows, words = [], [f"word{chr(97 + i)}" for i in range(14)]
+    for s, n, step in (("quick", 90, 2), ("slow", 90, 4000), ("mixed", 90, 700), ("same", 60, 0), ("void", 60, None), ("short", 17, 30)):
+        now = 1767225600
+        for i in range(n):
+            now += rng.choice((0, 1, 1, 3)) * (step or 0)
+            untimed = step is None or s == "mixed" and i % 9 == 0
+            kind = "user" if i == 0 or s == "slow" and i > 30 or s != "slow" and rng.random() < 0.5 else "assistant"
+            text = " ".join(rng.choices(words, k=rng.choice((0, 1, 3, 8))))
+            rows.append(t(s, f"u{i:02d}", kind, "n/a" if untimed else str(now), text or "..", i))
+    turns = spark.createDataFrame(rows, TURN)
+    want = exhaustive(C._worded(C.positioned(C.counting_turns(turns), ["session_id", "us", "received_at", "uuid"])).collect())
+    found = lambda: {(r["session_id"], r["uuid"]): r["parent_uuid"] for r in C.links(turns).collect()}
+    assert found() == want
+    for name, value in (("BLOCK", 32), ("FEW", 7)):  # values carried over blocks; time buckets
+        monkeypatch.setattr(C, name, value)
+    assert found() == want
